@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Keeps ids clear of control characters; the largest id of a 50k vocabulary stays below the surrogates.
 SHIFT = 256
-BUCKETS = 1 << 17
+BUCKETS = 1 << 16
 #: Documents and words from which, and as which, the frequent words are remembered. They only save time: every other
 #: word is folded where it stands, so the result does not depend on them.
 SAMPLE_DOCUMENTS, FREQUENT_WORDS = 10_000, 30_000
@@ -68,22 +67,52 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(tuple(tokens), parts, rank, {p: i for i, p in enumerate(parts) if p})
 
 
-def _constant(value: object, kind: str) -> Column:
-    """A constant of a nested type; the optimizer folds it once into a literal."""
-    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
+def _constant(texts: list[str]) -> Column:
+    """A constant array of strings, which the optimizer folds into one compact literal."""
+    return F.split(F.lit("\x03".join(texts)), "\x03")
 
 
-def _hashed(spark: SparkSession, keys: list[str], values: list, kind: str) -> Column:
-    """A constant hash table of strings: an array of maps with about one entry each, by Spark's own hash."""
+def _buckets(spark: SparkSession, keys: list[str], entries: list[str], head: str) -> Column:
+    """A constant hash table: an array of strings, each with the entries whose keys have its hash by Spark's function."""
     places = spark.createDataFrame(pd.DataFrame({"i": range(len(keys)), "k": keys}), "i int, k string").select("i", F.pmod(F.hash("k"), F.lit(BUCKETS)).alias("h"))
-    table: list[dict] = [{} for _ in range(BUCKETS)]
+    table = [head] * BUCKETS
     for r in places.collect():
-        table[r.h][keys[r.i]] = values[r.i]
-    return _constant(table, f"array<map<string,{kind}>>")
+        table[r.h] += entries[r.i]
+    return _constant(table)
 
 
-def _probe(table: Column, key: Column) -> Column:
-    return F.get(table, F.pmod(F.hash(key), F.lit(BUCKETS)))[key]
+def _bucket(table: Column, key: Column) -> Column:
+    return F.get(table, F.pmod(F.hash(key), F.lit(BUCKETS)))
+
+
+def _behind(text: Column, mark: Column) -> Column:
+    """What follows the last mark in text; all of the text if there is none."""
+    return F.call_function("substring_index", text, mark, F.lit(-1))
+
+
+class _Merges:
+    """What a pair of token characters merges to: NONE, which is above every token, if nothing."""
+
+    NONE = "�"
+
+    def __init__(self, spark: SparkSession, pairs: list[str], merged: list[str]):
+        # only the two characters of a pair stand side by side, so a pair is found nowhere else
+        self.table = _buckets(spark, pairs, [f" {p} {m}" for p, m in zip(pairs, merged)], self.NONE * 2)
+
+    def __call__(self, pair: Column) -> Column:
+        return F.substring(_behind(_bucket(self.table, pair), pair), 2, 1)
+
+
+class _Words:
+    """The token characters of a known piece, and an empty string for any other."""
+
+    def __init__(self, spark: SparkSession, known: dict[str, str]):
+        known = {w: c for w, c in known.items() if not {"\x02", "\x03", "\x04"} & set(w)}
+        self.table = _buckets(spark, list(known), [f"{w}\x04{c}\x02" for w, c in known.items()], "\x02")
+
+    def __call__(self, word: Column) -> Column:
+        found = _behind(_bucket(self.table, word), F.concat(F.lit("\x02"), word, F.lit("\x04")))
+        return F.substring_index(found, "\x02", 1)
 
 
 def _char(i: int) -> str:
@@ -129,25 +158,23 @@ class Encoder:
         self.first = "".join(_char(v.rank[bytes([b])]) for b in range(256))
         merged = [i for i, p in enumerate(v.parts) if p]
         pair = ["".join(map(_char, p)) if p else "" for p in v.parts]
-        self.merge_of = _hashed(spark, [pair[i] for i in merged], [_char(i) for i in merged], "string")
-        self.pair_of = _constant(pair, "array<string>")
-        self.whole = {t.decode(): [i] for i, t in enumerate(v.tokens) if _is_text(t)}
-        self.whole_of = _hashed(spark, list(self.whole), list(self.whole.values()), "array<int>")
-        self.known_of = self.whole_of
+        self.merge = _Merges(spark, [pair[i] for i in merged], [_char(i) for i in merged])
+        self.pair_of = _constant(pair)
+        self.whole = {t.decode(): _char(i) for i, t in enumerate(v.tokens) if _is_text(t)}
+        self.known = _Words(spark, self.whole)
 
     def fold(self, piece: Column) -> Column:
-        """The ids of a piece. Each step makes the lowest-ranked merge everywhere in the piece."""
+        """The token characters of a piece. Each step makes the lowest-ranked merge everywhere in the piece."""
         start = F.translate(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), self.latin, self.first)
 
         def step(s: Column, _: Column) -> Column:
             # a finished state is marked by a space in front; no token is a space
-            here = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: _probe(self.merge_of, F.substring(s, i, F.lit(2))))
-            best = F.array_min(here)
-            merged = F.replace(s, F.get(self.pair_of, F.ascii(best) - SHIFT), best)
-            return F.when(F.startswith(s, F.lit(" ")), s).when(F.length(s) < 2, F.concat(F.lit(" "), s)).otherwise(F.coalesce(merged, F.concat(F.lit(" "), s)))
+            done = F.concat(F.lit(" "), s)
+            best = F.array_min(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: self.merge(F.substring(s, i, F.lit(2)))))
+            made = F.get(F.transform(F.array(best), lambda m: F.when(m == _Merges.NONE, done).otherwise(F.replace(s, F.get(self.pair_of, F.ascii(m) - SHIFT), m))), F.lit(0))
+            return F.when(F.startswith(s, F.lit(" ")), s).when(F.length(s) < 2, done).otherwise(made)
 
-        chars = F.ltrim(F.aggregate(F.sequence(F.lit(1), F.octet_length(piece)), start, step))
-        return F.transform(F.split(chars, ""), lambda c: F.ascii(c) - SHIFT)
+        return F.ltrim(F.aggregate(F.sequence(F.lit(1), F.octet_length(piece)), start, step))
 
     def learn(self, documents: DataFrame, text: str) -> Encoder:
         """Remember the frequent words of a bounded sample of the documents, each folded once."""
@@ -156,22 +183,25 @@ class Encoder:
         if share < 1:
             texts = texts.sample(share, seed=1)
         pieces = F.regexp_extract_all("t", F.lit(PIECES), F.lit(0))
-        odd = texts.where(~_long(F.col("t"))).select(F.explode(F.filter(pieces, lambda p: _probe(self.whole_of, p).isNull())).alias("w"))
+        odd = texts.where(~_long(F.col("t"))).select(F.explode(F.filter(pieces, lambda p: self.known(p) == "")).alias("w"))
         top = odd.agg(F.expr(f"approx_top_k(w, {FREQUENT_WORDS}, {2 * FREQUENT_WORDS})").alias("top"))
         words = top.select(F.explode("top.item").alias("w")).where("w is not null").distinct().repartition(self.spark.sparkContext.defaultParallelism)
         known = dict(self.whole)
         known.update((r.w, r.c) for r in words.select("w", self.fold(F.col("w")).alias("c")).collect())  # at most FREQUENT_WORDS
-        self.known_of = _hashed(self.spark, list(known), list(known.values()), "array<int>")
+        self.known = _Words(self.spark, known)
         return self
 
     def ids(self, text: Column) -> Column:
         """array<int> of a text's token ids; null and empty texts give an empty array, blank ones are ordinary texts."""
         pieces = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
-        return F.coalesce(F.flatten(F.transform(pieces, lambda p: F.coalesce(_probe(self.known_of, p), self.fold(p)))), F.array().cast("array<int>"))
+        looked = F.transform(pieces, lambda p: F.struct(p.alias("p"), self.known(p).alias("c")))
+        coded = F.transform(looked, lambda x: F.when(x["c"] == "", self.fold(x["p"])).otherwise(x["c"]))
+        ids = F.transform(F.split(F.array_join(coded, ""), ""), lambda c: F.ascii(c) - SHIFT)
+        return F.when(text != "", ids).otherwise(F.array().cast("array<int>"))
 
     def text(self, ids: Column) -> Column:
         """The text of token ids, the inverse of ids(): the tokens' bytes, joined and read as UTF-8."""
-        pieces = _constant([t.hex() for t in self.vocabulary.tokens], "array<string>")
+        pieces = _constant([t.hex() for t in self.vocabulary.tokens])
         return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")), "UTF-8")
 
 
