@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrelgraph.llm import bpe, canonical, consensus
+from kestrelgraph.llm import bpe, canonical, consensus, leakage, quality
 from kestrelgraph.runtime import table
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -47,5 +47,25 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
-QUERIES = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_annotators": p1_annotators, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_ids": p6_ids}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).selectExpr("doc_id", "item_id", "round(score, 6) as score", "round(coverage, 6) as coverage")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.outlierness(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_annotators": p1_annotators, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_ids": p6_ids, "p7_found": p7_found, "p7_scores": p7_scores, "p8_found": p8_found, "p8_statistics": p8_statistics}
 SQL: dict[str, str] = {}
