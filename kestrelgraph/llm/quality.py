@@ -62,12 +62,14 @@ def statistics(documents: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.select(
         key,
         F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{M}]+|\p{N}+"), F.lit(0)).alias("__w"),
+        F.regexp_count(t, F.lit(r"\p{N}+")).alias("__d"),
         F.filter(F.split(t, r"\r\n|[\n\r\x{b}\x{c}\x{85}\x{2028}\x{2029}]"), lambda x: F.rlike(x, F.lit(r"\S"))).alias("__l"),
         F.length(F.regexp_replace(t, r"[\s\p{Z}\p{Cf}]+", "")).alias("__c"),
         F.length(F.regexp_replace(F.regexp_replace(t, r"[\p{L}\p{M}\p{N}\s\p{Z}\p{Cf}]+", ""), r"([=\-_*~.])\1{3,}", "$1")).alias("__s"),
     )
     w, lines = F.col("__w"), F.col("__l")
-    listed = {k: _of_list(w, COMMON[k]) for k in COMMON}
+    rows = rows.select("*", _of_list(w, sorted({x for words in COMMON.values() for x in words})).alias("__a"))
+    listed = {k: _of_list(F.col("__a"), COMMON[k]) for k in COMMON}
     rows = rows.select(
         "*",
         *[F.size(f).alias(f"__{k}") for k, f in listed.items()],
@@ -89,7 +91,7 @@ def statistics(documents: DataFrame, key: str, text: str) -> DataFrame:
         F.log1p(n).alias("log_words"),
         smooth(F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)), n, PRIOR_LENGTH).alias("mean_word_length"),
         smooth(F.col("__s"), F.col("__c"), PRIOR_SYMBOLS, PRIOR_LENGTH * PRIOR_WORDS).alias("symbol_ratio"),
-        smooth(F.size(F.filter(w, lambda x: F.rlike(x, F.lit(r"^\p{N}")))), n, 0.03).alias("digit_ratio"),
+        smooth(F.col("__d"), n, 0.03).alias("digit_ratio"),
         (F.size(F.filter(k, lambda x: x["e"])) / F.greatest(F.size(k), F.lit(1))).alias("line_end_ratio"),
         smooth(F.col("__f"), n, PRIOR_SHARE).alias("common_ratio"),
         (F.size(pick) / F.sqrt(F.col("__f") + 1.0)).alias("common_variety"),
