@@ -156,7 +156,8 @@ def canonical_map(values: DataFrame, reference: DataFrame, entry: str, spellings
     """
     spark = values.sparkSession
     (column,) = values.columns
-    distinct = values.select(F.col(f"`{column}`").alias("value")).where("value is not null").distinct()
+    # few bytes but much work for each value: spread over all cores
+    distinct = values.select(F.col(f"`{column}`").alias("value")).where("value is not null").distinct().repartition(2 * spark.sparkContext.defaultParallelism)
     ref = reference.select(F.col(f"`{entry}`").alias("e"), F.array(*[F.col(f"`{s}`").cast("string") for s in spellings]).alias("s")).where("e is not null")
     shards = max(1, -(-ref.count() // shard_entries))
     best = None

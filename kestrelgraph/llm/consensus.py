@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from kestrelgraph.runtime import materialize
 
-STEPS = 12
+STEPS, TOLERANCE = 20, 0.002
+#: Votes of one item from which it is pre-aggregated instead of being summed in one task.
+HOT_ITEM = 100_000
 #: Accuracy is held inside these bounds, so no annotator decides an item alone.
 LEAST_ACCURACY, MOST_ACCURACY = 0.02, 0.99
 #: Weight of a supporter that is only counted, not named, against a named one of average accuracy.
@@ -59,26 +61,43 @@ def weigh(votes: DataFrame) -> DataFrame:
     return votes.join(chance, F.col("r").eqNullSafe(F.col("cr"))).drop("cr")
 
 
+def _sums(v: DataFrame) -> DataFrame:
+    """v with cx, ix and ixx: the sums of wx by claim and by item, and of wx times x by item.
+
+    Ordinary items are summed where one shuffle puts them. Items with more than HOT_ITEM votes are pre-aggregated
+    instead, and their sums joined back, so no task gets all votes of one.
+    """
+    claim, item = Window.partitionBy("item", "claim"), Window.partitionBy("item")
+    square = F.col("wx") * F.col("x")
+    cold = v.where("not hot").select("*", F.sum("wx").over(claim).alias("cx"), F.sum("wx").over(item).alias("ix"), F.sum(square).over(item).alias("ixx"))
+    hot = v.where("hot")
+    sums = hot.groupBy("item", "claim").agg(F.sum("wx").alias("cx"), F.sum(square).alias("cxx"))
+    whole = sums.groupBy("item").agg(F.sum("cx").alias("ix"), F.sum("cxx").alias("ixx"))
+    return cold.unionByName(hot.join(sums.drop("cxx"), ["item", "claim"]).join(whole, "item"))
+
+
 def reliability(weighted: DataFrame, steps: int = STEPS) -> DataFrame:
     """(who, accuracy, reliability, votes) by power iteration from the all-equal vector.
 
     One step takes x to S x / O x^2, where S sums the centred agreement over shared items and O counts these:
-    the fixed point is the best rank-one fit of the agreement per shared item. Somebody who shares no item with
-    anyone keeps the average. reliability is 1 for always right, 0 for chance, below 0 for worse than chance.
+    the fixed point is the best rank-one fit of the agreement per shared item. It ends after steps, or when nobody
+    moves by TOLERANCE. Somebody who shares no item with anyone keeps the average. reliability is 1 for always right,
+    0 for chance, below 0 for worse than chance.
     """
-    item = ["g", "s", "r"]
-    rows = materialize(weighted.select(F.xxhash64(*item).alias("item"), F.xxhash64(*item, "label").alias("claim"), "who", "share", "chance", "labels"))
+    rows = weighted.select(F.xxhash64("g", "s", "r").alias("item"), F.xxhash64("label").alias("claim"), "who", "share", "chance", "labels")
+    hot = rows.groupBy("item").count().where(F.col("count") > HOT_ITEM).select("item", F.lit(True).alias("hot"))  # few: votes / HOT_ITEM
+    rows = materialize(rows.join(hot, "item", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
     base = rows.groupBy("who").agg(F.sum("share").alias("votes"), F.avg(F.lit(1.0) / F.col("labels")).alias("guess"))
-    x = base.select("who", F.lit(0.5).alias("x"))
+    x = base.select("who", F.lit(0.5).alias("x"), F.lit(1.0).alias("moved"))
     for _ in range(steps):
-        v = rows.join(x, "who").withColumn("wx", F.col("share") * F.col("x"))
-        sums = v.groupBy("item", "claim").agg(F.sum("wx").alias("cx"), F.sum(F.col("wx") * F.col("x")).alias("cxx"))
-        whole = sums.groupBy("item").agg(F.sum("cx").alias("ix"), F.sum("cxx").alias("ixx"))
-        back = v.join(sums.select("claim", "cx"), "claim").join(whole, "item")
+        v = rows.select("item", "claim", "who", "share", "chance", "hot").join(x.select("who", "x"), "who").withColumn("wx", F.col("share") * F.col("x"))
         agree = F.col("share") * (F.col("cx") - F.col("wx")) - F.col("share") * F.col("chance") * (F.col("ix") - F.col("wx"))
         over = F.col("share") * (1 - F.col("chance")) * (F.col("ixx") - F.col("wx") * F.col("x"))
-        step = back.groupBy("who").agg(F.sum(agree).alias("a"), F.sum(over).alias("o"))
-        x = materialize(step.select("who", F.greatest(F.least(F.coalesce(F.try_divide("a", "o"), F.lit(0.5)), F.lit(1.0)), F.lit(-0.5)).alias("x")), files=1)
+        step = _sums(v).groupBy("who", F.col("x").alias("old")).agg(F.sum(agree).alias("a"), F.sum(over).alias("o"))
+        new = F.greatest(F.least(F.coalesce(F.try_divide("a", "o"), F.lit(0.5)), F.lit(1.0)), F.lit(-0.5))
+        x = materialize(step.select("who", new.alias("x"), F.abs(new - F.col("old")).alias("moved")), files=1)
+        if (x.agg(F.max("moved").alias("m")).first().m or 0.0) < TOLERANCE:
+            break
     accuracy = F.greatest(F.least(F.col("x") * (1 - F.col("guess")) + F.col("guess"), F.lit(MOST_ACCURACY)), F.lit(LEAST_ACCURACY))
     return base.join(x, "who").select("who", accuracy.alias("accuracy"), F.col("x").alias("reliability"), "votes")
 
