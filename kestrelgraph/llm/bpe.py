@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -229,12 +230,13 @@ def encode_corpus(documents: DataFrame, key: str, text: str, path: str) -> DataF
     rows = documents.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__text"))
     encoder = Encoder(spark, path).learn(documents, text)
 
-    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = vocabulary(path)
-        for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "ids": [encode_text(t, words) for t in pdf["__text"]]})
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for batch in batches:
+            ids = pa.array([encode_text(t, v) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], [key, "ids"])
 
     kind = rows.schema[key].dataType.simpleString()
     short = rows.where(~_long(F.col("__text"))).select(key, encoder.ids(F.col("__text")).alias("ids"))
-    long = rows.where(_long(F.col("__text"))).mapInPandas(plain, f"`{key}` {kind}, ids array<int>")
+    long = rows.where(_long(F.col("__text"))).mapInArrow(plain, f"`{key}` {kind}, ids array<int>")
     return short.unionByName(long)

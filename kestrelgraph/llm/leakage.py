@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,13 +208,14 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str
         index = Index.of(passages((r.i, r.t) for r in part.collect()))  # about block items
         held = spark.sparkContext.broadcast(index)
 
-        def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                found = held.value.search(pdf["__text"].tolist()) if held.value else []
+        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = held.value.search(batch.column(1).to_pylist()) if held.value else []
                 wide = [(n, i, s, c) for n, p, s, c in found for i in held.value.ids[p]]
-                at = [x[0] for x in wide]
-                yield pd.DataFrame({key: pdf[key].iloc[at].tolist(), item: [x[1] for x in wide], "score": [x[2] for x in wide], "coverage": [x[3] for x in wide]})
+                columns = [batch.column(0).take(pa.array([x[0] for x in wide], pa.int64()))]
+                columns += [pa.array([x[k] for x in wide], kind) for k, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, [key, item, "score", "coverage"])
 
-        hits = rows.mapInPandas(search, f"`{key}` {kind}, `{item}` bigint, score double, coverage double")
+        hits = rows.mapInArrow(search, f"`{key}` {kind}, `{item}` bigint, score double, coverage double")
         out = hits if out is None else out.unionByName(hits)
     return out
