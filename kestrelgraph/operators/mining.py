@@ -15,8 +15,8 @@ def shared_pairs(items: DataFrame, least: int) -> DataFrame:
     each holder's most frequent least - 1 values are set aside, so only the others generate candidates: a value that
     everybody has pairs nobody by itself. Candidates are counted over all their values.
     """
-    freq = items.groupBy("g", "value").agg(F.count("*").alias("f"))
-    sized = items.join(freq, ["g", "value"])
+    freq = items.groupBy(F.col("g").alias("fg"), F.col("value").alias("fv")).agg(F.count("*").alias("f"))
+    sized = items.join(freq, F.col("g").eqNullSafe(F.col("fg")) & (F.col("value") == F.col("fv")))
     w = Window.partitionBy("g", "holder")
     ranked = sized.select("g", "holder", "value", F.row_number().over(w.orderBy("f", "value")).alias("k"), F.count("*").over(w).alias("n"))
     lead = ranked.where(F.col("k") <= F.col("n") - (least - 1))

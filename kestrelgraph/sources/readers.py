@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TRIPLE = "subject string, relation string, object string, s string, r string, o string"
-TRANSCRIPT = T.StructType.fromDDL(
+TRANSCRIPT = (
     "type string, sessionId string, timestamp string, cwd string, gitBranch string, "
     "message struct<id: string, model: string, usage: struct<input_tokens: bigint, output_tokens: bigint, cache_read_input_tokens: bigint, cache_creation_input_tokens: bigint>, "
     "content: array<struct<type: string, name: string>>>"
@@ -37,7 +36,7 @@ def load_report(spark: SparkSession, *paths: str) -> DataFrame:
 def text_triples(spark: SparkSession, *paths: str) -> DataFrame:
     """(subject, relation, object, path) of lines "subject | relation | object" or with commas; # starts a comment."""
     lines = spark.read.text(list(paths)).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("path")).where("line <> '' and not startswith(line, '#')")
-    parts = F.transform(F.split("line", F.when(F.contains("line", F.lit("|")), F.lit(r"\|")).otherwise(F.lit(","))), F.trim)
+    parts = F.transform(F.split("line", F.when(F.contains("line", F.lit("|")), F.lit(r"\|")).otherwise(F.lit(","))), lambda x: F.trim(x))
     out = lines.select(parts.alias("p"), "path").where("size(p) >= 3")
     return out.select(F.get("p", 0).alias("subject"), F.get("p", 1).alias("relation"), F.get("p", 2).alias("object"), "path").where("subject <> '' and relation <> '' and object <> ''")
 
