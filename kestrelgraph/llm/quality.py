@@ -33,7 +33,7 @@ LAYOUT = {"log_words", "line_end_ratio"}
 LEAST_DOCUMENTS = 50
 ROUNDS = 3
 #: Squared distance, per statistic that decides, from which a document is not prose.
-CUT = 8.8
+CUT = 8.6
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
