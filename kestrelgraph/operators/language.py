@@ -97,3 +97,48 @@ def statements(texts: DataFrame, key: str, text: str, verbs: DataFrame) -> DataF
     after = F.filter(F.slice("w", F.col("i") + 2, F.size("w")), lambda x: ~x.isin("the", "a", "an"))
     negated = F.arrays_overlap(before, F.array(F.lit("not"), F.lit("never")))
     return hit.select(key, "at", F.array_join(bare, "_").alias("subject"), "relation", F.array_join(after, "_").alias("object"), negated.alias("negated")).where("subject <> '' and object <> ''")
+
+
+# How a sentence's certainty, frequency and amounts show, and how a message acts.
+HEDGES = r"\b(maybe|perhaps|possibly|probably|might|i think|seems?|seemed|apparently)\b"
+FREQUENCIES = r"\b(always|usually|often|sometimes|rarely|seldom|never)\b"
+QUANTITY = r"\b(\d[\d,]*) ([a-z]+)"
+ACTS = [("correcting", r"\b(no,|wrong|not right|actually|corrected)"), ("questioning", r"(\?\s*$|^(what|who|where|when|why|how|is|are|does|do|can)\b)"), ("teaching", r"\b(is|are|has|have|can|means|taught)\b")]
+NAME = r"\b([A-Z][a-z]{3,})\b"
+
+
+def structure(sentence: Column) -> dict[str, Column]:
+    """hedged, frequency, quantity and unit of a sentence; empty where it has none."""
+    low = F.lower(sentence)
+    return {
+        "hedged": F.rlike(low, F.lit(HEDGES)), "frequency": F.regexp_extract(low, FREQUENCIES, 1),
+        "quantity": F.replace(F.regexp_extract(low, QUANTITY, 1), F.lit(","), F.lit("")), "unit": F.regexp_extract(low, QUANTITY, 2),
+    }
+
+
+def act(text: Column) -> Column:
+    low = F.lower(text)
+    return F.coalesce(*[F.when(F.rlike(low, F.lit(p)), F.lit(n)) for n, p in ACTS], F.lit("chatting"))
+
+
+def dialogue(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, turn, speaker, said, named, topic): the turns "Name: text" of dialogues.
+
+    named is the first capitalised name of the turn behind its first word; topic is the last name before the turn,
+    which is what a pronoun in it means.
+    """
+    lines = documents.select(F.col(key).alias(key), F.posexplode(F.split(F.col(text), r"\r?\n")).alias("turn", "line"))
+    shape = r"^(User|System|Teacher|Speaker \d+): (.+)$"
+    said = F.regexp_extract("line", shape, 2)
+    rows = lines.where(F.rlike("line", F.lit(shape))).select(key, "turn", F.regexp_extract("line", shape, 1).alias("speaker"), said.alias("said"))
+    named = F.nullif(F.regexp_extract(F.regexp_replace("said", r"^\S+", ""), NAME, 1), F.lit(""))
+    before = Window.partitionBy(key).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("named", named).select("*", F.last("named", True).over(before).alias("topic"))
+
+
+def sentence_links(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(a, b, n): names of neighbouring sentences of a document, as unordered pairs with their number."""
+    s = documents.select(F.col(key).alias(key), F.transform(sentences(F.col(text)), lambda x: F.array_distinct(F.regexp_extract_all(F.regexp_replace(x, r"^\S+", ""), F.lit(NAME), F.lit(1)))).alias("names"))
+    steps = s.select(F.explode(F.transform("names", lambda x, i: F.struct(x.alias("x"), F.coalesce(F.get("names", i - 1), F.array().cast("array<string>")).alias("y")))).alias("p")).where("size(p.x) > 0 and size(p.y) > 0")
+    pairs = steps.select(F.explode("p.x").alias("x"), "p.y").select("x", F.explode("y").alias("y")).where("x <> y")
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"))
