@@ -8,25 +8,30 @@ from pyspark.sql import functions as F
 from kestrelgraph.runtime import materialize
 
 
-def shared_pairs(items: DataFrame, least: int) -> DataFrame:
-    """(g, a, b, shared, na, nb): the pairs a < b of holders in a group g that share at least `least` values.
+def shared_pairs(items: DataFrame, least: int, share: float = 0.0) -> DataFrame:
+    """(g, a, b, shared, na, nb): the pairs a < b of holders in a group g that share at least `least` values, and with
+    share, have at least that Jaccard similarity.
 
     items is (g, holder, value), distinct. Two holders with `least` values in common have one in common even after
     each holder's most frequent least - 1 values are set aside, so only the others generate candidates: a value that
-    everybody has pairs nobody by itself. Candidates are counted over all their values.
+    everybody has pairs nobody by itself. A similarity demands at least that share of the larger holder's values in
+    common, which sets more of them aside. Candidates are counted over all their values, so no pair is lost.
     """
     freq = items.groupBy(F.col("g").alias("fg"), F.col("value").alias("fv")).agg(F.count("*").alias("f"))
     sized = items.join(freq, F.col("g").eqNullSafe(F.col("fg")) & (F.col("value") == F.col("fv")))
     w = Window.partitionBy("g", "holder")
     ranked = sized.select("g", "holder", "value", F.row_number().over(w.orderBy("f", "value")).alias("k"), F.count("*").over(w).alias("n"))
-    lead = ranked.where(F.col("k") <= F.col("n") - (least - 1))
-    x = lead.select("g", F.col("holder").alias("a"), F.col("value").alias("v"))
-    y = lead.select(F.col("g").alias("yg"), F.col("holder").alias("b"), F.col("value").alias("yv"))
-    pairs = x.join(y, F.col("g").eqNullSafe(F.col("yg")) & (F.col("v") == F.col("yv")) & (F.col("a") < F.col("b"))).select("g", "a", "b").distinct()
+    need = F.greatest(F.lit(least), F.ceil(share * F.col("n") - 1e-9))
+    lead = ranked.where(F.col("k") <= F.col("n") - need + 1)
+    x = lead.select("g", F.col("holder").alias("a"), F.col("value").alias("v"), F.col("n").alias("xn"))
+    y = lead.select(F.col("g").alias("yg"), F.col("holder").alias("b"), F.col("value").alias("yv"), F.col("n").alias("yn"))
+    sized = F.least("xn", "yn") >= F.greatest("xn", "yn") * share - 1e-9
+    pairs = x.join(y, F.col("g").eqNullSafe(F.col("yg")) & (F.col("v") == F.col("yv")) & (F.col("a") < F.col("b")) & sized).select("g", "a", "b").distinct()
     p = ranked.select(F.col("g").alias("pg"), F.col("holder").alias("pa"), F.col("value").alias("pv"), F.col("n").alias("na"))
     q = ranked.select(F.col("g").alias("qg"), F.col("holder").alias("qb"), F.col("value").alias("qv"), F.col("n").alias("nb"))
     both = pairs.join(p, F.col("g").eqNullSafe(F.col("pg")) & (F.col("a") == F.col("pa"))).join(q, F.col("g").eqNullSafe(F.col("qg")) & (F.col("b") == F.col("qb")) & (F.col("pv") == F.col("qv")))
-    return both.groupBy("g", "a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("shared") >= least)
+    out = both.groupBy("g", "a", "b").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb")).where(F.col("shared") >= least)
+    return out.where(jaccard(out) >= share - 1e-9) if share else out
 
 
 def jaccard(pairs: DataFrame) -> Column:

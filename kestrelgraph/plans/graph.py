@@ -39,16 +39,18 @@ def property_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def analogies(spark: SparkSession, d: str) -> DataFrame:
-    pairs = mining.shared_pairs(_properties(spark, d), 2)
-    return pairs.select("g", "a", "b", F.round(mining.jaccard(pairs), 6).alias("similarity")).where("similarity >= 0.3")
+    """Pairs of similar subjects; those that have a single value in common are stated by value_classes."""
+    pairs = mining.shared_pairs(_properties(spark, d), 2, 0.3)
+    return pairs.select("g", "a", "b", F.round(mining.jaccard(pairs), 6).alias("similarity"))
 
 
 def structural_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of signature classes; each class stands for all its members."""
+    """Pairs of signature classes; each class stands for all its members. The number of pairs is the result's own: where
+    subjects have most relations of a small vocabulary, most classes are similar."""
     classes = mining.signatures(_edges(spark, d))
     items = classes.select("g", F.col("signature").alias("holder"), F.explode(F.split("signature", r"\|")).alias("value"))
-    pairs = mining.shared_pairs(items, 2)
-    return pairs.select("g", "a", "b", "shared", F.round(mining.jaccard(pairs), 6).alias("similarity")).where("similarity >= 0.5")
+    pairs = mining.shared_pairs(items, 2, 0.5)
+    return pairs.select("g", "a", "b", "shared", F.round(mining.jaccard(pairs), 6).alias("similarity"))
 
 
 def co_occurrence(spark: SparkSession, d: str) -> DataFrame:

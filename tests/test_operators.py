@@ -63,6 +63,9 @@ def test_shared_pairs_lose_none(spark, least):
         held.setdefault((g, h), set()).add(v)
     want = {(g, a, b): (len(held[g, a] & held[g, b]), len(held[g, a]), len(held[g, b])) for g, a in held for k, b in held if k == g and a < b and len(held[g, a] & held[g, b]) >= least}
     assert got == want
+    df = spark.createDataFrame(list(rows), "g string, holder string, value string")
+    near = {(r.g, r.a, r.b) for r in mining.shared_pairs(df, least, 0.6).collect()}
+    assert near == {k for k, (n, a, b) in want.items() if n / (a + b - n) >= 0.6 - 1e-9}
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
