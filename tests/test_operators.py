@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kestrelgraph.functions import confidence as C
 from kestrelgraph.functions import text as T
-from kestrelgraph.operators import frames, language, mining, reasoning, state, store
+from kestrelgraph.operators import answers, frames, language, mining, reasoning, state, statements, store
 from kestrelgraph.operators.reasoning import Rule
 from kestrelgraph.sources import readers
 from kestrelgraph.streaming import ingest
@@ -160,3 +160,32 @@ def test_event_windows_as_a_stream(spark, data, tmp_path):
     query = ingest.windowed(src.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value", "1 day").writeStream.outputMode("complete").format("memory").queryName("win").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("win").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_statement_patterns(spark):
+    texts = ["Dogs are a kind of mammal.", "The cat is not a dog", "Penguins cannot fly!", "Birds can fly, swim and run.", "A whale lives in the sea", "I live in the big city.", "If it rains, then the ground is wet", "Hm", "", None, "Crows have wings"]
+    got = column(spark, texts, statements.facts_of)
+    fact = lambda x: {tuple(f) for f in x}
+    assert fact(got[0]) == {("dogs", "is", "mammal"), ("mammal", "has_instance", "dogs")}
+    assert fact(got[1]) == {("cat", "is_not", "dog")} and fact(got[2]) == {("penguins", "cannot", "fly")}
+    assert fact(got[3]) == {("birds", "can", x) for x in ("fly", "swim", "run")} and fact(got[4]) == {("whale", "lives_in", "sea")}
+    assert fact(got[5]) == {("user", "lives_in", "big_city")} and fact(got[6]) == {("it_rains", "causes", "ground_is_wet")}
+    assert [len(x) for x in got[7:10]] == [0, 0, 0] and fact(got[10]) == {("crows", "has", "wings")}
+
+
+def test_hypotheticals_upserts_and_rules(spark):
+    turns = spark.createDataFrame([(1, i, t) for i, t in enumerate(["So.", "Suppose dogs fly.", "a", "b", "c", "d"])], "k int, turn int, said string")
+    assert [r.held for r in statements.hypothetical(turns, "k", "said").orderBy("turn").collect()] == [False, True, True, True, True, False]
+    rows = spark.createDataFrame([("a", 1, None), ("a", 2, "x"), ("b", None, "y")], "name string, at int, steps string")
+    assert sorted(tuple(r) for r in statements.last_wins(rows, ["name"], "at").collect()) == [("a", 2, "x"), ("b", None, "y")]
+    rules = column(spark, ["If a bird has wings then it can fly.", "if x then y", None], answers.rule_of)
+    assert [r and tuple(r) for r in rules] == [("bird", "has", "wings", "can", "fly"), None, None]
+
+
+def test_answers(spark):
+    e = spark.createDataFrame([("i", "cat", "chases", "mouse"), ("i", "cat", "chases", "big_mouse")], "instance string, subject string, relation string, object string")
+    forms = spark.createDataFrame([("chases", "chase"), ("chases", "chased")], "relation string, form string")
+    q = spark.createDataFrame([("1", "cat", "chase", "mouse"), ("2", "cat", "eats", "mouse"), ("3", "yak", "chased", "mouse"), ("4", "mouse", "chases", "cat")], "id string, subject string, relation string, object string")
+    assert {tuple(r) for r in answers.forward(e, q, forms).collect()} == {("1", "mouse"), ("1", "big_mouse")}
+    assert {tuple(r) for r in answers.reverse(e, q, forms).collect()} == {("1", "cat"), ("3", "cat")}
+    assert {r.id: r.verdict for r in answers.verdicts(e, q, forms).collect()} == {"1": "yes", "2": "no", "3": "unknown", "4": "no"}
