@@ -189,3 +189,17 @@ def test_answers(spark):
     assert {tuple(r) for r in answers.forward(e, q, forms).collect()} == {("1", "mouse"), ("1", "big_mouse")}
     assert {tuple(r) for r in answers.reverse(e, q, forms).collect()} == {("1", "cat"), ("3", "cat")}
     assert {r.id: r.verdict for r in answers.verdicts(e, q, forms).collect()} == {"1": "yes", "2": "no", "3": "unknown", "4": "no"}
+
+
+def test_packs(spark):
+    from kestrelgraph.sources import packs
+
+    assert {n: len(t.strip().splitlines()) for n, t in packs.PACKS.items()} == {"animals": 50, "nature": 30, "science": 26, "geography": 18}
+    all_ = packs.pack(spark)
+    assert all_.count() == 124 and ("animals", "dogs", "has", "tail") in {tuple(r) for r in all_.collect()}
+    assert packs.profile(packs.pack(spark, "nature")).first().relation == "causes"
+    p = packs.pack(spark, "animals", "science").selectExpr("subject as s", "relation as r", "object as o", "'high' as confidence")
+    up = reasoning.inferred(p.where("r = 'is'"))
+    assert ("dogs", "animals", "high") in {(r.s, r.o, r.confidence) for r in up.collect()}
+    got = reasoning.inherited(p.where("r = 'is'"), p.where("r <> 'is'"))
+    assert got.where("s = 'cats' and r = 'can' and o = 'bark'").count() == 0
