@@ -37,3 +37,14 @@ def visible(temporal: Column, query: str) -> Column:
     """Whether a fact of this temporal kind answers a query about another: always does, and currently also sometimes."""
     ok = (temporal == "always") | (temporal == query)
     return ok | (temporal == "currently") if query == "sometimes" else ok
+
+
+def heard(score: Column) -> Column:
+    """The level of a transcribed segment by the recogniser's own score."""
+    return F.when(score >= 0.9, "high").when(score >= 0.7, "medium").otherwise("low")
+
+
+def assigned(given: Column, source: Column, hedged: Column) -> Column:
+    """The level of a new fact: as given, low if hedged, else by where it came from (high without a source)."""
+    by_source = F.when(source.isNull() | source.isin("user", "clarification"), "high").when(source.isin("inference", "inheritance"), "medium").otherwise("low")
+    return F.coalesce(given, F.when(hedged, "low"), by_source)

@@ -171,7 +171,59 @@ def chain_labels(s: SparkSession, d: str) -> DataFrame:
     return far.groupBy("depth", C.label(F.col("score")).alias("confidence"), (F.col("score") >= C.KEPT_FROM - C.SLACK).alias("kept")).agg(F.count("*").alias("n"))
 
 
+def assigned_confidence(s: SparkSession, d: str) -> DataFrame:
+    f = table(s, d, "facts")
+    level = C.assigned(F.col("confidence"), F.col("source_type"), F.size("conditions") > 0)
+    return f.select("fact_id", level.alias("confidence")).groupBy("confidence").agg(F.count("*").alias("facts"), F.min("fact_id").alias("first"))
+
+
+def chain_ends(s: SparkSession, d: str) -> DataFrame:
+    """Where the part_of chains begin and end: nodes that are only ever a part, or only ever a whole."""
+    e = _hierarchy_edges(s, d)
+    low, high = e.select("g", F.col("s").alias("node")).distinct(), e.select("g", F.col("o").alias("node")).distinct()
+    first = low.join(high, ["g", "node"], "left_anti").withColumn("kind", F.lit("only a part"))
+    return first.unionByName(high.join(low, ["g", "node"], "left_anti").withColumn("kind", F.lit("only a whole")))
+
+
+def strong_connections(s: SparkSession, d: str) -> DataFrame:
+    f = table(s, d, "facts").where("context <> 'review' and relation <> 'part_of'")
+    return f.groupBy(*store.KEY).agg(F.count("*").alias("times")).orderBy(F.desc("times"), *store.KEY).limit(10)
+
+
+def recent_average(s: SparkSession, d: str) -> DataFrame:
+    """Each event with the mean value of its user's last twenty events."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-19, 0)
+    return table(s, d, "events").select("event_id", F.round(F.avg("value").over(w), 6).alias("recent"))
+
+
+def topic_changes(s: SparkSession, d: str) -> DataFrame:
+    """Turns of dialogues at which the topic changes, with the topic that is left and how many names came before."""
+    t = language.dialogue(table(s, d, "documents").where("text is not null"), "doc_id", "text")
+    before = Window.partitionBy("doc_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    rows = t.withColumn("earlier", F.count("named").over(before))
+    return rows.where("named is not null and topic is not null and named <> topic").select("doc_id", "turn", F.col("named").alias("topic"), F.col("topic").alias("was"), "earlier")
+
+
+def gated_rules(s: SparkSession, d: str) -> DataFrame:
+    """Rules "members of a category have a property": support, confidence, and lift over the property's base rate."""
+    parts = star.parts(s, d)
+    members = parts.where("r = 'is'").select(F.col("o").alias("category"), F.col("s").alias("member"))
+    props = parts.where("r <> 'is'").select("s", "r", "o")
+    total = members.select(F.count_distinct("member").alias("total"))
+    base = props.groupBy("r", "o").agg(F.count("*").alias("all")).join(F.broadcast(total))  # one row
+    rules = mining.coverage(members, props).join(base, ["r", "o"])
+    rate = F.col("all") / F.col("total")
+    out = rules.select("category", "r", "o", "holders", "ratio", F.round(rate, 6).alias("base_rate"), F.round(F.col("ratio") / rate, 6).alias("lift"))
+    return out.where("holders >= 3 and base_rate <= 0.8 and lift >= 1.2")
+
+
 QUERIES = {
+    "assigned_confidence": assigned_confidence,
+    "chain_ends": chain_ends,
+    "strong_connections": strong_connections,
+    "recent_average": recent_average,
+    "topic_changes": topic_changes,
+    "gated_rules": gated_rules,
     "answers_forward": lambda s, d: answers.forward(_e(s, d), _asked(s, d), _forms(s, d)),
     "answers_reverse": lambda s, d: answers.reverse(_e(s, d), _asked(s, d), _forms(s, d)),
     "answers_yesno": yesno,
@@ -208,7 +260,23 @@ _PROPS = f"{_E}, p as (select instance as g, subject as holder, relation || '|'
 _PRETTY = lambda c: f"replace({c}, '_', ' ')"
 _TOP = f"{_E}, n as (select instance, subject, count(*) as n from e group by 1, 2), top as (select *, row_number() over (partition by instance order by n desc, subject)::int as k from n)"
 _ACT = "case " + " ".join(f"when regexp_matches(lower(x), '{p}') then '{n}'" for n, p in language.ACTS) + " else 'chatting' end"
+_TURNS = r"""l as (select doc_id, unnest(string_split_regex(text, '\r?\n')) as line, unnest(range(len(string_split_regex(text, '\r?\n'))))::int as turn from documents where text is not null),
+t as (select doc_id, turn, regexp_extract(line, '^(User|System|Teacher|Speaker \d+): (.+)$', 2) as said from l where regexp_matches(line, '^(User|System|Teacher|Speaker \d+): (.+)$')),
+n as (select *, nullif(regexp_extract(regexp_replace(said, '^\S+', ''), '\b([A-Z][a-z]{3,})\b', 1), '') as named from t)"""
 SQL = {
+    "assigned_confidence": """select coalesce(confidence, case when len(conditions) > 0 then 'low' when source_type is null or source_type in ('user', 'clarification') then 'high' when source_type in ('inference', 'inheritance') then 'medium' else 'low' end) as confidence,
+  count(*) as facts, min(fact_id) as "first" from facts group by 1""",
+    "chain_ends": f"""with {_UP} select distinct g, s as node, 'only a part' as kind from h where not exists (select 1 from h x where x.g = h.g and x.o = h.s)
+union all select distinct g, o, 'only a whole' from h where not exists (select 1 from h x where x.g = h.g and x.s = h.o)""",
+    "strong_connections": "select instance, subject, relation, object, count(*) as times from facts where context <> 'review' and relation <> 'part_of' group by 1, 2, 3, 4 order by times desc, 1, 2, 3, 4 limit 10",
+    "recent_average": "select event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between 19 preceding and current row), 6) as recent from events",
+    "topic_changes": f"""with {_TURNS}, w as (select doc_id, turn, named, last_value(named ignore nulls) over k as was, count(named) over k as earlier from n
+window k as (partition by doc_id order by turn rows between unbounded preceding and 1 preceding))
+select doc_id, turn, named as topic, was, earlier from w where named is not null and was is not null and named <> was""",
+    "gated_rules": f"""with {star.PARTS_SQL}, m as (select o as category, s as member from parts where r = 'is'), z as (select category, count(*) as size from m group by 1), t as (select count(distinct member) as total from m),
+b as (select r, o, count(*) as n from parts where r <> 'is' group by 1, 2),
+c as (select m.category, p.r, p.o, count(*) as holders, round(count(*) / any_value(size), 6) as ratio from m join parts p on p.s = m.member and p.r <> 'is' join z using (category) group by 1, 2, 3)
+select category, c.r, c.o, holders, ratio, round(n / total, 6) as base_rate, round(ratio / (n / total), 6) as lift from c join b on b.r = c.r and b.o = c.o, t where holders >= 3 and round(n / total, 6) <= 0.8 and round(ratio / (n / total), 6) >= 1.2""",
     "answers_forward": f"with {_ASK} select distinct id, e.object as answer from meant m join e on e.subject = m.subject and e.relation = m.meant",
     "answers_reverse": f"with {_ASK} select distinct id, e.subject as answer from meant m join e on e.relation = m.meant and (contains(e.object, m.object) or contains(m.object, e.object))",
     "answers_yesno": f"""with {_ASK}, q as (select id, subject, relation, object from asked union all select id || '|other', subject, relation, reverse(object) from asked union all select id || '|none', subject || '_zz', relation, object from asked),
