@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrelgraph.runtime import ship
+
 #: Keeps ids clear of control characters; the largest id of a 50k vocabulary stays below the surrogates.
 SHIFT = 256
 BUCKETS = 1 << 16
@@ -227,6 +229,7 @@ def encode_corpus(documents: DataFrame, key: str, text: str, path: str) -> DataF
     heap-based path in Arrow batches, with the same result; all others never leave the JVM.
     """
     spark = documents.sparkSession
+    ship(spark)
     rows = documents.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__text"))
     encoder = Encoder(spark, path).learn(documents, text)
 

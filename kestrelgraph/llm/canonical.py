@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kestrelgraph.runtime import ship
+
 UNMATCHED = "unmatched"
 #: Reference entries per BK-tree, and so per broadcast.
 SHARD_ENTRIES = 20_000
@@ -155,6 +157,7 @@ def canonical_map(values: DataFrame, reference: DataFrame, entry: str, spellings
     unmatched; with an empty reference list everything is.
     """
     spark = values.sparkSession
+    ship(spark)
     (column,) = values.columns
     # few bytes but much work for each value: spread over all cores
     distinct = values.select(F.col(f"`{column}`").alias("value")).where("value is not null").distinct().repartition(2 * spark.sparkContext.defaultParallelism)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrelgraph.llm.canonical import LOOKALIKES
+from kestrelgraph.runtime import ship
 
 K1, B = 1.2, 0.75
 #: Share of an item's self-score from which it is retrieved, and share of its wording from which it has leaked. The
@@ -198,6 +199,7 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item: str
     are read once for each block of items and never shuffled.
     """
     spark = documents.sparkSession
+    ship(spark)
     kind = documents.schema[key].dataType.simpleString()
     listed = items.select(F.col(f"`{item}`").cast("bigint").alias("i"), F.col(f"`{item_text}`").alias("t")).where("i is not null")
     blocks = max(1, -(-listed.count() // block))
