@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrelgraph.runtime import materialize
+from kestrelgraph.runtime import materialize, ship
 
 #: Nodes that one task contracts at a time.
 FRAGMENT_ROWS = 50_000
@@ -149,6 +149,7 @@ def forest(nodes: DataFrame, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
         "g", "k", "t", F.col("k").alias("frag"), F.lit(1).cast("bigint").alias("n"), F.col("k").alias("low"),
         F.when(is_root, TREE).otherwise(OPEN).cast("int").alias("st"), F.when(is_root, F.col("k")).alias("root"),
     )
+    ship(nodes.sparkSession)
     solved = _solve(materialize(start), 0, fragment_rows)
     tree = F.col("st") == TREE
     return solved.select("g", F.col("k").alias("node"), "root", F.when(tree, F.col("n") - 1).otherwise(F.col("st")).cast("bigint").alias("depth"), F.when(tree, F.replace("frag", F.lit(SEP), F.lit("/"))).otherwise("").alias("path"), F.when(tree, F.split("frag", SEP)).alias("trail"))

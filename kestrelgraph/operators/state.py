@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrelgraph.runtime import ship
+
 # Activation decay a tick, and the level below which it ends; edge weights and what moves them.
 DECAY, GONE = 0.88, 0.01
 WEIGHT, LEAST_WEIGHT, MOST_WEIGHT, WEAKEN = 1.0, 0.1, 5.0, 0.05
@@ -63,6 +65,7 @@ def edge_weights(events: DataFrame, group: str, edge: str, order: str) -> DataFr
     and a half times it to any other. The threshold depends on every earlier use, so each group is one ordered fold:
     it streams through its rows in order and keeps a group's edges only.
     """
+    ship(events.sparkSession)
     kind = events.schema[group].dataType.simpleString()
     rows = events.select(F.col(group).alias("group"), F.col(edge).cast("string").alias("edge"), F.col(order).alias("at")).where("edge is not null")
     placed = rows.repartition("group").sortWithinPartitions("group", "at", "edge").select("group", "edge")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +66,20 @@ def materialize(df: DataFrame, files: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once for each context: executors need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kestrelgraph_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="kestrel-ship-")
+    copy = Path(folder, "src", home.name)
+    shutil.copytree(home, copy, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(Path(folder, f"kestrelgraph-{uuid.uuid4().hex[:8]}")), "zip", copy.parent))
+    atexit.register(shutil.rmtree, folder, True)
+    sc._kestrelgraph_shipped = True
+
+
 def fresh(names: Iterable[str], taken: Iterable[str]) -> list[str]:
     """Column names derived from names that clash with none of taken (which Spark compares without case)."""
     used = {x.lower() for x in taken}
