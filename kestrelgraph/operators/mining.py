@@ -34,6 +34,27 @@ def shared_pairs(items: DataFrame, least: int, share: float = 0.0) -> DataFrame:
     return out.where(jaccard(out) >= share - 1e-9) if share else out
 
 
+def similar_sets(items: DataFrame, share: float) -> DataFrame:
+    """(g, a, b, shared, na, nb): all pairs a < b of holders whose value sets have at least the Jaccard similarity share > 0.
+
+    items is (g, holder, value), distinct. Holders of equal sets form a class; its first holder is compared for all of
+    them, so a hot value that many have alone costs one comparison. The result names every pair of holders and is as
+    large as that.
+    """
+    sets = items.groupBy("g", "holder").agg(F.array_sort(F.collect_list("value")).alias("vs"))
+    classes = materialize(sets.groupBy("g", "vs").agg(F.min("holder").alias("first"), F.collect_list("holder").alias("holders")))
+    pairs = shared_pairs(classes.select("g", F.col("first").alias("holder"), F.explode("vs").alias("value")), 1, share)
+    of = lambda g, k, m: classes.select(F.col("g").alias(g), F.col("first").alias(k), F.col("holders").alias(m))
+    apart = pairs.join(of("xg", "xk", "xs"), F.col("g").eqNullSafe(F.col("xg")) & (F.col("a") == F.col("xk"))).join(of("yg", "yk", "ys"), F.col("g").eqNullSafe(F.col("yg")) & (F.col("b") == F.col("yk")))
+    apart = apart.select("g", F.explode("xs").alias("x"), "ys", "shared", "na", "nb").select("g", "x", F.explode("ys").alias("y"), "shared", "na", "nb")
+    turn = F.col("x") > F.col("y")
+    apart = apart.select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", F.when(turn, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turn, F.col("na")).otherwise(F.col("nb")).alias("nb"))
+    n = F.size("vs").cast("long")
+    within = classes.where(F.size("holders") > 1).select("g", F.explode("holders").alias("a"), "holders", n.alias("shared"))
+    within = within.select("g", "a", F.explode("holders").alias("b"), "shared", F.col("shared").alias("na"), F.col("shared").alias("nb")).where("a < b")
+    return apart.unionByName(within)
+
+
 def jaccard(pairs: DataFrame) -> Column:
     return F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
 

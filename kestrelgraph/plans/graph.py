@@ -39,8 +39,8 @@ def property_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def analogies(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of similar subjects; those that have a single value in common are stated by value_classes."""
-    pairs = mining.shared_pairs(_properties(spark, d), 2, 0.3)
+    """All pairs of subjects with a property-set similarity of at least 0.3, those with one property in common included."""
+    pairs = mining.similar_sets(_properties(spark, d), 0.3)
     return pairs.select("g", "a", "b", F.round(mining.jaccard(pairs), 6).alias("similarity"))
 
 
