@@ -34,6 +34,9 @@ PATTERNS = [
     (rf"^{_N} (?:has|have) {_O}$", "has", 1, 2),
     (rf"^{_N} (?:is|are) {_O}$", "is", 1, 2),
 ]
+#: What any sentence has that fits a pattern: its letters (an "if" may have others), and its opening or its verb.
+LETTERS = r"^(?:[a-z0-9', -]+$|if )"
+CUES = r"^(?:my|i|i'm|if) | (?:is|are|cannot|can|can't|do|does|don't|doesn't|lives?|may|might|could|becomes?|eats?|feeds|needs?|causes?|has|have) "
 #: What joins two clauses, and what kind of clause follows.
 CONNECTORS = {"because": "cause", "so": "effect", "but": "contrast", "though": "contrast", "yet": "contrast", "which": "relative", "who": "relative", "and": "addition"}
 CLAUSE = r", (?=(?:" + "|".join(CONNECTORS) + r") )"
@@ -63,7 +66,10 @@ def facts_of(sentence: Column) -> Column:
 
     "A is a B" also gives (B, has_instance, A); "a, b and c" in the object gives a fact each. No fit gives an empty array.
     """
-    t = cleaned(sentence)
+    return _facts(cleaned(sentence))
+
+
+def _facts(t: Column) -> Column:
     empty = F.array().cast("array<struct<subject:string,relation:string,object:string>>")
     branches = []
     for pattern, relation, s, o in PATTERNS:
@@ -79,8 +85,10 @@ def facts_of(sentence: Column) -> Column:
 
 def read(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, at, subject, relation, object): the facts of all sentences of the texts."""
-    rows = texts.select(F.col(key).alias(key), F.posexplode(language.sentences(F.col(text))).alias("at", "s"))
-    return rows.select(key, "at", F.explode(facts_of(F.col("s"))).alias("f")).select(key, "at", "f.*")
+    rows = texts.select(F.col(key).alias(key), F.posexplode(F.transform(language.sentences(F.col(text)), cleaned)).alias("at", "t"))
+    rows = rows.where(F.rlike("t", F.lit(LETTERS)) & F.rlike("t", F.lit(CUES)))
+    # the outer form, as for the plain one all patterns would be tried twice: once in a filter that Spark adds
+    return rows.select(key, "at", F.explode_outer(_facts(F.col("t"))).alias("f")).where("f is not null").select(key, "at", "f.*")
 
 
 def clauses(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -241,7 +241,7 @@ QUERIES = {
     "tenant_catalog": tenants,
     "sentence_structure": sentence_structure,
     "dialogue_turns": dialogue,
-    "sentence_links": lambda s, d: language.sentence_links(table(s, d, "documents").where("lang = 'en'"), "doc_id", "text"),
+    "sentence_links": lambda s, d: language.sentence_links(table(s, d, "documents"), "doc_id", "text"),
     "weak_entities": weak_entities,
     "acknowledgements": acknowledgements,
     "parsed_rules": parsed_rules,

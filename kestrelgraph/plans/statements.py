@@ -27,7 +27,7 @@ def session_state(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "statement_patterns": lambda s, d: statements.read(_prose(s, d).where("lang = 'en'"), "doc_id", "text"),
+    "statement_patterns": lambda s, d: statements.read(_prose(s, d), "doc_id", "text"),
     "clauses": lambda s, d: statements.clauses(table(s, d, "eval_items"), "item_id", "text"),
     "style_openers": lambda s, d: statements.openers(_prose(s, d), "lang", "text"),
     "salience": lambda s, d: statements.salience(language.dialogue(_prose(s, d), "doc_id", "text"), "doc_id"),

@@ -1,6 +1,7 @@
 """Queries read all rows and keep all results that their definition asks for."""
 
 import duckdb
+import pytest
 
 import __spark_entry__ as registry
 
@@ -21,3 +22,14 @@ def test_similar_sets(spark):
     got = {tuple(r) for r in mining.similar_sets(items, 0.3).collect()}
     want = {(g, a, b, len(set(x) & set(y)), len(x), len(y)) for g in ("one", None) for a, x in held.items() for b, y in held.items() if a < b and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.3}
     assert got == want and ("one", "a", "b", 1, 1, 1) in got and ("one", "a", "e", 1, 1, 4) not in got
+
+
+@pytest.mark.parametrize("name", ["statement_patterns", "sentence_links"])
+def test_documents_of_every_language_label_are_read(spark, data, name):
+    sql = registry.oracle_sql()[name]
+    assert " and lang = 'en'" in sql
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{data}/documents.parquet'")
+    got = registry.queries()[name](spark, data)
+    rel = con.sql(sql.replace(" and lang = 'en'", ""))
+    assert sorted(tuple(r) for r in got.select(*rel.columns).collect()) == sorted(rel.fetchall())
