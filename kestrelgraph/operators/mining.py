@@ -136,14 +136,16 @@ def bridges(members: DataFrame) -> DataFrame:
     return out.select(pick("a", "b").alias("a"), "relation", pick("b", "a").alias("b"), "shared", pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"))
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(node, component): connected components of undirected pairs (a, b), labelled by their smallest node.
 
     Alternates joining every node's neighbours to the smallest of them with doing so only for larger neighbours; the
-    number of rounds grows with the logarithm of the largest component. A hub's neighbours are only aggregated.
+    number of rounds grows with the logarithm of the largest component. It goes on until nothing changes. A hub's
+    neighbours are only aggregated.
     """
     e = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    changed = True
+    while changed:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.join(low, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
@@ -154,7 +156,5 @@ def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
         new = materialize(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         changed = not (new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty())
         e = new
-        if not changed:
-            break
     roots = e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))

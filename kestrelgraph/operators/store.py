@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,22 +126,25 @@ def corrections(facts: DataFrame) -> DataFrame:
     return past.unionByName(own).distinct()
 
 
-def retract(facts: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:
+def retract(facts: DataFrame, seeds: DataFrame) -> DataFrame:
     """(instance, s, r, o, step): the seed facts and everything that cites a retracted fact, directly or not.
 
-    A fixpoint over the cited premises: each round joins only what the round before found, so mutual premises end.
+    A fixpoint over the cited premises: each round joins only what the round before found, so mutual premises end. It
+    goes on until a round finds nothing; it always ends, as every round but the last adds facts.
     """
     cites = materialize(premise_edges(facts))
     gone = seeds.select("instance", "s", "r", "o").distinct().withColumn("step", F.lit(0))
     gone = materialize(gone)
     delta, done = gone, gone
-    for step in range(1, rounds):
+    for step in count(1):
         d = delta.select(F.col("instance").alias("di"), F.col("s").alias("ds"), F.col("r").alias("dr"), F.col("o").alias("do"))
         found = cites.join(d, (F.col("instance") == F.col("di")) & (F.col("ps") == F.col("ds")) & (F.col("pr") == F.col("dr")) & (F.col("po") == F.col("do"))).select("instance", "s", "r", "o").distinct()
         delta = materialize(found.join(done, ["instance", "s", "r", "o"], "left_anti").withColumn("step", F.lit(step)))
         if delta.isEmpty():
             break
         done = done.unionByName(delta)
+        if step % 20 == 0:  # one table again, so that a long chain does not grow the plan
+            done = materialize(done)
     return done
 
 

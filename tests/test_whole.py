@@ -33,3 +33,13 @@ def test_documents_of_every_language_label_are_read(spark, data, name):
     got = registry.queries()[name](spark, data)
     rel = con.sql(sql.replace(" and lang = 'en'", ""))
     assert sorted(tuple(r) for r in got.select(*rel.columns).collect()) == sorted(rel.fetchall())
+
+
+def test_retraction_follows_a_chain_of_any_length(spark):
+    from kestrelgraph.operators import store
+
+    n = 103
+    premise = lambda k: [(f"f{k - 1}", "r", "o")] if k else []
+    facts = spark.createDataFrame([("i", f"f{k}", "r", "o", premise(k)) for k in range(n)], "instance string, subject string, relation string, object string, premises array<struct<subject:string,relation:string,object:string>>").coalesce(1)
+    seeds = spark.createDataFrame([("i", "f0", "r", "o")], "instance string, s string, r string, o string")
+    assert {(r.s, r.step) for r in store.retract(facts, seeds).collect()} == {(f"f{k}", k) for k in range(n)}
