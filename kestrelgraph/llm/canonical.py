@@ -132,9 +132,9 @@ class Lookup:
             out.tree.add(key)
         return out
 
-    def best(self, value: str) -> tuple[float, str] | None:
-        """(cost, entry) of the closest entry, or None; ties in cost go to the closer spelling, then to the alphabet."""
-        found = []
+    def candidates(self, value: str) -> tuple[list[tuple[float, float, str]], dict[int, set[str]]]:
+        """(cost, share edited, entry) of the close spellings; by reading, the entries that it is a beginning of."""
+        found, cuts = [], {}
         for order, key in enumerate(readings(value)):
             if key in self.entry:  # nothing is closer than the spelling itself
                 found += [(0.01 * order, 0.0, e) for e in self.entry[key]]
@@ -142,12 +142,26 @@ class Lookup:
             for k, spelling in self.tree.find(key, int(EDIT_SHARE * max(len(key), 3))):
                 if k <= EDIT_SHARE * max(len(spelling), 3):
                     found += [(k + 0.01 * order, k / len(spelling), e) for e in self.entry[spelling]]
-            if len(cut := self.begins.get(key, ())) == 1:
-                found += [(0.5 + 0.01 * order, 0.0, e) for e in cut]
-        if not found:
-            return None
-        k, share, entry = min(found)
-        return k + share / 10, entry
+            if cut := self.begins.get(key):
+                cuts[order] = cut
+        return found, cuts
+
+    def best(self, value: str) -> tuple[float, float, str] | None:
+        """The closest entry, or None; ties in cost go to the closer spelling, then to the alphabet. For a whole list."""
+        found, cuts = self.candidates(value)
+        found += [(_cut(order), 0.0, e) for order, cut in cuts.items() if len(cut) == 1 for e in cut]
+        return min(found, default=None)
+
+    def partial(self, value: str) -> list[tuple[int, float | None, float | None, str | None]]:
+        """(reading, cost, share edited, entry) of what one of several shards finds: its closest spelling as reading -1,
+        and of each reading's beginnings two entries at most, as two are ambiguous already."""
+        found, cuts = self.candidates(value)
+        return [(-1, *min(found, default=(None, None, None)))] + [(order, _cut(order), 0.0, e) for order, cut in cuts.items() for e in list(cut)[:2]]
+
+
+def _cut(order: int) -> float:
+    """The cost of an unambiguous beginning."""
+    return 0.5 + 0.01 * order
 
 
 def canonical_map(values: DataFrame, reference: DataFrame, entry: str, spellings: list[str], shard_entries: int = SHARD_ENTRIES) -> DataFrame:
@@ -171,13 +185,18 @@ def canonical_map(values: DataFrame, reference: DataFrame, entry: str, spellings
         def search(batches: Iterator[pd.DataFrame], lookup=lookup) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 hit = [lookup.value.best(v) for v in pdf["value"]]
-                yield pd.DataFrame({"value": pdf["value"], "cost": [h[0] if h else None for h in hit], "hit": [h[1] if h else None for h in hit]})
+                yield pd.DataFrame({"value": pdf["value"], "hit": [h[2] if h else None for h in hit]})
+
+        def search_shard(batches: Iterator[pd.DataFrame], lookup=lookup) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame([(v, *c) for v in pdf["value"] for c in lookup.value.partial(v)], columns=["value", "reading", "cost", "share", "hit"])
 
-        part = distinct.mapInPandas(search, "value string, cost double, hit string")
+        part = distinct.mapInPandas(search_shard, "value string, reading int, cost double, share double, hit string") if shards > 1 else distinct.mapInPandas(search, "value string, hit string")
         best = part if best is None else best.unionByName(part)
-    if shards > 1:
-        found = F.struct(F.col("cost").isNull().alias("none"), "cost", "hit")
-        best = best.groupBy("value").agg(F.min(found).alias("b")).select("value", F.col("b.hit").alias("hit"))
+    if shards > 1:  # only here is known whether a beginning is another shard's too
+        found = F.when(F.col("hit").isNotNull(), F.struct("cost", "share", "hit"))
+        best = best.groupBy("value", "reading").agg(F.min(found).alias("b"), (F.min("hit") != F.max("hit")).alias("several")).select("value", F.when((F.col("reading") < 0) | ~F.col("several"), F.col("b")).alias("b"))
+        best = best.groupBy("value").agg(F.min("b").alias("b")).select("value", F.col("b.hit").alias("hit"))
     return best.select("value", F.coalesce("hit", F.lit(UNMATCHED)).alias("match"))
 
 

@@ -135,3 +135,11 @@ def test_queries_of_consensus_and_mapping(spark, data):
     assert len(got) == len(stray) and {r.fact_id for r in got} == stray
     names = {r[0] for r in con.sql("select relation from relation_defs").fetchall()} | {"unmatched"}
     assert {r.relation for r in got} <= names
+
+
+def test_ambiguous_beginnings_are_unmatched_in_shards_too(spark):
+    ref = spark.createDataFrame([(f"whistles_{x}",) for x in ("at", "by", "for", "over", "past", "under")] + [("drifts_toward",)], "entry string")
+    want = {"whist": "unmatched", "drift": "drifts_toward", "often drifts": "drifts_toward", "whistles_und": "whistles_under", "grumble": "unmatched"}
+    rows = spark.createDataFrame([(v,) for v in want], "relation string")
+    for shard in (100, 1):
+        assert {r.relation: r.canonical_relation for r in canonical.map_values(rows, "relation", ref, "entry", [], shard).collect()} == want
