@@ -93,7 +93,7 @@ def _frames(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sure = F.when(F.col("p_size") > 10, "high").otherwise("low")
     facts = F.array(F.struct(slot.alias("r"), words[0].alias("o"), sure.alias("c")), F.struct(F.lit("has").alias("r"), words[1].alias("o"), F.lit("high").alias("c")), F.struct(F.lit("can").alias("r"), F.concat(F.lit("be_"), "brand").alias("o"), F.lit("high").alias("c")))
     rows = parts.select(F.col("name").alias("s"), F.explode(facts).alias("f")).select("s", "f.r", "f.o", F.col("f.c").alias("confidence"))
-    wide = parts.where("p_size > 40").select(F.col("type").alias("category"), F.col("name").alias("member")).distinct()
+    wide = parts.select(F.col("type").alias("category"), F.col("name").alias("member")).distinct()
     return frames.slots(rows), wide
 
 
