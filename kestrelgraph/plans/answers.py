@@ -21,7 +21,7 @@ def _e(s: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
-    """A question about every user-taught fact of one instance: its subject, base verb and object."""
+    """A question about every clarification outside review whose relation is in relation_defs: its subject, base verb and object."""
     base = table(s, d, "relation_defs").select(F.col("relation").alias("br"), "base_verb")
     f = store.edges(table(s, d, "facts").where("source_type = 'clarification' and context <> 'review'"))
     rows = f.join(base, F.col("relation") == F.col("br")).select(F.concat_ws("|", *store.KEY).alias("id"), "subject", F.col("base_verb").alias("relation"), "object")
