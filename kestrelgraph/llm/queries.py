@@ -52,11 +52,11 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).where("part = 'passage'").select("doc_id", "item_id")
 
 
 def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).selectExpr("doc_id", "item_id", "round(score, 6) as score", "round(coverage, 6) as coverage")
+    return _leaks(spark, sf_dir).selectExpr("doc_id", "item_id", "part", "round(score, 6) as score", "round(coverage, 6) as coverage")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,22 +77,55 @@ def test_leaks_are_found_however_they_are_set(spark):
     rows = [(i, t, 0) for i, t in (cases | clean).items()] + [(1, cases[1], 1)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, item_id int")
     it = spark.createDataFrame(items, "item_id bigint, text string")
-    for block in (20_000, 11):
-        got = [(r.doc_id, r.item_id) for r in leakage.leaks(d, "doc_id", "text", it, "item_id", "text", block).collect()]
+    for shard in (20_000, 11):
+        got = [(r.doc_id, r.item_id) for r in leakage.leaks(d, "doc_id", "text", it, "item_id", "text", shard).where("part = 'passage'").collect()]
         assert sorted(got) == sorted([(i, k) for i in [*cases, 1] for k in (3, 100)])
     assert leakage.leaks(d.limit(0), "doc_id", "text", it, "item_id", "text").count() == 0
     assert leakage.leaks(d, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
 
 
+def test_near_equal_items_are_all_found_whatever_the_shards(spark):
+    """Planted cases with known answers: items that differ in a word, share half of their wording, or a frame sentence."""
+    rng = random.Random(12)
+    frame = "as far as the record goes this was noted by the keeper of the list"
+    bodies = [f"{passage(rng, 30)} {frame} {passage(rng, 30)}" for _ in range(40)]
+    near = []
+    for k in range(12):  # variants of one passage: they differ in a word each
+        w = bodies[0].split()
+        w[5 + 3 * k] = f"changed{k}"
+        near.append(" ".join(w))
+    half = " ".join(bodies[1].split()[:38]) + " " + passage(rng, 36)
+    items = [(i, b) for i, b in enumerate(bodies)] + [(100 + k, b) for k, b in enumerate(near)] + [(200, half)]
+    docs_ = {1: (bodies[0], {0, *range(100, 112)}), 2: (near[3] + passage(rng, 40), {0, *range(100, 112)}), 3: (bodies[1], {1, 200}), 4: (half, {1, 200}), 5: (f"{passage(rng, 50)} {frame} {passage(rng, 50)}", set()), 6: (bodies[7], {7})}
+    d = spark.createDataFrame([(i, t) for i, (t, _) in docs_.items()], "doc_id bigint, text string")
+    it = spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(i, k) for i, (_, ks) in docs_.items() for k in ks}
+    results = [sorted(tuple(r) for r in leakage.leaks(d, "doc_id", "text", it, "item_id", "text", shard).collect()) for shard in (1000, 9, 2)]
+    for rows in results:
+        assert {(r[0], r[1]) for r in rows} == want
+        assert [(r[:3], pytest.approx(r[3:])) for r in rows] == [(r[:3], r[3:]) for r in results[0]]
+
+
+def test_questions_and_answers_are_reported_apart(spark):
+    rng = random.Random(13)
+    lines = "Read this and answer.\n{}\nQuestion: which of the w{} keepers left w{} and w{} behind?\nAnswer: the w{} keeper with w{} and w{}"
+    items = [(i, lines.format(passage(rng), *(rng.randrange(4000) for _ in range(6)))) for i in range(20)]
+    ask, reply = items[4][1].splitlines()[-2:]
+    rows = [(1, f"{passage(rng)} {ask[10:]} {passage(rng)}"), (2, items[4][1].splitlines()[1]), (3, f"{passage(rng)} {reply[8:]}"), (4, passage(rng))]
+    out = leakage.leaks(spark.createDataFrame(rows, "score bigint, text string"), "score", "text", spark.createDataFrame(items, "part bigint, text string"), "part", "text")
+    assert sorted(tuple(r)[:3] for r in out.collect()) == [(1, 4, "question"), (2, 4, "passage"), (3, 4, "answer")]
+
+
 def test_skipping_loses_no_passage():
     rng = random.Random(1)
     bodies = {i: passage(rng, rng.randrange(24, 60)).split() for i in range(200)}
-    index = leakage.Index.of(bodies)
-    texts = [" ".join(sum((bodies[rng.randrange(200)][: rng.randrange(3, 40)] for _ in range(6)), [])) for _ in range(60)]
-    got = {(n, index.ids[p][0]) for n, p, _, _ in index.search(texts)}
+    grams = {i: list(zip(b, b[1:], b[2:])) for i, b in bodies.items()}
+    used = Counter(g for x in grams.values() for g in set(x))
+    index = leakage.Index.of([(i, 0, b, [used[g] for g in grams[i]]) for i, b in bodies.items()], 200, sum(map(len, grams.values())) / 200)
+    texts = [sum((bodies[rng.randrange(200)][: rng.randrange(3, 40)] for _ in range(6)), []) for _ in range(60)]
+    got = {(n, int(index.entry[p])) for n, p, _, _ in index.search(texts)}
     want = set()
-    for n, t in enumerate(texts):
-        w = t.split()
+    for n, w in enumerate(texts):
         have = set(zip(w, w[1:], w[2:]))
         for i, b in bodies.items():
             spots = {k + j for k in range(len(b) - 2) if tuple(b[k : k + 3]) in have for j in range(3)}
@@ -142,7 +176,7 @@ def test_statistics_of_known_texts(spark):
 
 def test_queries_over_texts(spark, data):
     found = {(r.doc_id, r.item_id) for r in queries.p7_found(spark, data).collect()}
-    assert found and found == {(r.doc_id, r.item_id) for r in queries.p7_scores(spark, data).collect()}
+    assert found and found == {(r.doc_id, r.item_id) for r in queries.p7_scores(spark, data).where("part = 'passage'").collect()}
     ids = [r.doc_id for r in queries.p8_found(spark, data).collect()]
     assert len(ids) == len(set(ids)) == queries.p8_statistics(spark, data).where("not prose").count() > 0
 
