@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrelgraph.operators import delivery, hierarchy, rolling
-from kestrelgraph.runtime import table
+from kestrelgraph.runtime import materialize, scratch_path, table
 
 MEASURES = {"in": "input_tokens", "out": "output_tokens"}
 
@@ -32,23 +32,35 @@ def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(_forest(spark, sf_dir)).withColumnRenamed("g", "instance")
 
 
-def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = delivery.once(table(spark, sf_dir, "turns"), "message_id", "id", ["timestamp", "cwd", *MEASURES.values()])
-    return rolling.rolling(rolling.daily(kept, "cwd", "timestamp", MEASURES), list(MEASURES))
+def _state(spark: SparkSession, sf_dir: str) -> rolling.State:
+    """The rolling state of every working directory, a version for each month in which its files were delivered.
+
+    A file's delivery date is in its path; rows of earlier days come late and correct what has been computed.
+    """
+    kept = delivery.once(table(spark, sf_dir, "turns"), "message_id", "id", ["timestamp", "cwd", "batch_path", *MEASURES.values()])
+    month = F.coalesce(F.nullif(F.regexp_extract("batch_path", r"/(\d{4}-\d{2})-\d{2}/", 1), F.lit("")), F.date_format("timestamp", "yyyy-MM"))
+    arrivals = materialize(rolling.daily(kept.withColumn("period", month), "cwd", "timestamp", MEASURES, "period"))
+    return rolling.replay(arrivals, "period", scratch_path(spark), list(MEASURES))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _totals(spark, sf_dir).select(F.col("entity").alias("cwd"), F.date_format("day", "yyyy-MM-dd").alias("activity_date"), "in_7", "in_30", "out_7", "out_30")
+    return _state(spark, sf_dir).totals().select(F.col("entity").alias("cwd"), F.date_format("day", "yyyy-MM-dd").alias("activity_date"), "in_7", "in_30", "out_7", "out_30")
+
+
+def p5_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates that each version recomputed: new days, and those that late rows reach."""
+    text = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return _state(spark, sf_dir).read("bounds").select("version", F.col("entity").alias("cwd"), text("from_day"), text("to_day"))
 
 
 def p5_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = rolling.averages(_totals(spark, sf_dir), list(MEASURES))
+    means = rolling.averages(_state(spark, sf_dir).totals(), list(MEASURES))
     return means.select(
         F.col("entity").alias("cwd"), F.date_format("day", "yyyy-MM-dd").alias("activity_date"), *[F.round(f"avg_{m}_{s}", 6).alias(f"avg_{m}_{s}") for m in MEASURES for s in rolling.SPANS]
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_once": p2_once, "p3_found": p3_found, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_averages": p5_averages}
+QUERIES = {"p2_found": p2_found, "p2_once": p2_once, "p3_found": p3_found, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_averages": p5_averages, "p5_recomputed": p5_recomputed}
 
 _KEPT = """
 kept as (
@@ -98,6 +110,16 @@ union all select instance, node, root, cast(depth as bigint), '' from rings""",
 pairs as (select instance, node as descendant, depth, unnest(trail) as node, unnest(range(len(trail))) as pos from trees)
 select instance, node, descendant, cast(depth - pos as bigint) as distance from pairs where pos < depth""",
     "p5_found": f"with {_DAYS} select * from totals",
+    "p5_recomputed": f"""with {_KEPT},
+days as (
+  select cwd, cast("timestamp" as date) as d, coalesce(nullif(regexp_extract(batch_path, '/([0-9]{{4}}-[0-9]{{2}})-[0-9]{{2}}/', 1), ''), strftime("timestamp", '%Y-%m')) as period
+  from kept where "timestamp" is not null and cwd is not null),
+bounds as (select cwd, period, min(d) as low, max(d) as high from days group by 1, 2),
+old as (
+  select *, min(low) over w as old_first, max(high) over w as old_last from bounds
+  window w as (partition by cwd order by period rows between unbounded preceding and 1 preceding))
+select (select count(distinct period) from bounds b where b.period <= old.period)::int as version, cwd, strftime(case when old_last < low then old_last + 1 else low end, '%Y-%m-%d') as from_day,
+  strftime(least(greatest(high, coalesce(old_last, high)), greatest(high + 29, coalesce(old_first, high))), '%Y-%m-%d') as to_day from old""",
     "p5_averages": f"""with {_DAYS}
 select cwd, activity_date, round(in_7 / 7.0, 6) as avg_in_7, round(in_30 / 30.0, 6) as avg_in_30, round(out_7 / 7.0, 6) as avg_out_7, round(out_30 / 30.0, 6) as avg_out_30 from totals""",
 }

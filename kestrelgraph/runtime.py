@@ -54,15 +54,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder in the shared scratch space, which is removed when the process ends."""
+    path = os.path.join(scratch_dir(spark), f"kestrel-{os.getpid()}-{uuid.uuid4().hex}")
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, files: int | None = None) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared scratch folder and read it back.
 
     Unlike a local checkpoint the rows survive the loss of any executor, and later scans prune columns.
     """
     spark = df.sparkSession
-    path = os.path.join(scratch_dir(spark), f"kestrel-{os.getpid()}-{uuid.uuid4().hex}")
+    path = scratch_path(spark)
     (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

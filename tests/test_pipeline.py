@@ -129,29 +129,44 @@ def daily(spark, rows):
     return spark.createDataFrame(rows, DAY).groupBy("entity", "day").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_rolling_and_its_corrections(spark, tmp_path, seed):
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_versions_of_the_rolling_state(spark, tmp_path, seed):
     rng = random.Random(seed)
-    spans = (3, 10)
-    old = amounts(rng, 25)
-    late = amounts(rng, 6, "pqs") + [("p", dt.date(2025, 6, 1), 5, 5), ("q", dt.date(2024, 12, 1), 7, 7)]
-    ledger = daily(spark, old)
-    totals = rolling.rolling(ledger, ["a", "b"], spans)
-    assert {tuple(r) for r in totals.collect()} == brute_rolling(old, spans)
-    rolling.write_version(str(tmp_path), 1, ledger, totals)
-    stored = rolling.read_version(spark, str(tmp_path), 1)
-    ledger2, totals2 = rolling.advance(*stored, daily(spark, late), ["a", "b"], spans)
-    rolling.write_version(str(tmp_path), 2, ledger2, totals2)
-    rows = [tuple(r) for r in rolling.read_version(spark, str(tmp_path), 2)[1].collect()]
-    assert len(rows) == len(set(rows)) and set(rows) == brute_rolling(old + late, spans)
-    means = rolling.averages(totals, ["a"], (3,)).first()
+    spans, day = (3, 10), dt.date(2025, 1, 1)
+    batches = [
+        amounts(rng, 25), [], amounts(rng, 6, "pqs") + [("p", dt.date(2025, 6, 1), 5, 5), ("q", dt.date(2024, 12, 1), 7, 7)],
+        [("p", day + dt.timedelta(40), -3, 2), (None, day, 1, 1), ("p", None, 1, 1), ("t", day, None, 4)], amounts(rng, 10, "pt"),
+    ]
+    state, sofar = rolling.State(spark, str(tmp_path), "string", ["a", "b"], spans), []
+    for k, rows in enumerate(batches, 1):
+        state.advance(spark.createDataFrame(rows, DAY))
+        sofar += [(e, d, a or 0, b) for e, d, a, b in rows if e and d]
+        got = [tuple(r) for r in state.totals().collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_rolling(sofar, spans)
+        new = {tuple(r)[:2] for r in state.read("totals", k, k).collect()}
+        reach = {(e, d + dt.timedelta(n)) for e, d, _, _ in rows if e and d for n in range(max(spans))}
+        head = {(e, x) for e, x, *_ in got} - {tuple(r)[:2] for r in state.totals(k - 1).collect()}
+        late = {e: [d for x, d, _, _ in rows if x == e and d] for e, _ in new}
+        assert head <= new and all(e in late and min(late[e]) <= d or (e, d) in head for e, d in new) and (reach & {x[:2] for x in got}) <= new
+    again = rolling.State(spark, str(tmp_path), "string", ["a", "b"], spans, version=2)
+    assert {tuple(r) for r in again.totals().collect()} == brute_rolling(batches[0], spans)
+    means = rolling.averages(state.totals(), ["a"], (3,)).first()
     assert means.avg_a_3 == pytest.approx(means.a_3 / 3)
 
 
+def test_replay_makes_a_version_for_each_period(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(*r, rng.choice("xyz")) for r in amounts(rng, 60)]
+    arrivals = spark.createDataFrame(rows, DAY + ", period string")
+    state = rolling.replay(arrivals, "period", str(tmp_path), ["a", "b"], (3, 10))
+    assert state.version == 3 and {tuple(r) for r in state.totals().collect()} == brute_rolling([r[:4] for r in rows], (3, 10))
+    assert rolling.replay(arrivals.limit(0), "period", str(tmp_path / "none"), ["a", "b"]).totals().count() == 0
+
+
 def test_daily_leaves_out_rows_without_entity_or_time(spark):
     at = dt.datetime(2025, 1, 1, 23, 59)
     rows = [("p", at, 1, None), ("p", at, None, None), (None, at, 1, 1), ("p", None, 1, 1)]
     df = spark.createDataFrame(rows, "entity string, day timestamp, a bigint, b bigint")
     got = rolling.daily(df, "entity", "day", {"a": "a", "b": "b"}).collect()
     assert [tuple(r) for r in got] == [("p", dt.date(2025, 1, 1), 1, 0)]
-    assert rolling.rolling(rolling.daily(df.limit(0), "entity", "day", {"a": "a"}), ["a"]).count() == 0
+    assert rolling.daily(df.limit(0), "entity", "day", {"a": "a"}).count() == 0
