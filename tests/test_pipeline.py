@@ -18,18 +18,18 @@ def turns(seed, n=400):
     return [(i, rng.choice([None, "", "hot", "hot", *[f"m{k}" for k in range(60)], "M1"]), f"s{rng.randrange(5)}", "x", i) for i in ids]
 
 
-@pytest.mark.parametrize("files,bound", [(1, 1 << 20), (5, 1 << 20), (5, 64), (3, 0.5)])
-def test_once_keeps_the_first_delivery(parquet, files, bound):
+@pytest.mark.parametrize("files,part_words", [(1, 1 << 20), (5, 1 << 20), (5, 4), (3, 1)])
+def test_once_keeps_the_first_delivery(parquet, files, part_words):
     rows = turns(files)
     src = parquet(rows, TURN, files)
-    vectors = delivery.deletion_vectors(src, "message_id", "id")
+    vectors = delivery.deletion_vectors(src, "message_id", "id", part_words)
     first = {}
     for r in sorted(rows):
         if r[1]:
             first.setdefault(r[1], r[0])
     gone = {r[0] for r in rows if r[1] and first[r[1]] != r[0]}
-    assert {r.id for r in delivery.read_through(src, vectors, True, max(1, int(bound))).collect()} == gone
-    kept = delivery.read_through(src, vectors, False, max(1, int(bound)))
+    assert {r.id for r in delivery.read_through(src, vectors, True).collect()} == gone
+    kept = delivery.read_through(src, vectors)
     assert kept.columns == src.columns
     assert sorted(tuple(r) for r in kept.collect() if r.message_id) == sorted(r for r in rows if r[1] and r[0] not in gone)
     assert kept.count() == len(rows) - len(gone)
