@@ -18,6 +18,10 @@ from kestrelgraph.runtime import materialize, ship
 
 #: Nodes that one task contracts at a time.
 FRAGMENT_ROWS = 50_000
+#: Hot keys at most, whatever the number of nodes: what counts as hot rises with it. They are broadcast.
+HOT_KEYS = 200_000
+#: Parts into which the rows of a hot key are dealt for a join.
+SALTS = 32
 
 OPEN, TREE, CYCLE, INTO_CYCLE = 0, 1, -1, -2
 #: Joins the names of a fragment inside the solver; it cannot be part of a cleaned name.
@@ -93,16 +97,21 @@ def _home(rows: DataFrame, level: int, size: int) -> Column:
     return F.when(F.col("t").isNotNull() & ~F.col("hot") & (coin(own) == 0) & (coin(parent) == 1), parent).otherwise(own)
 
 
+def _marked(rows: DataFrame, limit: int) -> DataFrame:
+    """rows (g, t, ...) with hot: whether more than limit rows have the same t. At most HOT_KEYS keys are broadcast."""
+    hot = rows.where("t is not null").groupBy("g", "t").count().where(F.col("count") > limit).select(F.col("g").alias("hg"), F.col("t").alias("ht"), F.lit(True).alias("hot"))
+    marked = rows.join(F.broadcast(hot), F.col("g").eqNullSafe(F.col("hg")) & (F.col("t") == F.col("ht")), "left")
+    return marked.withColumn("hot", F.coalesce("hot", F.lit(False))).drop("hg", "ht")
+
+
 def _solve(rows: DataFrame, level: int, size: int) -> DataFrame:
     total = rows.count()
     fragments = -(-total // size)
     if fragments <= 1:
         placed = rows.coalesce(1)
     else:
-        # at most total / limit parents are hot, that is 4 for each fragment
-        limit = max(2, size // 4)
-        hot = rows.where("t is not null").groupBy("g", "t").count().where(F.col("count") > limit).select(F.col("g").alias("hg"), F.col("t").alias("ht"), F.lit(True).alias("hot"))
-        placed = rows.join(F.broadcast(hot), F.col("g").eqNullSafe(F.col("hg")) & (F.col("t") == F.col("ht")), "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        limit = max(2, size // 4, total // HOT_KEYS)
+        placed = _marked(rows, limit)
         placed = placed.withColumn("home", _home(placed, level, size)).repartition(fragments, "home").select(*rows.columns)
     done = materialize(placed.mapInPandas(_contract, SCHEMA))
     if fragments <= 1:
@@ -121,7 +130,12 @@ def _solve(rows: DataFrame, level: int, size: int) -> DataFrame:
         .agg(F.max_by("frag", "n").alias("chain"))
     )
     s = s.join(chains, F.col("sg").eqNullSafe(F.col("cg")) & (F.col("sk") == F.col("ct")), "left").drop("cg", "ct")
-    met = open_rows.join(s, F.col("g").eqNullSafe(F.col("sg")) & (F.col("t") == F.col("sk")))
+    # rows that leave through a hot exit are dealt over several tasks, with a copy of the exit's solution in each
+    dealt = _marked(open_rows, limit).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(0))
+    hot_exits = dealt.where("hot").select(F.col("g").alias("xg"), F.col("t").alias("xk"), F.lit(SALTS - 1).alias("last")).distinct()
+    s = s.join(F.broadcast(hot_exits), F.col("sg").eqNullSafe(F.col("xg")) & (F.col("sk") == F.col("xk")), "left").drop("xg", "xk")
+    s = s.withColumn("ssalt", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))))
+    met = dealt.join(s, F.col("g").eqNullSafe(F.col("sg")) & (F.col("t") == F.col("sk")) & (F.col("salt") == F.col("ssalt")))
     tree = F.col("sst") == TREE
     turns = F.coalesce((F.col("sst") == CYCLE) & F.startswith(F.concat("chain", F.lit(SEP)), F.concat("frag", F.lit(SEP))), F.lit(False))
     opened = met.select(
