@@ -13,21 +13,23 @@ TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 SPELLINGS = ["base_verb", "past", "present_s", "present_p"]
 
 
-def _consensus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return consensus.consensus(*consensus.review_votes(table(spark, sf_dir, "facts")))
+def _votes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return consensus.review_votes(table(spark, sf_dir, "facts"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _consensus(spark, sf_dir)[0].where("values > 1").selectExpr("g as instance", "s as subject", "r as relation", "label as object")
+    labels = consensus.consensus(*_votes(spark, sf_dir))[0]
+    return labels.where("values > 1").selectExpr("g as instance", "s as subject", "r as relation", "label as object")
 
 
 def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _consensus(spark, sf_dir)[0]
+    labels = consensus.confidences(*_votes(spark, sf_dir))
     return labels.selectExpr("g as instance", "s as subject", "r as relation", "label as object", "round(agreement, 6) as agreement", "round(confidence, 6) as confidence")
 
 
 def p1_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _consensus(spark, sf_dir)[1].selectExpr("who as speaker", "round(accuracy, 6) as accuracy", "round(reliability, 6) as reliability", "votes")
+    people = consensus.consensus(*_votes(spark, sf_dir))[1]
+    return people.selectExpr("who as speaker", "round(accuracy, 6) as accuracy", "round(reliability, 6) as reliability", "votes")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,8 +48,45 @@ def test_reliability_and_labels_of_planted_annotators(spark, monkeypatch, hot):
     acc = {r.who: r.accuracy for r in people.collect()}
     assert min(v for k, v in acc.items() if k.startswith("good")) > max(v for k, v in acc.items() if k.startswith("weak"))
     assert max(v for k, v in acc.items() if k.startswith(("noise", "liar"))) < 0.4
-    for r in labels.collect():
-        assert 0 < r.agreement <= 1 and 0 < r.confidence <= 1 + 1e-9
+    sure = consensus.confidences(df, claims).collect()
+    assert {r.s: r.label for r in sure} == found
+    assert all(0 < r.agreement <= 1 and 0 < r.confidence <= 1 + 1e-9 for r in sure)
+
+
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_reliability_is_the_leading_eigenvector(spark, monkeypatch, hot):
+    """Against the dense matrix: the eigenvector of the overlap-corrected agreement, scaled by least squares."""
+    import numpy as np
+
+    monkeypatch.setattr(consensus, "HOT_ITEM", hot)
+    monkeypatch.setattr(consensus, "TOLERANCE", 1e-6)
+    _, votes = planted(7, 200)
+    votes += [("g", "5", "r", "q", "good1"), ("g", "lone", "r", "p", "hermit")]
+    weighted = consensus.weigh(spark.createDataFrame(votes, VOTE).distinct())
+    rows = weighted.collect()
+    names = sorted({r.who for r in rows})
+    n = len(names)
+    S, O = np.zeros((n, n)), np.zeros((n, n))
+    for x in rows:
+        for y in rows:
+            if x.s == y.s and x.who != y.who:
+                S[names.index(x.who), names.index(y.who)] += x.share * y.share * ((x.label == y.label) - x.chance)
+                O[names.index(x.who), names.index(y.who)] += x.share * y.share * (1 - x.chance)
+    met = O.sum(1) > 0
+    d = np.where(met, O.sum(1), 1)
+    values, vectors = np.linalg.eigh(S / np.sqrt(np.outer(d, d)))
+    assert values[-1] > 2 * values[-2]  # the gap
+    z = vectors[:, -1] * np.sign(vectors[:, -1].sum()) / np.sqrt(d)
+    want = z * np.sqrt(values[-1] / (z**2 @ O @ z**2))
+    got = {r.who: r.reliability for r in consensus.reliability(weighted).collect()}
+    assert got.pop("hermit") == consensus.UNKNOWN and len(got) == n - 1
+    assert all(got[w] == pytest.approx(want[i], abs=1e-4) for i, w in enumerate(names) if w != "hermit")
+
+
+def test_annotators_who_always_disagree_are_at_chance(spark):
+    df = spark.createDataFrame([("g", str(i), "r", "ab"[(i + k) % 2], "xy"[k]) for i in range(20) for k in (0, 1)], VOTE)
+    people = consensus.reliability(consensus.weigh(df)).collect()
+    assert [r.reliability for r in people] == [0.0, 0.0] and [r.accuracy for r in people] == [0.5, 0.5]
 
 
 def test_votes_of_review_facts(spark):
