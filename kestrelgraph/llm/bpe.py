@@ -217,16 +217,18 @@ def _is_text(token: bytes) -> bool:
 
 
 def _long(text: Column) -> Column:
-    pieces = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
-    return F.coalesce((F.octet_length(text) >= LONG_PIECE) & F.exists(pieces, lambda p: F.octet_length(p) >= LONG_PIECE), F.lit(False))
+    """Whether a piece may have LONG_PIECE bytes: a run without, or of, white space with a quarter as many characters."""
+    run = LONG_PIECE // 4 - 1
+    return F.coalesce((F.octet_length(text) >= LONG_PIECE) & F.rlike(text, F.lit(rf"[^{_WS}]{{{run}}}|[{_WS}]{{{run}}}")), F.lit(False))
 
 
 def encode_corpus(documents: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """(key, ids): one row for each document with the token ids of its text, without special tokens.
 
     Null and empty texts give an empty list, and a text that spells a special token is ordinary text. Repeated keys
-    give a row each. Documents with very long pieces (of LONG_PIECE bytes or more) are encoded by the
-    heap-based path in Arrow batches, with the same result; all others never leave the JVM.
+    give a row each. Documents that may have a piece of LONG_PIECE bytes or more (a run of 255 characters without white
+    space, or of it) are encoded by the heap-based path in Arrow batches, with the same result; all others never leave
+    the JVM.
     """
     spark = documents.sparkSession
     ship(spark)

@@ -1,16 +1,18 @@
 """Mapping of freely entered values to a reference list.
 
 The reference spellings form a BK-tree under the unrestricted Damerau-Levenshtein distance, a true metric, so the
-triangle inequality prunes subtrees without losing an entry within the threshold. The tree is broadcast if the list
-is small; a longer list is cut into shards of bounded size whose winners are merged.
+triangle inequality prunes subtrees without losing an entry within the threshold. The list is cut into shards of
+bounded size, whose trees are built in the tasks and broadcast; the winners of all shards are merged.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,12 +21,12 @@ from pyspark.sql import functions as F
 from kestrelgraph.runtime import ship
 
 UNMATCHED = "unmatched"
-#: Reference entries per BK-tree, and so per broadcast.
-SHARD_ENTRIES = 20_000
+#: Reference entries per BK-tree, and trees that one scan of the values visits (together they bound a worker's memory).
+SHARD_ENTRIES, SHARDS_A_SCAN = 5_000, 4
 #: Share of a spelling's letters that may be edited, and the shortest cut-off beginning that still counts.
 EDIT_SHARE, LEAST_PREFIX = 0.34, 5
-#: Words that are put before or behind a value without being part of it.
-LEADING = frozenset("it he she they we you i that this which often sometimes usually always rarely never mostly generally also just really does did do has have had will would can could may might must to".split())
+#: Words that are put before or behind a value without being part of it. Words that deny it are not among them.
+LEADING = frozenset("it he she they we you i that this which often sometimes usually always mostly generally also just really does did do has have had will would can could may might must to".split())
 TRAILING = frozenset("a an the some any its their his her our your my it them this that".split())
 #: Letters of other scripts that look like Latin ones, and figures written for letters.
 LOOKALIKES = str.maketrans("авеёкмнорстухіјѕԁԛԝӏαβεικνορτυχ", "abeekmhopctyxijsdqwlabeikvoptux")
@@ -82,40 +84,41 @@ def distance(a: str, b: str) -> int:
 
 @dataclass
 class BKTree:
-    """Spellings under distance(); find() returns every one within a threshold."""
+    """Spellings under distance(); find() returns every one within a threshold. Nodes are numbered, so depth is no limit."""
 
-    root: list | None = None  # [spelling, {distance: child}]
-    size: int = 0
+    spellings: list[str] = field(default_factory=list)
+    below: list[dict[int, int]] = field(default_factory=list)  # by node, its children by their distance
 
     def add(self, spelling: str) -> None:
-        self.size += 1
-        if self.root is None:
-            self.root = [spelling, {}]
-            return
-        node = self.root
-        while k := distance(spelling, node[0]):
-            if k not in node[1]:
-                node[1][k] = [spelling, {}]
+        new, node = len(self.spellings), 0
+        while new and (k := distance(spelling, self.spellings[node])):
+            node = self.below[node].setdefault(k, new)
+            if node == new:
+                break
+        else:
+            if new:  # known already
                 return
-            node = node[1][k]
+        self.spellings.append(spelling)
+        self.below.append({})
 
     def find(self, value: str, within: int) -> list[tuple[int, str]]:
-        out, todo = [], [self.root] if self.root else []
+        out, todo = [], [0] if self.spellings else []
         while todo:
-            spelling, below = todo.pop()
-            k = distance(value, spelling)
+            node = todo.pop()
+            k = distance(value, self.spellings[node])
             if k <= within:
-                out.append((k, spelling))
-            todo += [child for e, child in below.items() if k - within <= e <= k + within]
+                out.append((k, self.spellings[node]))
+            todo += [child for e, child in self.below[node].items() if k - within <= e <= k + within]
         return out
 
 
 @dataclass
 class Lookup:
-    """One shard of the reference list: its tree, what each spelling stands for, and the beginnings of spellings."""
+    """One shard of the reference list: its tree, what each spelling stands for, and the tree of spellings' beginnings."""
 
     tree: BKTree = field(default_factory=BKTree)
     entry: dict[str, set[str]] = field(default_factory=dict)
+    beginnings: BKTree = field(default_factory=BKTree)
     begins: dict[str, set[str]] = field(default_factory=dict)
 
     @classmethod
@@ -130,6 +133,8 @@ class Lookup:
                         out.begins.setdefault(key[:n], set()).add(entry)
         for key in sorted(out.entry):
             out.tree.add(key)
+        for key in sorted(out.begins):
+            out.beginnings.add(key)
         return out
 
     def candidates(self, value: str) -> tuple[list[tuple[float, float, str]], dict[int, set[str]]]:
@@ -142,21 +147,15 @@ class Lookup:
             for k, spelling in self.tree.find(key, int(EDIT_SHARE * max(len(key), 3))):
                 if k <= EDIT_SHARE * max(len(spelling), 3):
                     found += [(k + 0.01 * order, k / len(spelling), e) for e in self.entry[spelling]]
-            if cut := self.begins.get(key):
-                cuts[order] = cut
+            for _, cut in self.beginnings.find(key, 0):
+                cuts[order] = self.begins[cut]
         return found, cuts
 
-    def best(self, value: str) -> tuple[float, float, str] | None:
-        """The closest entry, or None; ties in cost go to the closer spelling, then to the alphabet. For a whole list."""
-        found, cuts = self.candidates(value)
-        found += [(_cut(order), 0.0, e) for order, cut in cuts.items() if len(cut) == 1 for e in cut]
-        return min(found, default=None)
-
     def partial(self, value: str) -> list[tuple[int, float | None, float | None, str | None]]:
         """(reading, cost, share edited, entry) of what one of several shards finds: its closest spelling as reading -1,
         and of each reading's beginnings two entries at most, as two are ambiguous already."""
         found, cuts = self.candidates(value)
-        return [(-1, *min(found, default=(None, None, None)))] + [(order, _cut(order), 0.0, e) for order, cut in cuts.items() for e in list(cut)[:2]]
+        return [(-1, *min(found, default=(None, None, None)))] + [(order, _cut(order), 0.0, e) for order, cut in cuts.items() for e in sorted(cut)[:2]]
 
 
 def _cut(order: int) -> float:
@@ -164,11 +163,16 @@ def _cut(order: int) -> float:
     return 0.5 + 0.01 * order
 
 
+def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "blob": [pickle.dumps(Lookup.of(zip(pdf["e"], pdf["s"])))]})
+
+
 def canonical_map(values: DataFrame, reference: DataFrame, entry: str, spellings: list[str], shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """(value, match): each distinct value of the one-column DataFrame values with the closest entry, or "unmatched".
 
-    An entry is matched through any of its spellings. Nulls, empty values and values without a letter or figure are
-    unmatched; with an empty reference list everything is.
+    An entry is matched through any of its spellings; ties in cost go to the closer spelling, then to the alphabet. A
+    cut-off beginning counts if it is unambiguous among all entries, whatever shards they are in. Nulls, empty values and
+    values without a letter or figure are unmatched; with an empty reference list everything is.
     """
     spark = values.sparkSession
     ship(spark)
@@ -177,27 +181,25 @@ def canonical_map(values: DataFrame, reference: DataFrame, entry: str, spellings
     distinct = values.select(F.col(f"`{column}`").alias("value")).where("value is not null").distinct().repartition(2 * spark.sparkContext.defaultParallelism)
     ref = reference.select(F.col(f"`{entry}`").alias("e"), F.array(*[F.col(f"`{s}`").cast("string") for s in spellings]).alias("s")).where("e is not null")
     shards = max(1, -(-ref.count() // shard_entries))
-    best = None
-    for shard in range(shards):
-        rows = ref.where(F.pmod(F.xxhash64("e"), F.lit(shards)) == shard) if shards > 1 else ref
-        lookup = spark.sparkContext.broadcast(Lookup.of((r.e, r.s) for r in rows.collect()))  # about shard_entries rows
-
-        def search(batches: Iterator[pd.DataFrame], lookup=lookup) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                hit = [lookup.value.best(v) for v in pdf["value"]]
-                yield pd.DataFrame({"value": pdf["value"], "hit": [h[2] if h else None for h in hit]})
+    blobs = ref.withColumn("shard", F.pmod(F.xxhash64("e"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_build, "shard int, blob binary")
 
-        def search_shard(batches: Iterator[pd.DataFrame], lookup=lookup) -> Iterator[pd.DataFrame]:
+    def scan(held: list) -> DataFrame:
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            lookups = [pickle.loads(h.value) for h in held]
             for pdf in batches:
-                yield pd.DataFrame([(v, *c) for v in pdf["value"] for c in lookup.value.partial(v)], columns=["value", "reading", "cost", "share", "hit"])
-
-        part = distinct.mapInPandas(search_shard, "value string, reading int, cost double, share double, hit string") if shards > 1 else distinct.mapInPandas(search, "value string, hit string")
-        best = part if best is None else best.unionByName(part)
-    if shards > 1:  # only here is known whether a beginning is another shard's too
-        found = F.when(F.col("hit").isNotNull(), F.struct("cost", "share", "hit"))
-        best = best.groupBy("value", "reading").agg(F.min(found).alias("b"), (F.min("hit") != F.max("hit")).alias("several")).select("value", F.when((F.col("reading") < 0) | ~F.col("several"), F.col("b")).alias("b"))
-        best = best.groupBy("value").agg(F.min("b").alias("b")).select("value", F.col("b.hit").alias("hit"))
-    return best.select("value", F.coalesce("hit", F.lit(UNMATCHED)).alias("match"))
+                yield pd.DataFrame([(v, *c) for v in pdf["value"] for x in lookups for c in x.partial(v)], columns=["value", "reading", "cost", "share", "hit"])
+
+        return distinct.mapInPandas(search, "value string, reading int, cost double, share double, hit string")
+
+    held = [spark.sparkContext.broadcast(bytes(r.blob)) for r in blobs.toLocalIterator()]
+    parts = [scan(held[i : i + SHARDS_A_SCAN]) for i in range(0, len(held), SHARDS_A_SCAN)]
+    if not parts:
+        return distinct.select("value", F.lit(UNMATCHED).alias("match"))
+    best = reduce(DataFrame.unionByName, parts)
+    # only here is known whether a beginning is another shard's too
+    found = F.when(F.col("hit").isNotNull(), F.struct("cost", "share", "hit"))
+    best = best.groupBy("value", "reading").agg(F.min(found).alias("b"), (F.min("hit") != F.max("hit")).alias("several")).select("value", F.when((F.col("reading") < 0) | ~F.col("several"), F.col("b")).alias("b"))
+    return best.groupBy("value").agg(F.min("b").alias("b")).select("value", F.coalesce("b.hit", F.lit(UNMATCHED)).alias("match"))
 
 
 def map_values(rows: DataFrame, column: str, reference: DataFrame, entry: str, spellings: list[str], shard_entries: int = SHARD_ENTRIES) -> DataFrame:

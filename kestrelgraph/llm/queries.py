@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kestrelgraph.llm import bpe, canonical, consensus, leakage, quality
 from kestrelgraph.runtime import table
@@ -49,6 +50,12 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts decoded from their ids: the inverse of p6_ids over the whole corpus."""
+    path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    return p6_ids(spark, sf_dir).select("doc_id", bpe.Encoder(spark, path).text(F.col("ids")).alias("text"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
@@ -69,5 +76,5 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.outlierness(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_annotators": p1_annotators, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_ids": p6_ids, "p7_found": p7_found, "p7_scores": p7_scores, "p8_found": p8_found, "p8_statistics": p8_statistics}
-SQL: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_annotators": p1_annotators, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_ids": p6_ids, "p6_texts": p6_texts, "p7_found": p7_found, "p7_scores": p7_scores, "p8_found": p8_found, "p8_statistics": p8_statistics}
+SQL = {"p6_texts": "select doc_id, coalesce(text, '') as text from documents"}

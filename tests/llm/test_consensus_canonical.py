@@ -124,6 +124,17 @@ def test_distance_is_a_metric(a, b, c):
     assert d(a, b) == d(b, a) and (d(a, b) == 0) == (a == b) and d(a, c) <= d(a, b) + d(b, c)
 
 
+def test_a_chain_of_equal_distances_is_no_limit():
+    tree = canonical.BKTree()
+    for i in range(3000):
+        tree.add(chr(0x4E00 + i))
+    tree.add(chr(0x4E00))
+    assert len(tree.spellings) == 3000 and len(tree.find("x", 1)) == 3000
+    import pickle
+
+    assert pickle.loads(pickle.dumps(tree)).find(chr(0x4E05), 0) == [(0, chr(0x4E05))]
+
+
 def test_distance_values():
     assert [canonical.distance(*x) for x in (("ca", "abc"), ("abcd", "acbd"), ("", "ab"), ("kitten", "sitting"))] == [2, 1, 2, 3]
 
@@ -176,7 +187,10 @@ def test_queries_of_consensus_and_mapping(spark, data):
 
 def test_ambiguous_beginnings_are_unmatched_in_shards_too(spark):
     ref = spark.createDataFrame([(f"whistles_{x}",) for x in ("at", "by", "for", "over", "past", "under")] + [("drifts_toward",)], "entry string")
-    want = {"whist": "unmatched", "drift": "drifts_toward", "often drifts": "drifts_toward", "whistles_und": "whistles_under", "grumble": "unmatched"}
+    want = {
+        "whist": "unmatched", "drift": "drifts_toward", "often drifts": "drifts_toward", "whistles_und": "whistles_under", "grumble": "unmatched",
+        "often drifts toward": "drifts_toward", "never drifts toward": "unmatched", "rarely drifts to": "unmatched",
+    }
     rows = spark.createDataFrame([(v,) for v in want], "relation string")
-    for shard in (100, 1):
+    for shard in (100, 4, 1):
         assert {r.relation: r.canonical_relation for r in canonical.map_values(rows, "relation", ref, "entry", [], shard).collect()} == want
