@@ -29,7 +29,7 @@ BUCKETS = 1 << 16
 #: Documents and words from which, and as which, the frequent words are remembered. They only save time: every other
 #: word is folded where it stands, so the result does not depend on them.
 SAMPLE_DOCUMENTS, FREQUENT_WORDS = 10_000, 30_000
-#: Bytes of a piece from which its document takes the heap-based path: the fold is quadratic in a piece.
+#: Bytes of a document from which one with a long stretch takes the heap-based path: the fold is quadratic in a piece.
 LONG_PIECE = 1024
 _WS = r"\t-\r \x85\xa0  -     　"
 #: The published splitting pattern of this vocabulary family, with its white space spelled out.
@@ -217,18 +217,18 @@ def _is_text(token: bytes) -> bool:
 
 
 def _long(text: Column) -> Column:
-    """Whether a piece may have LONG_PIECE bytes: a run without, or of, white space with a quarter as many characters."""
-    run = LONG_PIECE // 4 - 1
-    return F.coalesce((F.octet_length(text) >= LONG_PIECE) & F.rlike(text, F.lit(rf"[^{_WS}]{{{run}}}|[{_WS}]{{{run}}}")), F.lit(False))
+    """Whether a piece may be long: a stretch of LONG_PIECE / 4 bytes without a blank, or of blanks only."""
+    stretch = LONG_PIECE // 4
+    found = F.exists(F.split(text, " "), lambda x: F.octet_length(x) >= stretch) | F.contains(text, F.lit(" " * stretch))
+    return F.coalesce((F.octet_length(text) >= LONG_PIECE) & found, F.lit(False))
 
 
 def encode_corpus(documents: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """(key, ids): one row for each document with the token ids of its text, without special tokens.
 
     Null and empty texts give an empty list, and a text that spells a special token is ordinary text. Repeated keys
-    give a row each. Documents that may have a piece of LONG_PIECE bytes or more (a run of 255 characters without white
-    space, or of it) are encoded by the heap-based path in Arrow batches, with the same result; all others never leave
-    the JVM.
+    give a row each. Documents of LONG_PIECE bytes or more with a stretch that may be a long piece are encoded by the
+    heap-based path in Arrow batches, with the same result; all others never leave the JVM.
     """
     spark = documents.sparkSession
     ship(spark)
