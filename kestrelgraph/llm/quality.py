@@ -13,12 +13,22 @@ from pyspark.sql import functions as F
 
 from kestrelgraph.runtime import materialize
 
-#: Common words of each language that is told apart; a document's language is that with the most of them.
+#: Common words of each language that is told apart (of single characters where words are not spaced); a document's
+#: language is that of which it has the most different ones. A caller may pass another table.
 COMMON = {
     "en": "the a an of and to in is was were are be been it its that this which who what when where whether if then than so as by for from with on at not no nor but or both all have has had he she they we i you there must would may can cannot about into near under above behind beside beyond inside along only also".split(),
     "de": "der die das den dem des ein eine einen einem einer und oder aber nicht ist war sind es sich mit von zu im in an am auf für aus bei nach wie dass daß warum weil so nur davon mehr nie wo als hat".split(),
     "fr": "le la les l un une des du de d et ou mais ne pas n est était il elle que qu qui dans en au aux avec pour par sur près y avait on se ce cette ces si plus c parce".split(),
     "es": "el la los las un una de del y o pero no es está era había que qué en con por para al se lo su sus más como así porque si cerca nadie".split(),
+    "it": "il lo la gli le di del della dei che è un una per non con si come era più nel sono anche ma".split(),
+    "pt": "o os as um uma de do da dos das que não é com para em no na se por mais mas foi como".split(),
+    "nl": "de het een en van dat niet is op te zijn voor met die aan er maar ook als bij werd naar".split(),
+    "pl": "i w na nie się że z do to jest o po jak ale co za był była przez tym oraz od tylko nikt kiedy tak".split(),
+    "sv": "och att det som en är av för på inte med den till har om var de ett men sig".split(),
+    "tr": "ve bir bu da de için ile çok ama daha gibi olarak ne var olan sonra".split(),
+    "ru": "и в не на что он она с как это по но из у за от так же было был бы к а о его её когда никто там".split(),
+    "zh": list("的一是不了在有我他这那们来上大和地到说就也时没人为以个都里着看会"),
+    "ja": list("のにはをたがでてとしれさるないもかられだ"),
 }
 #: Words that means over words are smoothed by, so that a few words say little, and what is assumed for them: the share
 #: of common words and the length of a word.
@@ -26,17 +36,20 @@ PRIOR_WORDS, PRIOR_SHARE, PRIOR_LENGTH, PRIOR_SYMBOLS = 12, 0.4, 5.0, 0.03
 #: Words of a short line, and words that the shares of words in short or marked lines are smoothed by.
 SHORT_LINE, PRIOR_LINES = 4, 36
 STATISTICS = ["log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "line_end_ratio", "common_ratio", "common_variety", "short_line_ratio", "marked_line_ratio", "repeat_ratio"]
-#: Statistics that say nothing about prose or not by themselves (how long, how punctuated): reported, fitted, and
-#: left out of the distance that decides.
-LAYOUT = {"log_words", "line_end_ratio"}
+#: Least spread of the statistics that say little about prose or not (how long, how punctuated), whatever the spread in
+#: the corpus: prose without a full stop is prose.
+LAYOUT_SPREAD = {"log_words": 1.0, "line_end_ratio": 0.5}
 #: Fewest documents from which a language gets its own prose model; below it the pooled one serves.
 LEAST_DOCUMENTS = 50
 ROUNDS = 3
-#: Squared distance, per statistic that decides, from which a document is not prose.
-CUT = 8.6
+#: Squared distance per statistic from which a document is not prose.
+CUT = 6.7
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
+#: Letters of scripts that put no spaces between words: each counts as a word of average length.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+_WORDS = r"[\p{L}\p{M}]+|\p{N}+"
 _LINE_END = r"[.!?…;:,。！？؟।][\"'”’»)\]]*\s*$"
 _MARK = r"^\s*(?:[-*+•·–—▪◦]|\(?\p{N}{1,3}[.)]|\(?\p{L}[.)]|\[[ xX]?\])\s"
 
@@ -50,7 +63,7 @@ def _of_list(words: Column, listed: list[str]) -> Column:
     return F.filter(words, lambda x: x.isin(listed))
 
 
-def statistics(documents: DataFrame, key: str, text: str) -> DataFrame:
+def statistics(documents: DataFrame, key: str, text: str, common: dict[str, list[str]] = COMMON) -> DataFrame:
     """(key, language, words, ratios...): one row for each document that is not blank.
 
     Mark-up is removed first and full-width letters count as ordinary ones. Means over words are smoothed; shares are over words, lines that are not blank, or characters that are not white space.
@@ -59,42 +72,49 @@ def statistics(documents: DataFrame, key: str, text: str) -> DataFrame:
     plain = F.when(F.rlike(t, F.lit("[！-～]")), F.translate(t, _WIDE, _NARROW)).otherwise(t)
     plain = F.when(F.contains(t, F.lit("<")) | F.contains(t, F.lit("&")), F.regexp_replace(F.regexp_replace(plain, r"</?[a-zA-Z][^<>\n]{0,80}>", " "), r"&#?\w{1,8};", " ")).otherwise(plain)
     rows = documents.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__t")).where(~blank(t)).select(key, plain.alias("__t"))
+    rows = rows.select(key, "__t", F.rlike(t, F.lit(_UNSPACED)).alias("__u"))
+    found = lambda x, shape: F.regexp_extract_all(x, F.lit(shape), F.lit(0))
+    single = lambda x: found(x, f"{_UNSPACED}|{_WORDS}".replace("\\p{L}", "\\p{L}&&[^" + _UNSPACED[1:-1] + "]"))
     rows = rows.select(
         key,
-        F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{M}]+|\p{N}+"), F.lit(0)).alias("__w"),
+        "__u",
+        F.when(F.col("__u"), single(F.lower(t))).otherwise(found(F.lower(t), _WORDS)).alias("__w"),
         F.regexp_count(t, F.lit(r"\p{N}+")).alias("__d"),
         F.filter(F.split(t, r"\r\n|[\n\r\x{b}\x{c}\x{85}\x{2028}\x{2029}]"), lambda x: F.rlike(x, F.lit(r"\S"))).alias("__l"),
         F.length(F.regexp_replace(t, r"[\s\p{Z}\p{Cf}]+", "")).alias("__c"),
         F.length(F.regexp_replace(F.regexp_replace(t, r"[\p{L}\p{M}\p{N}\s\p{Z}\p{Cf}]+", ""), r"([=\-_*~.])\1{3,}", "$1")).alias("__s"),
     )
-    w, lines = F.col("__w"), F.col("__l")
-    rows = rows.select("*", _of_list(w, sorted({x for words in COMMON.values() for x in words})).alias("__a"))
-    listed = {k: _of_list(F.col("__a"), COMMON[k]) for k in COMMON}
+    w, lines, unspaced = F.col("__w"), F.col("__l"), F.col("__u")
+    rows = rows.select("*", _of_list(w, sorted({x for words in common.values() for x in words})).alias("__a"))
+    rows = rows.select("*", F.array_distinct("__a").alias("__e"))
+    in_line = lambda x: F.when(unspaced, F.size(single(x))).otherwise(F.size(F.split(F.trim(F.regexp_replace(x, _MARK, "")), r"[\s\p{Z}]+")))
     rows = rows.select(
         "*",
-        *[F.size(f).alias(f"__{k}") for k, f in listed.items()],
-        F.transform(lines, lambda x: F.struct(F.size(F.split(F.trim(F.regexp_replace(x, _MARK, "")), r"[\s\p{Z}]+")).alias("n"), F.rlike(x, F.lit(_MARK)).alias("m"), F.rlike(x, F.lit(_LINE_END)).alias("e"))).alias("__k"),
+        *[F.size(_of_list(F.col("__e"), listed)).alias(f"__{k}") for k, listed in common.items()],
+        F.transform(lines, lambda x: F.struct(in_line(x).alias("n"), F.rlike(x, F.lit(_MARK)).alias("m"), F.rlike(x, F.lit(_LINE_END)).alias("e"))).alias("__k"),
     )
-    most = F.greatest(*[F.col(f"__{k}") for k in COMMON])
-    language = F.coalesce(*[F.when(F.col(f"__{k}") == most, F.lit(k)) for k in COMMON])
-    rows = rows.select("*", most.alias("__f"), language.alias("language"))
+    most = F.greatest(*[F.col(f"__{k}") for k in common])
+    language = F.coalesce(*[F.when(F.col(f"__{k}") == most, F.lit(k)) for k in common])
+    rows = rows.select("*", most.alias("__v"), language.alias("language"))
+    rows = rows.select("*", F.coalesce(*[F.when(F.col("language") == k, F.size(_of_list(F.col("__a"), listed))) for k, listed in common.items()]).alias("__f"))
     n, k = F.size(w), F.col("__k")
-    pick = F.coalesce(*[F.when(F.col("language") == x, F.array_distinct(listed[x])) for x in COMMON])
     pairs = F.transform(F.slice(w, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
     total = F.aggregate(k, F.lit(0), lambda a, x: a + x["n"])
     words_in = lambda keep: F.aggregate(F.filter(k, keep), F.lit(0), lambda a, x: a + x["n"])
     smooth = lambda part, whole, share, by=PRIOR_WORDS: (part + by * share) / (whole + by)
+    letters = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
+    spread = F.aggregate(w, F.lit(0), lambda a, x: a + F.when(F.length(x) == 1, int(PRIOR_LENGTH)).otherwise(F.length(x)))
     return rows.select(
         key,
         "language",
         n.alias("words"),
         F.log1p(n).alias("log_words"),
-        smooth(F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)), n, PRIOR_LENGTH).alias("mean_word_length"),
+        smooth(F.when(unspaced, spread).otherwise(letters), n, PRIOR_LENGTH).alias("mean_word_length"),
         smooth(F.col("__s"), F.col("__c"), PRIOR_SYMBOLS, PRIOR_LENGTH * PRIOR_WORDS).alias("symbol_ratio"),
         smooth(F.col("__d"), n, 0.03).alias("digit_ratio"),
         (F.size(F.filter(k, lambda x: x["e"])) / F.greatest(F.size(k), F.lit(1))).alias("line_end_ratio"),
         smooth(F.col("__f"), n, PRIOR_SHARE).alias("common_ratio"),
-        (F.size(pick) / F.sqrt(F.col("__f") + 1.0)).alias("common_variety"),
+        (F.col("__v") / F.sqrt(F.col("__f") + 1.0)).alias("common_variety"),
         smooth(words_in(lambda x: x["n"] <= SHORT_LINE), total, 0.0, PRIOR_LINES).alias("short_line_ratio"),
         smooth(words_in(lambda x: x["m"]), total, 0.0, PRIOR_LINES).alias("marked_line_ratio"),
         (1 - F.size(F.array_distinct(pairs)) / F.greatest(n - 1, F.lit(1))).alias("repeat_ratio"),
@@ -147,6 +167,10 @@ def _moments(near: DataFrame, names: list[str], weigh: float) -> tuple[dict, dic
     return counts, mean, cov
 
 
+def _least_spread(centre: np.ndarray, names: list[str]) -> np.ndarray:
+    return np.array([LAYOUT_SPREAD.get(n, 0.02 * max(abs(c), 0.5)) for n, c in zip(names, centre)])
+
+
 def fit(stats: DataFrame, names: list[str], rounds: int = ROUNDS) -> Prose:
     """The prose model of each language in stats.
 
@@ -162,13 +186,13 @@ def fit(stats: DataFrame, names: list[str], rounds: int = ROUNDS) -> Prose:
     pooled = spoken.agg(F.count("*").alias("n"), *quart).collect()[0]
     for g, r in [("", pooled), *((r.language, r) for r in rows if r.n >= LEAST_DOCUMENTS)]:
         q = np.array([r[f"q{i}"] if r[f"q{i}"] else [0.0, 0.0, 0.0] for i in range(len(names))], float)
-        spread = np.maximum((q[:, 2] - q[:, 0]) / 1.349, 0.02 * np.maximum(np.abs(q[:, 1]), 0.5))
+        spread = np.maximum((q[:, 2] - q[:, 0]) / 1.349, _least_spread(q[:, 1], names))
         prose.centre[g], prose.inverse[g], prose.count[g] = q[:, 1], np.diag(1 / spread**2), r.n
     for _ in range(rounds):
         counts, mean, cov = _moments(prose.near(spoken, 4.0 * len(names)), names, 1.1)
         for g in list(prose.centre):
             if counts.get(g, 0) >= LEAST_DOCUMENTS:
-                floor = np.diag((0.02 * np.maximum(np.abs(mean[g]), 0.5)) ** 2)
+                floor = np.diag(_least_spread(mean[g], names) ** 2)
                 prose.centre[g], prose.inverse[g], prose.count[g] = mean[g], np.linalg.inv(cov[g] + floor), counts[g]
     return prose
 
@@ -176,11 +200,11 @@ def fit(stats: DataFrame, names: list[str], rounds: int = ROUNDS) -> Prose:
 def outlierness(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, language, words, statistics..., distance, why_<statistic>..., prose): see statistics() and fit().
 
-    distance is the squared Mahalanobis distance per statistic that decides; why_<statistic> is the statistic's part
-    of it. prose is false from CUT on. Blank documents give no row, repeated keys a row each.
+    distance is the squared Mahalanobis distance per statistic, over all of them; why_<statistic> is the statistic's part
+    of it. How long or how punctuated prose is varies so much that these two weigh little. prose is false from CUT on. Blank documents give no row, repeated keys a row each.
     """
     stats = materialize(statistics(documents, key, text))
-    names = [s for s in STATISTICS if s not in LAYOUT]
+    names = STATISTICS
     prose = fit(stats, names)
     out = prose.contributions(stats, "__parts")
     parts = [(F.get("__parts", F.lit(i)) / len(names)).alias(f"why_{n}") for i, n in enumerate(names)]

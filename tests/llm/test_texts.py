@@ -160,12 +160,36 @@ def test_junk_stands_out_from_prose(spark):
     assert len(out) == len(prose) + len(junk) + 1
     assert {r.doc_id for r in out if not r.prose} == set(junk)
     for r in out:
-        parts = sum(r[f"why_{n}"] for n in quality.STATISTICS if n not in quality.LAYOUT)
+        parts = sum(r[f"why_{n}"] for n in quality.STATISTICS)
         assert r.distance == pytest.approx(parts, abs=1e-6)
         assert 0 <= r.common_ratio <= 1 and 0 <= r.line_end_ratio <= 1
     assert quality.not_prose(d.limit(0), "doc_id", "text").count() == 0
 
 
+OTHERS = {
+    "pl": "Stary młyn stał nad rzeką i nikt nie wiedział, kiedy go zbudowano. Mówiono, że w jego piwnicy ukryto skarb, ale to była tylko opowieść dla dzieci. Kiedy przyszła zima, woda zamarzła, a koło przestało się obracać. Ludzie z wioski przestali tam chodzić i po kilku latach wszyscy o nim zapomnieli.",
+    "nl": "De oude molen stond aan de rivier en niemand wist meer wanneer hij was gebouwd. Men zei dat er in de kelder een schat lag, maar dat was alleen een verhaal voor kinderen. Toen de winter kwam, bevroor het water en bleef het rad stilstaan. De mensen uit het dorp gingen er niet meer heen en na een paar jaar was iedereen hem vergeten.",
+    "it": "Il vecchio mulino stava vicino al fiume e nessuno sapeva quando era stato costruito. Si diceva che nella cantina ci fosse un tesoro, ma era soltanto una storia per bambini. Quando arrivò l'inverno, l'acqua gelò e la ruota smise di girare. La gente del villaggio non ci andò più e dopo qualche anno tutti lo dimenticarono.",
+    "ru": "Старая мельница стояла у реки, и никто не знал, когда её построили. Говорили, что в подвале спрятан клад, но это была только сказка для детей. Когда пришла зима, вода замёрзла, и колесо перестало вращаться. Люди из деревни больше туда не ходили, и через несколько лет все о ней забыли.",
+    "zh": "那座老磨坊在河边，没有人知道它是什么时候建的。人们说地下室里藏着宝物，但那只是讲给孩子们听的故事。冬天来了的时候，河水结了冰，轮子也不再转动。村里的人不再到那里去，几年以后大家就把它忘了。",
+    "ja": "その古い水車小屋は川のそばに立っていて、いつ建てられたのか誰も知らなかった。地下室に宝が隠されていると言われていたが、それは子供のための話にすぎなかった。冬が来ると水が凍り、車輪は回らなくなった。村の人々はもうそこへ行かなくなり、数年後にはみんな忘れてしまった。",
+    "pt": "O velho moinho ficava perto do rio e ninguém sabia quando tinha sido construído. Dizia-se que na cave havia um tesouro, mas era apenas uma história para crianças. Quando chegou o inverno, a água gelou e a roda deixou de girar. As pessoas da aldeia não voltaram lá e depois de alguns anos todos o esqueceram.",
+    "sv": "Den gamla kvarnen stod vid floden och ingen visste när den hade byggts. Man sade att det fanns en skatt i källaren, men det var bara en saga för barnen. När vintern kom frös vattnet och hjulet slutade att snurra. Folket i byn gick inte dit längre och efter några år hade alla glömt den.",
+    "tr": "Eski değirmen nehrin kenarında duruyordu ve ne zaman yapıldığını kimse bilmiyordu. Bodrumda bir hazine olduğu söylenirdi, ama bu çocuklar için anlatılan bir hikâyeydi. Kış gelince su dondu ve çark artık dönmedi. Köyün insanları oraya daha gitmedi ve birkaç yıl sonra herkes onu unuttu.",
+}
+
+
+def test_prose_of_other_languages_is_prose(spark, data):
+    """Languages without enough documents for a model of their own are judged by the pooled one."""
+    _, junk = corpus()
+    mixed = "的 Ж q9 の ß ζ 水 7 ы " * 12
+    extra = [(-1 - i, t) for i, t in enumerate([*OTHERS.values(), mixed, *junk.values()])]
+    d = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id bigint, text string"))
+    out = {r.doc_id: r for r in quality.outlierness(d, "doc_id", "text").collect()}
+    assert [(out[-1 - i].language, out[-1 - i].prose) for i in range(len(OTHERS))] == [(k, True) for k in OTHERS]
+    assert not any(out[i].prose for i, _ in extra[len(OTHERS) :])
+
+
 def test_statistics_of_known_texts(spark):
     d = spark.createDataFrame([(1, "It is so.\nAnd 12 of them\n\n- no"), (2, "!!!"), (3, "word " * 20_000)], "doc_id bigint, text string")
     got = {r.doc_id: r for r in quality.statistics(d, "doc_id", "text").collect()}
