@@ -48,8 +48,12 @@ CUT = 6.7
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 #: Letters of scripts that put no spaces between words: each counts as a word of average length.
-_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
-_WORDS = r"[\p{L}\p{M}]+|\p{N}+"
+_RANGES = r"\x{e00}-\x{eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}"
+_UNSPACED = f"[{_RANGES}]"
+_WORDS, _NUMBERS, _SPACES, _NAMED = r"[\p{L}\p{M}]+|\p{N}+", r"\p{N}+", r"[\s\p{Z}\p{Cf}]+", r"[\p{L}\p{M}\p{N}]+"
+_SINGLE = rf"{_UNSPACED}|[\p{{L}}\p{{M}}&&[^{_RANGES}]]+|\p{{N}}+"
+#: The same for texts of ASCII characters only, which most are.
+_ASCII = {_WORDS: "[A-Za-z]+|[0-9]+", _NUMBERS: "[0-9]+", _SPACES: r"\s+", _NAMED: "[A-Za-z0-9]+"}
 _LINE_END = r"[.!?…;:,。！？؟।][\"'”’»)\]]*\s*$"
 _MARK = r"^\s*(?:[-*+•·–—▪◦]|\(?\p{N}{1,3}[.)]|\(?\p{L}[.)]|\[[ xX]?\])\s"
 
@@ -72,25 +76,29 @@ def statistics(documents: DataFrame, key: str, text: str, common: dict[str, list
     plain = F.when(F.rlike(t, F.lit("[！-～]")), F.translate(t, _WIDE, _NARROW)).otherwise(t)
     plain = F.when(F.contains(t, F.lit("<")) | F.contains(t, F.lit("&")), F.regexp_replace(F.regexp_replace(plain, r"</?[a-zA-Z][^<>\n]{0,80}>", " "), r"&#?\w{1,8};", " ")).otherwise(plain)
     rows = documents.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__t")).where(~blank(t)).select(key, plain.alias("__t"))
-    rows = rows.select(key, "__t", F.rlike(t, F.lit(_UNSPACED)).alias("__u"))
+    plain_ascii = F.octet_length(t) == F.length(t)
+    rows = rows.select(key, "__t", plain_ascii.alias("__z"), (~plain_ascii & F.rlike(t, F.lit(_UNSPACED))).alias("__u"))
+    w, lines, unspaced, ascii_only = F.col("__w"), F.col("__l"), F.col("__u"), F.col("__z")
+    either = lambda use, shape: F.when(ascii_only, use(_ASCII[shape])).otherwise(use(shape))
     found = lambda x, shape: F.regexp_extract_all(x, F.lit(shape), F.lit(0))
-    single = lambda x: found(x, f"{_UNSPACED}|{_WORDS}".replace("\\p{L}", "\\p{L}&&[^" + _UNSPACED[1:-1] + "]"))
     rows = rows.select(
         key,
         "__u",
-        F.when(F.col("__u"), single(F.lower(t))).otherwise(found(F.lower(t), _WORDS)).alias("__w"),
-        F.regexp_count(t, F.lit(r"\p{N}+")).alias("__d"),
+        "__z",
+        F.when(unspaced, found(F.lower(t), _SINGLE)).otherwise(either(lambda p: found(F.lower(t), p), _WORDS)).alias("__w"),
+        either(lambda p: F.regexp_count(t, F.lit(p)), _NUMBERS).alias("__d"),
         F.filter(F.split(t, r"\r\n|[\n\r\x{b}\x{c}\x{85}\x{2028}\x{2029}]"), lambda x: F.rlike(x, F.lit(r"\S"))).alias("__l"),
-        F.length(F.regexp_replace(t, r"[\s\p{Z}\p{Cf}]+", "")).alias("__c"),
-        F.length(F.regexp_replace(F.regexp_replace(t, r"[\p{L}\p{M}\p{N}\s\p{Z}\p{Cf}]+", ""), r"([=\-_*~.])\1{3,}", "$1")).alias("__s"),
+        either(lambda p: F.regexp_replace(t, p, ""), _SPACES).alias("__x"),
     )
-    w, lines, unspaced = F.col("__w"), F.col("__l"), F.col("__u")
+    rows = rows.select(*[c for c in rows.columns if c != "__x"], F.length("__x").alias("__c"), F.length(F.regexp_replace(either(lambda p: F.regexp_replace("__x", p, ""), _NAMED), r"([=\-_*~.])\1{3,}", "$1")).alias("__s"))
     rows = rows.select("*", _of_list(w, sorted({x for words in common.values() for x in words})).alias("__a"))
     rows = rows.select("*", F.array_distinct("__a").alias("__e"))
-    in_line = lambda x: F.when(unspaced, F.size(single(x))).otherwise(F.size(F.split(F.trim(F.regexp_replace(x, _MARK, "")), r"[\s\p{Z}]+")))
+    in_line = lambda x: F.when(unspaced, F.size(found(x, _SINGLE))).otherwise(F.size(F.split(F.trim(F.regexp_replace(x, _MARK, "")), r"[\s\p{Z}]+")))
+    # a text of ASCII characters has no word of a language that is written without them
+    count = lambda listed: F.size(_of_list(F.col("__e"), listed)) if any(x.isascii() for x in listed) else F.when(ascii_only, 0).otherwise(F.size(_of_list(F.col("__e"), listed)))
     rows = rows.select(
         "*",
-        *[F.size(_of_list(F.col("__e"), listed)).alias(f"__{k}") for k, listed in common.items()],
+        *[count(listed).alias(f"__{k}") for k, listed in common.items()],
         F.transform(lines, lambda x: F.struct(in_line(x).alias("n"), F.rlike(x, F.lit(_MARK)).alias("m"), F.rlike(x, F.lit(_LINE_END)).alias("e"))).alias("__k"),
     )
     most = F.greatest(*[F.col(f"__{k}") for k in common])
