@@ -51,9 +51,10 @@ _NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 _RANGES = r"\x{e00}-\x{eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}"
 _UNSPACED = f"[{_RANGES}]"
 _WORDS, _NUMBERS, _SPACES, _NAMED = r"[\p{L}\p{M}]+|\p{N}+", r"\p{N}+", r"[\s\p{Z}\p{Cf}]+", r"[\p{L}\p{M}\p{N}]+"
+_TOKENS = r"[^\s\p{Z}]+"
 _SINGLE = rf"{_UNSPACED}|[\p{{L}}\p{{M}}&&[^{_RANGES}]]+|\p{{N}}+"
 #: The same for texts of ASCII characters only, which most are.
-_ASCII = {_WORDS: "[A-Za-z]+|[0-9]+", _NUMBERS: "[0-9]+", _SPACES: r"\s+", _NAMED: "[A-Za-z0-9]+"}
+_ASCII = {_WORDS: "[A-Za-z]+|[0-9]+", _NUMBERS: "[0-9]+", _SPACES: r"\s+", _NAMED: "[A-Za-z0-9]+", _TOKENS: r"\S+"}
 _LINE_END = r"[.!?…;:,。！？؟।][\"'”’»)\]]*\s*$"
 _MARK = r"^\s*(?:[-*+•·–—▪◦]|\(?\p{N}{1,3}[.)]|\(?\p{L}[.)]|\[[ xX]?\])\s"
 
@@ -93,20 +94,23 @@ def statistics(documents: DataFrame, key: str, text: str, common: dict[str, list
     rows = rows.select(*[c for c in rows.columns if c != "__x"], F.length("__x").alias("__c"), F.length(F.regexp_replace(either(lambda p: F.regexp_replace("__x", p, ""), _NAMED), r"([=\-_*~.])\1{3,}", "$1")).alias("__s"))
     rows = rows.select("*", _of_list(w, sorted({x for words in common.values() for x in words})).alias("__a"))
     rows = rows.select("*", F.array_distinct("__a").alias("__e"))
-    in_line = lambda x: F.when(unspaced, F.size(found(x, _SINGLE))).otherwise(F.size(F.split(F.trim(F.regexp_replace(x, _MARK, "")), r"[\s\p{Z}]+")))
+    # a mark is looked for at a line's beginning, an end at its last characters
+    marked = lambda x: F.rlike(F.substring(x, 1, 40), F.lit(_MARK))
+    tokens = lambda x: F.when(unspaced, F.size(found(x, _SINGLE))).otherwise(either(lambda p: F.regexp_count(x, F.lit(p)), _TOKENS))
+    in_line = lambda x: F.greatest(tokens(x) - marked(x).cast("int"), F.lit(1))
     # a text of ASCII characters has no word of a language that is written without them
     count = lambda listed: F.size(_of_list(F.col("__e"), listed)) if any(x.isascii() for x in listed) else F.when(ascii_only, 0).otherwise(F.size(_of_list(F.col("__e"), listed)))
     rows = rows.select(
         "*",
         *[count(listed).alias(f"__{k}") for k, listed in common.items()],
-        F.transform(lines, lambda x: F.struct(in_line(x).alias("n"), F.rlike(x, F.lit(_MARK)).alias("m"), F.rlike(x, F.lit(_LINE_END)).alias("e"))).alias("__k"),
+        F.transform(lines, lambda x: F.struct(in_line(x).alias("n"), marked(x).alias("m"), F.rlike(F.substring(x, -16, 16), F.lit(_LINE_END)).alias("e"))).alias("__k"),
     )
     most = F.greatest(*[F.col(f"__{k}") for k in common])
     language = F.coalesce(*[F.when(F.col(f"__{k}") == most, F.lit(k)) for k in common])
     rows = rows.select("*", most.alias("__v"), language.alias("language"))
     rows = rows.select("*", F.coalesce(*[F.when(F.col("language") == k, F.size(_of_list(F.col("__a"), listed))) for k, listed in common.items()]).alias("__f"))
     n, k = F.size(w), F.col("__k")
-    pairs = F.transform(F.slice(w, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
+    pairs = F.transform(F.slice(w, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1)))
     total = F.aggregate(k, F.lit(0), lambda a, x: a + x["n"])
     words_in = lambda keep: F.aggregate(F.filter(k, keep), F.lit(0), lambda a, x: a + x["n"])
     smooth = lambda part, whole, share, by=PRIOR_WORDS: (part + by * share) / (whole + by)
