@@ -18,31 +18,45 @@ def _spelled(asked: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def forward(edges: DataFrame, asked: DataFrame, forms: DataFrame) -> DataFrame:
-    """(id, answer): what the subject of each question (id, subject, relation) has by the relation."""
-    q = _spelled(asked.select("id", F.col("subject").alias("qs"), "relation"), forms)
-    e = edges.select("subject", F.col("relation").alias("er"), "object")
-    return q.join(e, (F.col("qs") == F.col("subject")) & (F.col("meant") == F.col("er"))).select("id", F.col("object").alias("answer")).distinct()
+    """(id, answer): what the subject of each question (id, instance, subject, relation) has by the relation."""
+    q = _spelled(asked.select("id", F.col("instance").alias("qi"), F.col("subject").alias("qs"), "relation"), forms)
+    e = edges.select("instance", "subject", F.col("relation").alias("er"), "object")
+    return q.join(e, (F.col("qi") == F.col("instance")) & (F.col("qs") == F.col("subject")) & (F.col("meant") == F.col("er"))).select("id", F.col("object").alias("answer")).distinct()
+
+
+def _grams(name: Column) -> Column:
+    """All stretches of three letters of a name; a shorter name is its own."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: F.substring(name, i, F.lit(3))))
 
 
 def reverse(edges: DataFrame, asked: DataFrame, forms: DataFrame) -> DataFrame:
     """(id, answer): who has the relation to a thing that is, contains or is part of the name asked for.
 
-    The substring match is a nested loop by nature: it runs within the relation asked for, against the questions.
+    One name contains another only if it contains its first three letters: these are joined with all three-letter
+    stretches of the other side, within the instance and relation, and what they bring together is then compared. Names
+    of one or two letters are compared with all names of the relation.
     """
-    q = _spelled(asked.select("id", "relation", F.col("object").alias("qo")), forms)
-    e = edges.select("subject", F.col("relation").alias("er"), "object")
-    near = F.contains("object", F.col("qo")) | F.contains("qo", F.col("object"))
-    return q.join(e, F.col("meant") == F.col("er")).where(near).select("id", F.col("subject").alias("answer")).distinct()
+    q = _spelled(asked.select("id", F.col("instance").alias("qi"), "relation", F.col("object").alias("qo")), forms)
+    e = edges.select("instance", "subject", F.col("relation").alias("er"), "object")
+    same = (F.col("qi") == F.col("instance")) & (F.col("meant") == F.col("er"))
+    head = lambda c: F.substring(F.col(c), 1, 3)
+    holds = q.withColumn("k", head("qo")).join(e.withColumn("x", F.explode(_grams(F.col("object")))), same & (F.col("k") == F.col("x"))).where(F.contains("object", F.col("qo")))
+    held = q.withColumn("x", F.explode(_grams(F.col("qo")))).join(e.withColumn("k", head("object")), same & (F.col("k") == F.col("x"))).where(F.contains("qo", F.col("object")))
+    short = q.where(F.length("qo") < 3).join(e, same).where(F.contains("object", F.col("qo")))
+    brief = q.join(e.where(F.length("object") < 3), same).where(F.contains("qo", F.col("object")))
+    out = lambda rows: rows.select("id", F.col("subject").alias("answer"))
+    return out(holds).unionByName(out(held)).unionByName(out(short)).unionByName(out(brief)).distinct()
 
 
 def verdicts(edges: DataFrame, asked: DataFrame, forms: DataFrame) -> DataFrame:
-    """(id, verdict) of yes-or-no questions (id, subject, relation, object): a known subject without the fact means no,
-    an unknown one unknown."""
-    q = _spelled(asked.select("id", F.col("subject").alias("qs"), "relation", F.col("object").alias("qo")), forms)
-    e = edges.select("subject", F.col("relation").alias("er"), "object", F.lit(True).alias("hit"))
-    stated = q.join(e, (F.col("qs") == F.col("subject")) & (F.col("meant") == F.col("er")) & (F.col("qo") == F.col("object"))).select("id", "hit").distinct()
-    known = edges.select("subject").unionByName(edges.select(F.col("object").alias("subject"))).distinct().withColumn("known", F.lit(True))
-    out = asked.select("id", "subject").join(stated, "id", "left").join(known, "subject", "left")
+    """(id, verdict) of yes-or-no questions (id, instance, subject, relation, object): a subject that its instance knows
+    without the fact means no, an unknown one unknown."""
+    q = _spelled(asked.select("id", F.col("instance").alias("qi"), F.col("subject").alias("qs"), "relation", F.col("object").alias("qo")), forms)
+    e = edges.select("instance", "subject", F.col("relation").alias("er"), "object", F.lit(True).alias("hit"))
+    on = (F.col("qi") == F.col("instance")) & (F.col("qs") == F.col("subject")) & (F.col("meant") == F.col("er")) & (F.col("qo") == F.col("object"))
+    stated = q.join(e, on).select("id", "hit").distinct()
+    known = edges.select("instance", "subject").unionByName(edges.select("instance", F.col("object").alias("subject"))).distinct().withColumn("known", F.lit(True))
+    out = asked.select("id", "instance", "subject").join(stated, "id", "left").join(known, ["instance", "subject"], "left")
     return out.select("id", F.when(F.col("hit"), YES).when(F.col("known"), NO).otherwise(UNKNOWN).alias("verdict"))
 
 
@@ -65,12 +79,13 @@ def choice(seed: Column, templates: list[str]) -> Column:
 
 
 def difference(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, relation, object, only): what one of the subjects of each pair has and the other lacks."""
-    e = edges.select("subject", "relation", "object").distinct()
-    x = pairs.join(e, F.col("a") == F.col("subject")).select("a", "b", "relation", "object", F.lit(True).alias("ina"))
-    y = pairs.join(e, F.col("b") == F.col("subject")).select("a", "b", "relation", "object", F.lit(True).alias("inb"))
-    both = x.join(y, ["a", "b", "relation", "object"], "full")
-    return both.where("ina is null or inb is null").select("a", "b", "relation", "object", F.when(F.col("ina"), F.col("a")).otherwise(F.col("b")).alias("only"))
+    """(instance, a, b, relation, object, only): what one of the subjects of each pair has and the other lacks."""
+    e = edges.select("instance", "subject", "relation", "object").distinct()
+    key = ["instance", "a", "b", "relation", "object"]
+    x = pairs.join(e.withColumnRenamed("subject", "a"), ["instance", "a"]).select(*key, F.lit(True).alias("ina"))
+    y = pairs.join(e.withColumnRenamed("subject", "b"), ["instance", "b"]).select(*key, F.lit(True).alias("inb"))
+    both = x.join(y, key, "full")
+    return both.where("ina is null or inb is null").select(*key, F.when(F.col("ina"), F.col("a")).otherwise(F.col("b")).alias("only"))
 
 
 def rule_of(text: Column) -> Column:

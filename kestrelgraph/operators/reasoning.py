@@ -1,4 +1,7 @@
-"""Inference over (s, r, o, confidence): chains, inheritance, contradictions, rules, traces and spreading activation."""
+"""Inference over (g, s, r, o, confidence): chains, inheritance, contradictions, rules, traces and spreading activation.
+
+g is the instance: nothing is ever joined across instances.
+"""
 
 from __future__ import annotations
 
@@ -12,67 +15,103 @@ from pyspark.sql import functions as F
 from kestrelgraph.functions import confidence as C
 from kestrelgraph.runtime import materialize
 
+#: Relations that are transitive, that members inherit, and that are handed down; opposites.
+TRANSITIVE = ["looks_like", "is", "causes", "leads_to", "part_of"]
+INHERITED = ["has", "can", "color", "size", "shape"]
+HANDED_DOWN = ["can", "has", "has_property", "eats", "needs"]
+OPPOSITE = {"is": "is_not", "can": "cannot", "has": "has_not"}
+TRIPLE, FACT = ["s", "r", "o"], ["g", "s", "r", "o"]
+
 
 def chains(edges: DataFrame, depth: int = 5) -> DataFrame:
-    """(s, r, o, depth, score): the best product of weights by relation from s to o, and the fewest hops that reach it.
+    """(g, s, r, o, depth, score): the best product of weights by relation from s to o, and the fewest hops that reach it.
 
-    One join a hop over the best score of each pair and hop count. Weights are at most 1, so cutting a loop out of a
-    walk never lowers its product: the best walk is as good as the best path.
+    One join a hop, over the pairs that the hop before improved: weights are at most 1, so a walk that is no better than
+    a shorter one leads to nothing better, and cutting a loop out of a walk never lowers its product.
     """
-    step = edges.groupBy("s", "r", "o").agg(F.max(C.weight(F.col("confidence"))).alias("w"))
-    e = step.select(F.col("r").alias("er"), F.col("s").alias("es"), F.col("o").alias("eo"), "w")
-    walk = step.select("s", "r", "o", F.col("w").alias("score"), F.lit(1).alias("depth"))
-    found = [walk]
+    step = materialize(edges.groupBy(*FACT).agg(F.max(C.weight(F.col("confidence"))).alias("w")))
+    e = step.select(F.col("g").alias("eg"), F.col("r").alias("er"), F.col("s").alias("es"), F.col("o").alias("eo"), "w")
+    best = step.select(*FACT, F.col("w").alias("score"), F.lit(1).alias("depth"))
+    delta = best
     for hop in range(2, depth + 1):
-        walk = (
-            walk.join(e, (F.col("r") == F.col("er")) & (F.col("o") == F.col("es")) & (F.col("eo") != F.col("s")))
-            .groupBy("s", "r", F.col("eo").alias("o")).agg(F.max(F.col("score") * F.col("w")).alias("score")).withColumn("depth", F.lit(hop))
-        )
-        found.append(walk)
-    best = Window.partitionBy("s", "r", "o").orderBy(F.desc(F.round("score", 9)), "depth")
-    return reduce(DataFrame.unionByName, found).withColumn("k", F.row_number().over(best)).where("k = 1").select("s", "r", "o", "depth", F.round("score", 6).alias("score"))
+        on = F.col("g").eqNullSafe(F.col("eg")) & (F.col("r") == F.col("er")) & (F.col("o") == F.col("es")) & (F.col("eo") != F.col("s"))
+        far = delta.join(e, on).groupBy("g", "s", "r", F.col("eo").alias("o")).agg(F.max(F.col("score") * F.col("w")).alias("score"))
+        had = best.groupBy(*[F.col(c).alias(f"h{c}") for c in FACT]).agg(F.max("score").alias("had"))
+        same = F.col("g").eqNullSafe(F.col("hg")) & (F.col("s") == F.col("hs")) & (F.col("r") == F.col("hr")) & (F.col("o") == F.col("ho"))
+        better = far.join(had, same, "left").where(F.col("had").isNull() | (F.round("score", 9) > F.round("had", 9)))
+        delta = materialize(better.select(*FACT, "score", F.lit(hop).alias("depth")))
+        if delta.isEmpty():
+            break
+        best = best.unionByName(delta)
+    top = best.groupBy(*FACT).agg(F.max(F.struct(F.round("score", 9).alias("k"), (-F.col("depth")).alias("d"), "score")).alias("b"))
+    return top.select(*FACT, (-F.col("b.d")).alias("depth"), F.round("b.score", 6).alias("score"))
+
+
+def _without(rows: DataFrame, known: DataFrame, keys: Sequence[str] = FACT) -> DataFrame:
+    """rows whose keys are not in known; g may be null."""
+    k = known.select(*[F.col(c).alias(f"__{c}") for c in keys]).distinct()
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys])
+    return rows.join(k, on, "left_anti")
 
 
 def inferred(edges: DataFrame, depth: int = 5) -> DataFrame:
     """The chained facts of more than one hop that are not stated and whose score is kept, with their label."""
-    known = edges.select("s", "r", "o")
     far = chains(edges, depth).where((F.col("depth") > 1) & (F.col("score") >= C.KEPT_FROM - C.SLACK))
-    return far.join(known, ["s", "r", "o"], "left_anti").select("*", C.label(F.col("score")).alias("confidence"))
+    return _without(far, edges).select("*", C.label(F.col("score")).alias("confidence"))
 
 
 def inherited(membership: DataFrame, properties: DataFrame, depth: int = 3) -> DataFrame:
-    """(s, r, o, score, confidence): properties of categories that reach their members within `depth` levels.
+    """(g, s, r, o, score, confidence): properties of categories that reach their members within `depth` levels.
 
-    membership is edges of one relation, properties is (s, r, o, confidence). Score is membership times property
+    membership is edges of one relation, properties is (g, s, r, o, confidence). Score is membership times property
     weight; what the member has already is left out, and the best score holds.
     """
-    up = chains(membership, depth).select(F.col("s").alias("member"), F.col("o").alias("category"), F.col("score").alias("m"))
-    p = properties.select(F.col("s").alias("ps"), "r", "o", C.weight(F.col("confidence")).alias("w"))
-    got = up.join(p, F.col("category") == F.col("ps")).groupBy(F.col("member").alias("s"), "r", "o").agg(F.round(F.max(F.col("m") * F.col("w")), 6).alias("score"))
-    return got.where(F.col("score") >= C.KEPT_FROM - C.SLACK).join(properties.select("s", "r", "o"), ["s", "r", "o"], "left_anti").select("*", C.label(F.col("score")).alias("confidence"))
+    up = chains(membership, depth).select(F.col("g").alias("mg"), F.col("s").alias("member"), F.col("o").alias("category"), F.col("score").alias("m"))
+    p = properties.select("g", F.col("s").alias("ps"), "r", "o", C.weight(F.col("confidence")).alias("w"))
+    got = up.join(p, F.col("mg").eqNullSafe(F.col("g")) & (F.col("category") == F.col("ps"))).groupBy("g", F.col("member").alias("s"), "r", "o").agg(F.round(F.max(F.col("m") * F.col("w")), 6).alias("score"))
+    return _without(got.where(F.col("score") >= C.KEPT_FROM - C.SLACK), properties).select("*", C.label(F.col("score")).alias("confidence"))
+
+
+def _opposed(opposite: dict[str, str]):
+    return F.create_map(*[F.lit(x) for kv in opposite.items() for x in kv])
+
+
+def contradictions(facts: DataFrame, opposite: dict[str, str] = OPPOSITE, fresh: DataFrame | None = None) -> DataFrame:
+    """(g, s, positive, o): what is stated of a subject together with its opposite.
+
+    With fresh, only conflicts that a fresh fact has part in: each is probed against the stored facts and the other fresh ones.
+    """
+    back = _opposed({v: k for k, v in opposite.items()})
+    split = lambda rows, negative: rows.where(F.col("r").isin([*(opposite.values() if negative else opposite)])).select("g", "s", (back[F.col("r")] if negative else F.col("r")).alias("positive"), "o").distinct()
+    both = lambda x, y: _semi(split(x, False), split(y, True), ["g", "s", "positive", "o"])
+    if fresh is None:
+        return both(facts, facts)
+    whole = facts.select(*FACT).unionByName(fresh.select(*FACT))
+    return both(fresh, whole).unionByName(both(whole, fresh)).distinct()
 
 
-def contradictions(facts: DataFrame, opposite: dict[str, str]) -> DataFrame:
-    """(s, positive, o): what is stated of a subject together with its opposite."""
-    relation = F.create_map(*[F.lit(x) for kv in opposite.items() for x in kv])
-    pos = facts.where(F.col("r").isin(list(opposite))).select("s", F.col("r").alias("positive"), "o", relation[F.col("r")].alias("n"))
-    neg = facts.where(F.col("r").isin(list(opposite.values()))).select("s", F.col("r").alias("n"), "o")
-    return pos.join(neg, ["s", "n", "o"]).select("s", "positive", "o").distinct()
+def _semi(rows: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    k = known.select(*[F.col(c).alias(f"__{c}") for c in keys])
+    return rows.join(k, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]), "left_semi")
 
 
-def propagated(membership: DataFrame, properties: DataFrame, opposite: dict[str, str]) -> DataFrame:
+def temporal_conflicts(facts: DataFrame, now: Sequence[str] = ("always", "currently")) -> DataFrame:
+    """(g, s, o): what a subject both can and cannot among the facts (..., temporal) that hold now."""
+    return contradictions(facts.where(F.col("temporal").isin(list(now))), {"can": "cannot"}).select("g", "s", "o")
+
+
+def propagated(membership: DataFrame, properties: DataFrame, opposite: dict[str, str] = OPPOSITE, handed: Sequence[str] = HANDED_DOWN) -> DataFrame:
     """Properties handed one level down, unless the member has them or states the opposite."""
-    relation = F.create_map(*[F.lit(x) for kv in opposite.items() for x in kv])
-    m = membership.select(F.col("s").alias("member"), F.col("o").alias("category"))
-    p = properties.where(F.col("r").isin(list(opposite))).select(F.col("s").alias("ps"), "r", "o")
-    down = m.join(p, F.col("category") == F.col("ps")).select(F.col("member").alias("s"), "r", "o", relation[F.col("r")].alias("n")).distinct()
-    own = properties.select("s", "r", "o")
-    return down.join(own, ["s", "r", "o"], "left_anti").join(own.withColumnRenamed("r", "n"), ["s", "n", "o"], "left_anti").select("s", "r", "o", F.lit("low").alias("confidence"))
+    m = membership.select(F.col("g").alias("mg"), F.col("s").alias("member"), F.col("o").alias("category"))
+    p = properties.where(F.col("r").isin(list(handed))).select("g", F.col("s").alias("ps"), "r", "o")
+    down = m.join(p, F.col("mg").eqNullSafe(F.col("g")) & (F.col("category") == F.col("ps"))).select("g", F.col("member").alias("s"), "r", "o").distinct()
+    blocked = properties.where(F.col("r").isin(list(opposite.values()))).select("g", "s", _opposed({v: k for k, v in opposite.items()})[F.col("r")].alias("r"), "o")
+    return _without(_without(down, properties), blocked).select(*FACT, F.lit("low").alias("confidence"))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Premises and a conclusion over (subject, relation, object); names that start with "?" are variables."""
+    """Premises and a conclusion over (subject, relation, object) of one instance; names that start with "?" are variables."""
 
     name: str
     premises: tuple[tuple[str, str, str], ...]
@@ -105,81 +144,110 @@ def _bindings(rule: Rule, facts: DataFrame, fresh: DataFrame | None) -> DataFram
                     source = source.where(F.col(column) == term)
             if s == o and s.startswith("?"):
                 source = source.where("s = o")
-            names = {term[1:]: column for column, term in (("s", s), ("o", o)) if term.startswith("?")}
-            part = source.select(*[F.col(c).alias(n) for n, c in names.items()]).distinct()
+            names = {f"v_{term[1:]}": column for column, term in (("s", s), ("o", o)) if term.startswith("?")}
+            part = source.select("g", *[F.col(c).alias(n) for n, c in names.items()]).distinct()
             if rows is None:
                 rows = part
                 continue
             shared = [n for n in names if n in rows.columns]
             if not shared:
                 raise ValueError(f"{rule.name}: premise {i} shares no variable with those before it")
-            rows = rows.join(part, shared)
+            rows = rows.join(part, ["g", *shared])
         total = rows if total is None else total.unionByName(rows)
     return total.distinct()
 
 
 def conclusions(rule: Rule, facts: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
     s, r, o = rule.conclusion
-    term = lambda t: F.col(t[1:]) if t.startswith("?") else F.lit(t)
-    return _bindings(rule, facts, fresh).select(term(s).alias("s"), F.lit(r).alias("r"), term(o).alias("o")).distinct()
+    term = lambda t: F.col(f"v_{t[1:]}") if t.startswith("?") else F.lit(t)
+    return _bindings(rule, facts, fresh).select("g", term(s).alias("s"), F.lit(r).alias("r"), term(o).alias("o")).distinct()
 
 
 def dry_run(rules: Sequence[Rule], facts: DataFrame) -> DataFrame:
-    """(rule, s, r, o, known): what each rule would derive, and whether it is known already."""
-    known = facts.select("s", "r", "o").distinct().withColumn("known", F.lit(True))
+    """(rule, g, s, r, o, known): what each rule would derive, and whether it is known already."""
+    known = facts.select(*FACT).distinct().withColumn("known", F.lit(True))
     all_ = reduce(DataFrame.unionByName, [conclusions(rule, facts).withColumn("rule", F.lit(rule.name)) for rule in rules])
-    return all_.join(known, ["s", "r", "o"], "left").select("rule", "s", "r", "o", F.coalesce("known", F.lit(False)).alias("known"))
+    return all_.join(known, FACT, "left").select("rule", *FACT, F.coalesce("known", F.lit(False)).alias("known"))
 
 
 def forward_chain(rules: Sequence[Rule], facts: DataFrame, rounds: int = 10, exceptions: DataFrame | None = None) -> DataFrame:
-    """(s, r, o, round): the facts that the rules derive until nothing new comes, semi-naively.
+    """(g, s, r, o, round): the facts that the rules derive until nothing new comes, semi-naively.
 
     From the second round on only derivations that use a fact of the round before are joined. exceptions (r, er, eo)
-    blocks conclusions of relation r for subjects that have the fact (er, eo).
+    blocks conclusions of relation r for subjects that have the fact (er, eo). Facts without an instance derive nothing.
     """
-    known = materialize(facts.select("s", "r", "o").distinct())
+    known = materialize(facts.select(*FACT).where("g is not null").distinct())
     fresh, derived = None, None
     for k in range(1, rounds + 1):
-        new = reduce(DataFrame.unionByName, [conclusions(rule, known, fresh) for rule in rules]).distinct().join(known, ["s", "r", "o"], "left_anti")
+        new = reduce(DataFrame.unionByName, [conclusions(rule, known, fresh) for rule in rules]).distinct().join(known, FACT, "left_anti")
         if exceptions is not None:
             x = exceptions.select(F.col("r").alias("xr"), "er", "eo")
-            blocked = known.join(x, (F.col("r") == F.col("er")) & (F.col("o") == F.col("eo"))).select("s", F.col("xr").alias("r")).distinct()
-            new = new.join(blocked, ["s", "r"], "left_anti")
+            blocked = known.join(x, (F.col("r") == F.col("er")) & (F.col("o") == F.col("eo"))).select("g", "s", F.col("xr").alias("r")).distinct()
+            new = new.join(blocked, ["g", "s", "r"], "left_anti")
         fresh = materialize(new)
         if fresh.isEmpty():
             break
         step = fresh.withColumn("round", F.lit(k))
         derived = step if derived is None else derived.unionByName(step)
         known = known.unionByName(fresh)
-    return derived if derived is not None else facts.select("s", "r", "o", F.lit(0).alias("round")).limit(0)
+    return derived if derived is not None else facts.select(*FACT, F.lit(0).alias("round")).limit(0)
+
+
+def learned_exceptions(expected: DataFrame, facts: DataFrame) -> DataFrame:
+    """(r, er, eo, subjects): exceptions to learn where a subject denies what a rule expects of it.
+
+    expected is (g, s, r, o). A subject that states the opposite gives its first fact by is, has or has_property as the
+    exception to relation r.
+    """
+    against = facts.where(F.col("r").isin(list(OPPOSITE.values()))).select("g", "s", _opposed({v: k for k, v in OPPOSITE.items()})[F.col("r")].alias("r"), "o")
+    denied = _semi(expected.select(*FACT).distinct(), against, FACT)
+    order = F.when(F.col("fr") == "is", 0).when(F.col("fr") == "has", 1).otherwise(2)
+    own = facts.where(F.col("r").isin("is", "has", "has_property")).select(F.col("g").alias("fg"), F.col("s").alias("fs"), F.col("r").alias("fr"), F.col("o").alias("fo"))
+    first = own.groupBy("fg", "fs").agg(F.min(F.struct(order.alias("k"), "fo", "fr")).alias("f"))
+    got = denied.join(first, F.col("g").eqNullSafe(F.col("fg")) & (F.col("s") == F.col("fs")))
+    return got.groupBy("r", F.col("f.fr").alias("er"), F.col("f.fo").alias("eo")).agg(F.count_distinct("g", "s").alias("subjects"))
+
 
+def traces(identity: DataFrame, facts: DataFrame, relations: Sequence[str], depth: int = 4) -> DataFrame:
+    """(g, s, r, o, steps, path): why a subject has a property: its own fact, or the nearest ancestor's within `depth`.
 
-def traces(identity: DataFrame, facts: DataFrame, relation: str, depth: int = 4) -> DataFrame:
-    """(s, r, o, steps, path): why a subject has a property: its own fact, or the nearest ancestor's within `depth`."""
-    up = identity.select(F.col("s").alias("us"), F.col("o").alias("uo"))
-    level = identity.select("s").unionByName(facts.where(F.col("r") == relation).select("s")).distinct().select("s", F.col("s").alias("at"), F.col("s").alias("path"), F.lit(0).alias("steps"))
+    The walk goes down from those who state the property, so only nodes below one are visited.
+    """
+    down = identity.select(F.col("g").alias("ug"), F.col("s").alias("us"), F.col("o").alias("uo")).distinct()
+    p = materialize(facts.where(F.col("r").isin(list(relations))).select(*FACT).distinct())
+    holders = p.select("g", F.col("s").alias("at")).distinct()
+    level = holders.select("g", F.col("at").alias("s"), "at", F.col("at").alias("path"), F.lit(0).alias("steps"))
     levels = [level]
     for k in range(1, depth + 1):
-        level = level.join(up, F.col("at") == F.col("us")).groupBy("s", F.col("uo").alias("at")).agg(F.min(F.concat_ws(">", "path", "uo")).alias("path")).withColumn("steps", F.lit(k))
+        step = level.join(down, F.col("g").eqNullSafe(F.col("ug")) & (F.col("s") == F.col("uo")))
+        level = materialize(step.groupBy("g", F.col("us").alias("s"), "at").agg(F.min(F.concat_ws(">", "us", "path")).alias("path")).withColumn("steps", F.lit(k)))
         levels.append(level)
-    p = facts.where(F.col("r") == relation).select(F.col("s").alias("at"), "r", "o").distinct()
-    hits = reduce(DataFrame.unionByName, levels).join(p, "at")
-    first = Window.partitionBy("s", "r", "o").orderBy("steps", "path")
-    return hits.withColumn("k", F.row_number().over(first)).where("k = 1").select("s", "r", "o", "steps", "path")
+    ways = reduce(DataFrame.unionByName, levels).select(F.col("g").alias("wg"), F.col("s").alias("ws"), "at", "path", "steps")
+    hits = ways.join(p, F.col("wg").eqNullSafe(F.col("g")) & (F.col("at") == F.col("s")))
+    first = hits.groupBy("g", "ws", "r", "o").agg(F.min(F.struct("steps", "path")).alias("w"))
+    return first.select("g", F.col("ws").alias("s"), "r", "o", "w.steps", "w.path")
 
 
 def spread(edges: DataFrame, levels: DataFrame, rounds: int = 2, share: float = 0.5, least: float = 0.1, cap: float = 2.0) -> DataFrame:
-    """(node, level, sources): activation after some rounds: active nodes add half of their level to each neighbour.
+    """(g, node, level, sources): activation after some rounds: active nodes add half of their level, times the edge's
+    weight, to each neighbour.
 
-    levels is (node, level). Parallel edges count each. sources counts the different nodes that reached a node; they
-    are never gathered, so a hub is only aggregated.
+    levels is (g, node, level), edges (g, s, o, weight). Parallel edges count each. sources counts the different nodes
+    that reached a node; they are never gathered, so a hub is only aggregated.
     """
-    e = edges.select(F.col("s").alias("es"), F.col("o").alias("eo"))
-    state, reached = levels.select("node", "level"), None
+    e = edges.select(F.col("g").alias("eg"), F.col("s").alias("es"), F.col("o").alias("eo"), "weight")
+    state, reached = levels.select("g", "node", "level"), None
     for _ in range(rounds):
-        sent = state.where(F.col("level") >= least).join(e, F.col("node") == F.col("es")).select(F.col("eo").alias("to"), "node", (F.col("level") * share).alias("level"))
-        pairs = sent.select(F.col("to").alias("node"), F.col("node").alias("source"))
+        active = state.where(F.col("level") >= least).join(e, F.col("g").eqNullSafe(F.col("eg")) & (F.col("node") == F.col("es")))
+        sent = active.select("g", F.col("eo").alias("to"), "node", (F.col("level") * share * F.col("weight")).alias("level"))
+        pairs = sent.select("g", F.col("to").alias("node"), F.col("node").alias("source"))
         reached = pairs if reached is None else reached.unionByName(pairs)
-        state = state.unionByName(sent.select(F.col("to").alias("node"), "level")).groupBy("node").agg(F.least(F.sum("level"), F.lit(cap)).alias("level"))
-    counts = reached.distinct().groupBy("node").agg(F.count("*").alias("sources"))
-    return state.join(counts, "node", "left").select("node", F.round("level", 6).alias("level"), F.coalesce("sources", F.lit(0)).alias("sources"))
+        state = materialize(state.unionByName(sent.select("g", F.col("to").alias("node"), "level")).groupBy("g", "node").agg(F.least(F.sum("level"), F.lit(cap)).alias("level")))
+    counts = reached.distinct().groupBy(F.col("g").alias("cg"), F.col("node").alias("cn")).agg(F.count("*").alias("sources"))
+    both = state.join(counts, F.col("g").eqNullSafe(F.col("cg")) & (F.col("node") == F.col("cn")), "left")
+    return both.select("g", "node", F.round("level", 6).alias("level"), F.coalesce("sources", F.lit(0)).alias("sources"))
+
+
+def coactivated(spreaded: DataFrame, sources: int = 2, level: float = 0.3) -> DataFrame:
+    """Nodes that several sources reached and whose level is high enough."""
+    return spreaded.where((F.col("sources") >= sources) & (F.col("level") >= level))

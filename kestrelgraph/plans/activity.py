@@ -86,14 +86,14 @@ def question_limits(s: SparkSession, d: str) -> DataFrame:
 
 
 def _frames(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Frames of part names, and the types that parts of each name come in as their categories."""
+    """Frames of part names; their categories are the types that parts of a name come in, and what the name is by its first word."""
     parts = table(s, d, "part").select(star.low("p_name").alias("name"), star.low("p_type").alias("type"), star.low("p_brand").alias("brand"), "p_size")
     words = F.split("name", "_")
     slot = F.when(words[0].isin(star.SIZES), "size").when(words[0].isin(star.COLORS), "color").otherwise("has_property")
     sure = F.when(F.col("p_size") > 10, "high").otherwise("low")
     facts = F.array(F.struct(slot.alias("r"), words[0].alias("o"), sure.alias("c")), F.struct(F.lit("has").alias("r"), words[1].alias("o"), F.lit("high").alias("c")), F.struct(F.lit("can").alias("r"), F.concat(F.lit("be_"), "brand").alias("o"), F.lit("high").alias("c")))
     rows = parts.select(F.col("name").alias("s"), F.explode(facts).alias("f")).select("s", "f.r", "f.o", F.col("f.c").alias("confidence"))
-    wide = parts.select(F.col("type").alias("category"), F.col("name").alias("member")).distinct()
+    wide = parts.select(F.explode(F.array("type", F.concat(words[0], F.lit("_things")))).alias("category"), F.col("name").alias("member")).distinct()
     return frames.slots(rows), wide
 
 
@@ -152,8 +152,11 @@ QUERIES = {
     "question_limits": question_limits,
     "frame_slots": lambda s, d: _frames(s, d)[0],
     "frame_similarity": lambda s, d: frames.similarity(_frames(s, d)[0]),
+    "frame_category_similarity": lambda s, d: frames.similarity(*_frames(s, d)),
+    "frame_write_back": lambda s, d: frames.written_back(frames.similarity(*_frames(s, d)), star.parts(s, d)),
+    "frame_text": lambda s, d: frames.described(_frames(s, d)[0]),
     "attribute_bridges": lambda s, d: frames.bridges(_frames(s, d)[0]),
-    "prototypes": lambda s, d: frames.prototypes(*reversed(_frames(s, d)), share=0.1),
+    "prototypes": lambda s, d: frames.prototypes(*reversed(_frames(s, d))),
     "clusters": lambda s, d: frames.clusters(_frames(s, d)[1]),
     "frame_propagation": lambda s, d: frames.propagation(frames.similarity(_frames(s, d)[0]), _frames(s, d)[1]),
     "graph_payload": graph_payload,
@@ -176,12 +179,17 @@ f as (
   select name as concept, case when split_part(name, '_', 1) in ('small', 'large') then 'size' when split_part(name, '_', 1) in ('red', 'blue', 'green') then 'color' else 'traits' end as attribute, split_part(name, '_', 1) as value, p_size > 10 as sure from p
   union all select name, 'body_parts', split_part(name, '_', 2), true from p union all select name, 'traits', brand, false from p),
 slots as (select concept, attribute, value, bool_or(sure) as confirmed from f group by 1, 2, 3),
-members as (select distinct type as category, name as member from p where p_size > 40)"""
+members as (select type as category, name as member from p union select split_part(name, '_', 1) || '_things', name from p)"""
 _SHARED = """shared as (select x.concept as a, y.concept as b, attribute, count(*) as k, count(*) filter (x.confirmed and y.confirmed) as cc, count(*) filter (not x.confirmed and not y.confirmed) as pp, count(*) filter (x.confirmed <> y.confirmed) as cp
   from slots x join slots y using (attribute, value) where x.concept < y.concept group by 1, 2, 3)"""
 _SIMILAR = f"""{_SHARED}, sizes as (select concept, attribute, count(*) as n from slots group by 1, 2),
 similar_ as (select p.a, p.b, round((sum(coalesce(s.cc + 0.5 * s.pp + 0.3 * s.cp, 0))::double / sum(x.n + y.n - coalesce(s.k, 0))), 6) as similarity
   from (select distinct a, b from shared) p join sizes x on x.concept = p.a join sizes y on y.concept = p.b and y.attribute = x.attribute left join shared s on s.a = p.a and s.b = p.b and s.attribute = x.attribute group by 1, 2)"""
+_BLENDED = """c as (select member, count(*) as n from members group by 1), k as (select x.member as a, y.member as b, count(*) as k from members x join members y using (category) group by 1, 2),
+blended as (select s.a, s.b, round(0.7 * s.x + 0.3 * coalesce(k, 0) / (x.n + y.n - coalesce(k, 0)), 6) as similarity from (
+  select p.a, p.b, sum(coalesce(s.cc + 0.5 * s.pp + 0.3 * s.cp, 0))::double / sum(x.n + y.n - coalesce(s.k, 0)) as x
+  from (select distinct a, b from shared) p join sizes x on x.concept = p.a join sizes y on y.concept = p.b and y.attribute = x.attribute left join shared s on s.a = p.a and s.b = p.b and s.attribute = x.attribute group by 1, 2) s
+  join c x on x.member = s.a join c y on y.member = s.b left join k on k.a = s.a and k.b = s.b)"""
 _CLASS = lambda families, default: "case " + " ".join(f"when regexp_matches(lower(text), '{p}') then '{n}'" for n, p in families) + f" else '{default}' end"
 SQL = {
     "usage_sessions": f"""select session_id, {_SUM}, count(*) as turns, strftime(min("timestamp"), '%Y-%m-%d') as first_timestamp, strftime(max("timestamp"), '%Y-%m-%d') as last_timestamp,
@@ -217,9 +225,13 @@ select instance, subject, relation, kind, round(case kind when 'contradiction' t
 select *, row_number() over (partition by instance, relation order by n desc, subject)::int as place from i qualify place <= 3""",
     "frame_slots": f"with {_FRAMES} select * from slots",
     "frame_similarity": f"with {_FRAMES}, {_SIMILAR} select * from similar_",
+    "frame_category_similarity": f"with {_FRAMES}, {_SIMILAR}, {_BLENDED} select * from blended",
+    "frame_write_back": f"with {_FRAMES}, {_SIMILAR}, {_BLENDED} select a as s, 'similar_to' as r, b as o, 'medium' as confidence from blended where similarity >= 0.7 union all select b, 'similar_to', a, 'medium' from blended where similarity >= 0.7",
+    "frame_text": f"""with {_FRAMES}, x as (select concept, attribute, string_agg(value || case when confirmed then '' else '?' end, ', ' order by not confirmed, value || case when confirmed then '' else '?' end) as vs from slots group by 1, 2)
+select concept, string_agg(attribute || ': ' || vs, '; ' order by attribute || ': ' || vs) as text from x group by 1""",
     "attribute_bridges": f"with {_FRAMES}, {_SHARED} select a, b, attribute, cc as confirmed, pp as potential, cp as cross_tier, round(cc + 0.5 * pp + 0.3 * cp, 6)::double as strength from shared",
     "prototypes": f"""with {_FRAMES}, z as (select category, count(*) as n from members group by 1)
-select m.category, s.attribute, s.value, count(*) as holders from members m join slots s on s.concept = m.member and s.confirmed join z on z.category = m.category group by 1, 2, 3, z.n having count(*) >= 0.1 * z.n""",
+select m.category, s.attribute, s.value, count(*) as holders from members m join slots s on s.concept = m.member and s.confirmed join z on z.category = m.category group by 1, 2, 3, z.n having count(*) >= 0.5 * z.n""",
     "clusters": f"with {_FRAMES} select category, count(*) as members, round(least(1.0, 0.2 * count(*)), 6)::double as confidence from members group by 1 having count(*) >= 2",
     "frame_propagation": f"""with {_FRAMES}, {_SIMILAR}, b as (select a as x, b as y, similarity from similar_ union all select b, a, similarity from similar_)
 select x as concept, category, max(similarity) as similarity from b join members m on m.member = b.y where similarity >= 0.4 and not exists (select 1 from members k where k.member = b.x and k.category = m.category) group by 1, 2""",

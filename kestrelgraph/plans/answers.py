@@ -21,18 +21,19 @@ def _e(s: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
-    """A question about every clarification outside review whose relation is in relation_defs: its subject, base verb and object."""
+    """A question about every fact whose id is divisible by 100, by the base verb of its relation: a query set, answered
+    from all facts of its instance."""
     base = table(s, d, "relation_defs").select(F.col("relation").alias("br"), "base_verb")
-    f = store.edges(table(s, d, "facts").where("source_type = 'clarification' and context <> 'review'"))
-    rows = f.join(base, F.col("relation") == F.col("br")).select(F.concat_ws("|", *store.KEY).alias("id"), "subject", F.col("base_verb").alias("relation"), "object")
-    return rows.distinct()
+    f = table(s, d, "facts").where("fact_id % 100 = 0 and instance is not null and subject is not null and relation is not null and object is not null")
+    rows = f.join(base, F.col("relation") == F.col("br"), "left")
+    return rows.select(F.col("fact_id").cast("string").alias("id"), "instance", "subject", F.coalesce("base_verb", "relation").alias("relation"), "object")
 
 
 def yesno(s: SparkSession, d: str) -> DataFrame:
     """The same questions as asked, about the next subject's object (mostly no), and about an unknown subject."""
     a = _asked(s, d)
-    other = a.select(F.concat("id", F.lit("|other")).alias("id"), "subject", "relation", F.reverse("object").alias("object"))
-    none = a.select(F.concat("id", F.lit("|none")).alias("id"), F.concat("subject", F.lit("_zz")).alias("subject"), "relation", "object")
+    other = a.select(F.concat("id", F.lit("|other")).alias("id"), "instance", "subject", "relation", F.reverse("object").alias("object"))
+    none = a.select(F.concat("id", F.lit("|none")).alias("id"), "instance", F.concat("subject", F.lit("_zz")).alias("subject"), "relation", "object")
     return answers.verdicts(_e(s, d), a.unionByName(other).unionByName(none), _forms(s, d))
 
 
@@ -67,7 +68,7 @@ def differences(s: SparkSession, d: str) -> DataFrame:
     e = _e(s, d)
     n = e.groupBy("instance", "subject").agg(F.count("*").alias("n"))
     top = n.withColumn("k", F.row_number().over(Window.partitionBy("instance").orderBy(F.desc("n"), "subject"))).where("k <= 2")
-    pairs = top.groupBy("instance").agg(F.max(F.when(F.col("k") == 1, F.col("subject"))).alias("a"), F.max(F.when(F.col("k") == 2, F.col("subject"))).alias("b")).select("a", "b")
+    pairs = top.groupBy("instance").agg(F.max(F.when(F.col("k") == 1, F.col("subject"))).alias("a"), F.max(F.when(F.col("k") == 2, F.col("subject"))).alias("b")).select("instance", "a", "b")
     return answers.difference(e, pairs)
 
 
@@ -251,8 +252,8 @@ QUERIES = {
 
 _E = "e as (select distinct instance, subject, relation, object from facts where instance is not null and subject is not null and relation is not null and object is not null)"
 _ASK = f"""{_E}, forms as (select distinct relation, unnest([relation, base_verb, past, present_s, present_p]) as form from relation_defs),
-asked as (select distinct f.instance || '|' || f.subject || '|' || f.relation || '|' || f.object as id, f.subject, d.base_verb as relation, f.object
-  from (select distinct instance, subject, relation, object from facts where source_type = 'clarification' and context <> 'review' and instance is not null and subject is not null and object is not null) f join relation_defs d on d.relation = f.relation),
+asked as (select cast(fact_id as varchar) as id, f.instance, f.subject, coalesce(d.base_verb, f.relation) as relation, f.object
+  from facts f left join relation_defs d on d.relation = f.relation where fact_id % 100 = 0 and f.instance is not null and f.subject is not null and f.relation is not null and f.object is not null),
 meant as (select a.*, a.relation as meant from asked a union select a.*, f.relation from asked a join forms f on f.form = a.relation)"""
 _UP = """h as (
   select g, s, min(o) as o from (select instance as g, lower(replace(trim(subject), ' ', '_')) as s, lower(replace(trim(object), ' ', '_')) as o from facts where relation = 'part_of') group by 1, 2)"""
@@ -277,12 +278,12 @@ select doc_id, turn, named as topic, was, earlier from w where named is not null
 b as (select r, o, count(*) as n from parts where r <> 'is' group by 1, 2),
 c as (select m.category, p.r, p.o, count(*) as holders, round(count(*) / any_value(size), 6) as ratio from m join parts p on p.s = m.member and p.r <> 'is' join z using (category) group by 1, 2, 3)
 select category, c.r, c.o, holders, ratio, round(n / total, 6) as base_rate, round(ratio / (n / total), 6) as lift from c join b on b.r = c.r and b.o = c.o, t where holders >= 3 and round(n / total, 6) <= 0.8 and round(ratio / (n / total), 6) >= 1.2""",
-    "answers_forward": f"with {_ASK} select distinct id, e.object as answer from meant m join e on e.subject = m.subject and e.relation = m.meant",
-    "answers_reverse": f"with {_ASK} select distinct id, e.subject as answer from meant m join e on e.relation = m.meant and (contains(e.object, m.object) or contains(m.object, e.object))",
-    "answers_yesno": f"""with {_ASK}, q as (select id, subject, relation, object from asked union all select id || '|other', subject, relation, reverse(object) from asked union all select id || '|none', subject || '_zz', relation, object from asked),
-m as (select q.*, q.relation as meant from q union select q.*, f.relation from q join forms f on f.form = q.relation), known as (select subject as x from e union select object from e),
-hit as (select distinct id from m join e on e.subject = m.subject and e.relation = m.meant and e.object = m.object)
-select id, case when id in (select id from hit) then 'yes' when subject in (select x from known) then 'no' else 'unknown' end as verdict from q""",
+    "answers_forward": f"with {_ASK} select distinct id, e.object as answer from meant m join e on e.instance = m.instance and e.subject = m.subject and e.relation = m.meant",
+    "answers_reverse": f"with {_ASK} select distinct id, e.subject as answer from meant m join e on e.instance = m.instance and e.relation = m.meant and (contains(e.object, m.object) or contains(m.object, e.object))",
+    "answers_yesno": f"""with {_ASK}, q as (select id, instance, subject, relation, object from asked union all select id || '|other', instance, subject, relation, reverse(object) from asked union all select id || '|none', instance, subject || '_zz', relation, object from asked),
+m as (select q.*, q.relation as meant from q union select q.*, f.relation from q join forms f on f.form = q.relation), known as (select instance, subject as x from e union select instance, object from e),
+hit as (select distinct id from m join e on e.instance = m.instance and e.subject = m.subject and e.relation = m.meant and e.object = m.object)
+select id, case when id in (select id from hit) then 'yes' when (instance, subject) in (select (instance, x) from known) then 'no' else 'unknown' end as verdict from q""",
     "composed_answers": f"""with {_E}, x as (select instance, subject, relation, list_sort(list(distinct {_PRETTY('object')}))[1:5] as o from e group by 1, 2, 3)
 select instance, subject, x.relation, 'The ' || {_PRETTY('subject')} || ' ' || coalesce(d.present_s, {_PRETTY('x.relation')}) || ' ' || case len(o) when 1 then o[1] when 2 then o[1] || ' and ' || o[2] else array_to_string(o[:-2], ', ') || ', and ' || o[-1] end || '.' as sentence
 from x left join relation_defs d on d.relation = x.relation""",
@@ -293,9 +294,9 @@ select instance, subject, relation, attempts, case when v > 1 then 'hypothesizin
     "hypotheses": f"""with {_PROPS}, pairs as (select x.g, x.holder as a, y.holder as b from p x join p y on x.g = y.g and x.value = y.value and x.holder <> y.holder group by 1, 2, 3 having count(*) >= 2),
 n as (select q.g, q.a as holder, p.value, count(distinct q.b) as support from pairs q join p on p.g = q.g and p.holder = q.b group by 1, 2, 3)
 select n.*, round(least(0.9, 0.2 * support), 6)::double as confidence from n where support >= 2 and not exists (select 1 from p where p.g = n.g and p.holder = n.holder and p.value = n.value)""",
-    "differences": f"""with {_TOP}, pairs as (select x.subject as a, y.subject as b from top x join top y using (instance) where x.k = 1 and y.k = 2), f as (select distinct subject, relation, object from e)
-select distinct a, b, relation, object, a as only from pairs join f on f.subject = a where not exists (select 1 from f y where y.subject = b and y.relation = f.relation and y.object = f.object)
-union all select distinct a, b, relation, object, b from pairs join f on f.subject = b where not exists (select 1 from f y where y.subject = a and y.relation = f.relation and y.object = f.object)""",
+    "differences": f"""with {_TOP}, pairs as (select x.instance, x.subject as a, y.subject as b from top x join top y using (instance) where x.k = 1 and y.k = 2)
+select p.instance, a, b, relation, object, a as only from pairs p join e on e.instance = p.instance and e.subject = a where not exists (select 1 from e y where y.instance = p.instance and y.subject = b and y.relation = e.relation and y.object = e.object)
+union all select p.instance, a, b, relation, object, b from pairs p join e on e.instance = p.instance and e.subject = b where not exists (select 1 from e y where y.instance = p.instance and y.subject = a and y.relation = e.relation and y.object = e.object)""",
     "graph_limits": f"""with {_TOP} select instance, subject, relation, object, k as place, row_number() over (partition by instance, subject order by relation, object)::int as edge
 from e join (select instance, subject, k from top where k <= 20) using (instance, subject) qualify edge <= 5""",
     "conjunctive_filter": f"with {_E} select distinct instance, subject from e where relation = 'borrows_from' and exists (select 1 from e x where x.instance = e.instance and x.subject = e.subject and x.relation = 'tickles')",

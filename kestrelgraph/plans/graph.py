@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrelgraph.operators import hierarchy, mining, reasoning, star, store
@@ -14,9 +14,8 @@ RULES = [
     Rule("home_of_customer", (("?n", "is", "nation"), ("?c", "part_of", "?n"), ("?n", "part_of", "?r")), ("?c", "lives_in", "?r")),
     Rule("segment_of_order", (("?o", "part_of", "?c"), ("?c", "has", "?g")), ("?o", "serves", "?g")),
 ]
-OPPOSITE = {"can": "cannot"}
-#: Share of a category's members from which a property is expected of all, and of parts a brand.
-EXPECTED = 0.045
+#: Share of a category's members from which a property makes a rule, and from which it is expected of all.
+RULE_SHARE, EXPECTED = 0.6, 0.7
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +32,12 @@ def _hierarchy_edges(spark: SparkSession, d: str) -> DataFrame:
     return nodes.select("g", F.col("k").alias("s"), F.lit("part_of").alias("r"), F.col("t").alias("o"))
 
 
+def named(spark: SparkSession, d: str) -> DataFrame:
+    """(g, s, r, o, confidence): the facts table with its names in one spelling; rows with a missing part are no facts."""
+    f = table(spark, d, "facts").where("instance is not null and subject is not null and relation is not null and object is not null")
+    return f.select(F.col("instance").alias("g"), star.low("subject").alias("s"), F.col("relation").alias("r"), star.low("object").alias("o"), F.coalesce("confidence", F.lit("medium")).alias("confidence")).distinct()
+
+
 def property_clusters(spark: SparkSession, d: str) -> DataFrame:
     pairs = mining.shared_pairs(_properties(spark, d), 2)
     return pairs.select("g", "a", "b", "shared", F.round(F.least(F.lit(0.8), 0.3 + 0.15 * F.col("shared")), 6).alias("confidence"))
@@ -72,24 +77,26 @@ def group_proposals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _types(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    parts = star.parts(spark, d)
-    return parts.where("r = 'is'").select(F.col("o").alias("category"), F.col("s").alias("member")), parts.where("r <> 'is'").select("s", "r", "o")
+    """The customers of each nation that have ordered, and the priorities of their orders as their properties."""
+    o = table(spark, d, "orders").select("o_custkey", star.low("o_orderpriority").alias("o")).distinct()
+    home = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", star.low("n_name").alias("category"))
+    members = home.join(o.select("o_custkey").distinct(), F.col("c_custkey") == F.col("o_custkey")).select("category", star.key("customer", "c_custkey").alias("member"))
+    return members, o.select(star.key("customer", "o_custkey").alias("s"), F.lit("orders").alias("r"), "o")
 
 
 def category_property_rules(spark: SparkSession, d: str) -> DataFrame:
-    return mining.coverage(*_types(spark, d)).where((F.col("size") >= 3) & (F.col("ratio") >= EXPECTED))
+    return mining.coverage(*_types(spark, d)).where((F.col("size") >= 3) & (F.col("ratio") >= RULE_SHARE))
 
 
 def missing_properties(spark: SparkSession, d: str) -> DataFrame:
-    """How many members of a category lack a property that is expected of it."""
+    """The members of a category that lack a property which is expected of it."""
     members, properties = _types(spark, d)
-    want = mining.coverage(members, properties).where((F.col("size") >= 3) & (F.col("ratio") >= EXPECTED)).select("category", "r", "o")
-    lacking = members.join(want, "category").select("category", F.col("member").alias("s"), "r", "o").join(properties, ["s", "r", "o"], "left_anti")
-    return lacking.groupBy("category", "r", "o").agg(F.count("*").alias("lacking"), F.min("s").alias("first"))
+    want = mining.coverage(members, properties).where((F.col("size") >= 3) & (F.col("ratio") >= EXPECTED)).select("category", "r", "o", "ratio")
+    return members.join(want, "category").select("category", F.col("member").alias("s"), "r", "o", "ratio").join(properties, ["s", "r", "o"], "left_anti")
 
 
 def category_bridges(spark: SparkSession, d: str) -> DataFrame:
-    parts = star.parts(spark, d).where("r in ('is', 'has', 'color', 'size')")
+    parts = star.parts(spark, d)
     return mining.bridges(parts.select(F.col("o").alias("category"), F.col("s").alias("member")))
 
 
@@ -99,40 +106,51 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return mining.components(e.select(node("s").alias("a"), node("o").alias("b")))
 
 
-def _places(spark: SparkSession, d: str) -> DataFrame:
-    return star.places(spark, d)
+def _chained(facts: DataFrame) -> DataFrame:
+    return facts.where(F.col("r").isin(reasoning.TRANSITIVE) & (F.col("s") != F.col("o")))
 
 
 def property_inheritance(spark: SparkSession, d: str) -> DataFrame:
-    p = _places(spark, d)
+    """What categories hand to their members over three levels."""
+    w = star.world(spark, d)
+    return reasoning.inherited(w.where("r = 'is' and s <> o"), w.where(F.col("r").isin(reasoning.INHERITED)))
+
+
+def place_inheritance(spark: SparkSession, d: str) -> DataFrame:
+    """What a customer has, as handed to the customer's orders."""
+    p = star.places(spark, d)
     return reasoning.inherited(p.where("r = 'part_of'"), p.where("r = 'has'"))
 
 
 def _abilities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    own = star.abilities(spark, d)
-    home = _places(spark, d).where("r = 'located_in'").select("s", "o")
-    common = home.select("s", F.col("o").alias("place")).join(own.where("r = 'can'"), "s").select(F.col("place").alias("s"), "r", "o").distinct()
+    own = star.abilities(spark, d).select("g", "s", "r", "o").distinct()
+    home = star.places(spark, d).where("r = 'located_in'").select("g", "s", "o")
+    common = home.select("g", "s", F.col("o").alias("place")).join(own.where("r = 'can'"), ["g", "s"]).select("g", F.col("place").alias("s"), "r", "o").distinct()
     return home, own.unionByName(common)
 
 
-def conflict_blocked(spark: SparkSession, d: str) -> DataFrame:
-    """What suppliers of a place can deliver, handed to its other suppliers unless they cannot; counted by supplier."""
-    down = reasoning.propagated(*_abilities(spark, d), OPPOSITE)
-    return down.groupBy("s", "r", "confidence").agg(F.count("*").alias("parts"), F.min("o").alias("first"))
-
-
 def gather_facts(spark: SparkSession, d: str) -> DataFrame:
     """Direct and inherited facts of every customer and order; a relation that is stated directly is not inherited."""
-    p = _places(spark, d).where("r <> 'is'")
-    direct = p.select("s", "r", "o", F.lit("direct").alias("kind")).distinct()
-    got = property_inheritance(spark, d).select("s", "r", "o", F.lit("inherited").alias("kind"))
-    return direct.unionByName(got.join(direct.select("s", "r").distinct(), ["s", "r"], "left_anti"))
+    p = star.places(spark, d)
+    direct = p.select("g", "s", "r", "o", F.lit("direct").alias("kind")).distinct()
+    got = reasoning.inherited(p.where("r = 'part_of'"), p.where("r = 'has'")).select("g", "s", "r", "o", F.lit("inherited").alias("kind"))
+    back = p.where("r <> 'part_of'").select("g", F.col("o").alias("s"), "r", F.col("s").alias("o"), F.lit("reverse").alias("kind")).distinct()
+    return direct.unionByName(back).unionByName(got.join(direct.select("g", "s", "r").distinct(), ["g", "s", "r"], "left_anti"))
 
 
 def spread_activation(spark: SparkSession, d: str) -> DataFrame:
-    p = _places(spark, d).where("r in ('part_of', 'located_in')")
-    seeds = spark.createDataFrame([("nation_0", 1.0), ("nation_1", 1.0), ("nation_2", 0.15)], "node string, level double")
-    return reasoning.spread(p.select(F.col("o").alias("s"), F.col("s").alias("o")), seeds)
+    """Two rounds from the three best-connected subjects of each instance; an edge weighs more the more often it was stated."""
+    f = table(spark, d, "facts").where("instance is not null and subject is not null and object is not null")
+    edges = f.groupBy(F.col("instance").alias("g"), F.col("subject").alias("s"), F.col("object").alias("o")).agg(F.least(F.lit(5.0), 1.0 + 0.1 * (F.count("*") - 1)).alias("weight"))
+    n = edges.groupBy("g", F.col("s").alias("node")).agg(F.count("*").alias("n"))
+    top = n.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "node"))).where("k <= 3")
+    return reasoning.spread(edges, top.select("g", "node", F.lit(1.0).alias("level")))
+
+
+def incremental_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Conflicts in which the facts of open line items have part, against the stored ones of closed line items."""
+    a = star.abilities(spark, d)
+    return reasoning.contradictions(a.where("temporal = 'past'"), fresh=a.where("temporal = 'currently'"))
 
 
 QUERIES = {
@@ -151,17 +169,22 @@ QUERIES = {
     "missing_properties": missing_properties,
     "category_bridges": category_bridges,
     "components": components,
-    "transitive_chain": lambda s, d: reasoning.chains(_places(s, d).where("r in ('part_of', 'located_in')")),
-    "transitive_inference": lambda s, d: reasoning.inferred(_places(s, d).where("r = 'part_of'")),
+    "transitive_chain": lambda s, d: reasoning.chains(_chained(named(s, d))),
+    "transitive_inference": lambda s, d: reasoning.inferred(_chained(named(s, d))),
+    "place_chains": lambda s, d: reasoning.inferred(_chained(star.places(s, d))),
     "property_inheritance": property_inheritance,
-    "contradictions": lambda s, d: reasoning.contradictions(star.abilities(s, d), OPPOSITE),
-    "conflict_blocked_propagation": conflict_blocked,
+    "place_inheritance": place_inheritance,
+    "contradictions": lambda s, d: reasoning.contradictions(star.abilities(s, d)),
+    "incremental_conflicts": incremental_conflicts,
+    "temporal_conflicts": lambda s, d: reasoning.temporal_conflicts(star.abilities(s, d)),
+    "conflict_blocked_propagation": lambda s, d: reasoning.propagated(*_abilities(s, d)),
     "gather_facts": gather_facts,
-    "reasoning_trace": lambda s, d: reasoning.traces(_places(s, d).where("r = 'part_of'"), _places(s, d), "has"),
-    "forward_chaining": lambda s, d: reasoning.forward_chain(RULES, _places(s, d)),
-    "rule_dry_run": lambda s, d: reasoning.dry_run(RULES, _places(s, d)),
-    "rule_exceptions": lambda s, d: reasoning.forward_chain(RULES[1:2], _places(s, d), exceptions=s.createDataFrame([("lives_in", "has", "machinery")], "r string, er string, eo string")),
+    "reasoning_trace": lambda s, d: reasoning.traces(named(s, d).where("r = 'part_of' and s <> o"), named(s, d), ["mends", "echoes", "carves"]),
+    "forward_chaining": lambda s, d: reasoning.forward_chain(RULES, star.places(s, d)),
+    "rule_dry_run": lambda s, d: reasoning.dry_run(RULES, star.places(s, d)),
+    "rule_exceptions": lambda s, d: reasoning.forward_chain(RULES, star.places(s, d), exceptions=s.createDataFrame([("lives_in", "has", "machinery")], "r string, er string, eo string")),
     "spread_activation": spread_activation,
+    "coactivated": lambda s, d: reasoning.coactivated(spread_activation(s, d)),
 }
 
 _E = "e as (select distinct instance as g, subject as s, relation as r, object as o from facts where instance is not null and subject is not null and relation is not null and object is not null)"
@@ -175,22 +198,38 @@ _UP = """h as (
   select g, s, min(o) as o from (select instance as g, lower(replace(trim(subject), ' ', '_')) as s, lower(replace(trim(object), ' ', '_')) as o from facts where relation = 'part_of') group by 1, 2)"""
 _WEIGHT = "case confidence when 'high' then 1.0 when 'low' then 0.4 else 0.7 end"
 _LABEL = "case when score >= 0.9 - 1e-9 then 'high' when score >= 0.5 - 1e-9 then 'medium' else 'low' end"
-_CHAINS = f"""steps as (select s, r, o, max(cast({_WEIGHT} as double)) as w from places group by 1, 2, 3),
-walks as (select s, r, o, w as score, 1 as depth from steps union all
-  select w.s, w.r, t.o, w.score * t.w, w.depth + 1 from walks w join steps t on t.r = w.r and t.s = w.o and t.o <> w.s where w.depth < 5),
-chains as (select s, r, o, arg_min(depth, (-round(score, 9), depth)) as depth, round(max(score), 6) as score from walks group by 1, 2, 3)"""
-_HELD = """members as (select o as category, s as member from parts where r = 'is'), sizes as (select category, count(*) as size from members group by 1),
-cover as (select category, p.r, p.o, count(*) as holders, any_value(size) as size, round(count(*) / any_value(size), 6) as ratio from members m join parts p on p.s = m.member and p.r <> 'is' join sizes using (category) group by 1, 2, 3)"""
-_DERIVED = """one as (select s.s, 'located_in' as r, n.o from places s join places n on s.r = 'located_in' and n.r = 'part_of' and n.s = s.o),
-two as (select distinct c.s, 'lives_in' as r, r.o from places n join places c on n.r = 'is' and n.o = 'nation' and c.r = 'part_of' and c.o = n.s join places r on r.r = 'part_of' and r.s = n.s),
-three as (select distinct x.s, 'serves' as r, c.o from places x join places c on x.r = 'part_of' and c.r = 'has' and c.s = x.o)"""
-_INHERITED = f"""{star.PLACES_SQL}, {_CHAINS},
-got as (select c.s, p.r, p.o, round(max(c.score * cast({_WEIGHT} as double)), 6) as score from chains c join places p on c.r = 'part_of' and c.depth <= 3 and p.r = 'has' and p.s = c.o group by 1, 2, 3),
-kept as (select * from got where score >= 0.3 - 1e-9 and not exists (select 1 from places p where p.s = got.s and p.r = got.r and p.o = got.o))"""
+NAMED = """named as (select distinct instance as g, lower(replace(trim(subject), ' ', '_')) as s, relation as r, lower(replace(trim(object), ' ', '_')) as o, coalesce(confidence, 'medium') as confidence
+  from facts where instance is not null and subject is not null and relation is not null and object is not null)"""
+_CHAINED = "r in ('looks_like', 'is', 'causes', 'leads_to', 'part_of') and s <> o"
+_CHAINS = lambda source: f"""steps as (select g, s, r, o, max(cast({_WEIGHT} as double)) as w from {source} where {_CHAINED} group by 1, 2, 3, 4),
+walks as (select g, s, r, o, w as score, 1 as depth from steps union all
+  select w.g, w.s, w.r, t.o, w.score * t.w, w.depth + 1 from walks w join steps t on t.g = w.g and t.r = w.r and t.s = w.o and t.o <> w.s where w.depth < 5),
+chains as (select g, s, r, o, arg_min(depth, (-round(score, 9), depth)) as depth, round(max(score), 6) as score from walks group by 1, 2, 3, 4)"""
+_INFERRED = lambda source: f"""select *, {_LABEL} as confidence from chains c
+where depth > 1 and score >= 0.3 - 1e-9 and not exists (select 1 from {source} p where p.g = c.g and p.s = c.s and p.r = c.r and p.o = c.o)"""
+_HELD = """props as (select distinct 'customer_' || o_custkey as s, 'orders' as r, lower(replace(trim(o_orderpriority), ' ', '_')) as o from orders),
+members as (select lower(replace(n_name, ' ', '_')) as category, 'customer_' || c_custkey as member from customer join nation on c_nationkey = n_nationkey where 'customer_' || c_custkey in (select s from props)), sizes as (select category, count(*) as size from members group by 1),
+cover as (select category, p.r, p.o, count(*) as holders, any_value(size) as size, round(count(*) / any_value(size), 6) as ratio from members m join props p on p.s = m.member join sizes using (category) group by 1, 2, 3)"""
+_DERIVED = """one as (select s.g, s.s, 'located_in' as r, n.o from places s join places n on s.r = 'located_in' and n.r = 'part_of' and n.s = s.o),
+two as (select distinct c.g, c.s, 'lives_in' as r, r.o from places n join places c on n.r = 'is' and n.o = 'nation' and c.r = 'part_of' and c.o = n.s join places r on r.r = 'part_of' and r.s = n.s),
+three as (select distinct x.g, x.s, 'serves' as r, c.o from places x join places c on x.r = 'part_of' and c.r = 'has' and c.s = x.o)"""
+_INHERITED = lambda source, kept, by="part_of": f"""{_CHAINS(source)},
+got as (select c.g, c.s, p.r, p.o, round(max(c.score * cast({_WEIGHT} as double)), 6) as score from chains c join {source} p on p.g = c.g and c.r = '{by}' and c.depth <= 3 and {kept} and p.s = c.o group by 1, 2, 3, 4),
+kept as (select * from got where score >= 0.3 - 1e-9 and not exists (select 1 from {source} p where p.g = got.g and p.s = got.s and p.r = got.r and p.o = got.o))"""
+_SPREAD = """e as (select instance as g, subject as s, object as o, least(5.0, 1.0 + 0.1 * (count(*) - 1))::double as weight from facts where instance is not null and subject is not null and object is not null group by 1, 2, 3),
+n as (select g, s as node, count(*) as n from e group by 1, 2), l0 as (select g, node, 1.0::double as level from n qualify row_number() over (partition by g order by n desc, node) <= 3),
+m1 as (select l.g, e.o as node, l.node as source, l.level * 0.5 * weight as level from l0 l join e on e.g = l.g and e.s = l.node where l.level >= 0.1),
+l1 as (select g, node, least(sum(level), 2.0) as level from (select * from l0 union all select g, node, level from m1) group by 1, 2),
+m2 as (select l.g, e.o as node, l.node as source, l.level * 0.5 * weight as level from l1 l join e on e.g = l.g and e.s = l.node where l.level >= 0.1),
+l2 as (select g, node, least(sum(level), 2.0) as level from (select * from l1 union all select g, node, level from m2) group by 1, 2),
+c as (select g, node, count(distinct source) as sources from (select g, node, source from m1 union all select g, node, source from m2) group by 1, 2),
+spread as (select g, node, round(level, 6) as level, coalesce(sources, 0) as sources from l2 left join c using (g, node))"""
 SQL = {
     "value_classes": f"with {_E} select g, r, o, count(*) as members, min(s) as \"first\", max(s) as \"last\" from e group by 1, 2, 3 having count(*) >= 2",
     "property_clusters": f"with {_PAIRS} select g, a, b, shared, round(least(0.8, 0.3 + 0.15 * shared), 6)::double as confidence from pairs",
-    "analogies": f"""with {_PAIRS} select p.g, a, b, round(shared / (x.n + y.n - shared), 6) as similarity from pairs p join size x on x.g = p.g and x.s = a join size y on y.g = p.g and y.s = b
+    "analogies": f"""with {_E}, size as (select g, s, count(*) as n from e group by 1, 2),
+pairs as (select x.g, x.s as a, y.s as b, count(*) as shared from e x join e y on x.g = y.g and x.r = y.r and x.o = y.o and x.s < y.s group by 1, 2, 3)
+select p.g, a, b, round(shared / (x.n + y.n - shared), 6) as similarity from pairs p join size x on x.g = p.g and x.s = a join size y on y.g = p.g and y.s = b
 where round(shared / (x.n + y.n - shared), 6) >= 0.3""",
     "signature_classes": f"with {_SIGNATURES} select * from classes",
     "structural_similarity": f"""with {_SIGNATURES}, c as (select g, signature, string_split(signature, '|') as rs from classes),
@@ -207,11 +246,10 @@ where not exists (select 1 from e b where b.g = e.g and b.s = e.o and b.r = d.re
 from facts where created_at is not null group by 1, 2, 3 having support >= 3 and confidence >= 0.6""",
     "group_proposals": f"""with {star.PLACES_SQL}, x as (select s, string_agg(distinct o, '_' order by o) as signature from places where s like 'customer%' group by 1)
 select signature || '_group' as name, count(*) as members, min(s) as "first" from x group by signature having count(*) >= 3""",
-    "category_property_rules": f"with {star.PARTS_SQL}, {_HELD} select * from cover where size >= 3 and ratio >= {EXPECTED}",
-    "missing_properties": f"""with {star.PARTS_SQL}, {_HELD}
-select c.category, c.r, c.o, count(*) as lacking, min(m.member) as "first" from cover c join members m on m.category = c.category
-where size >= 3 and ratio >= {EXPECTED} and not exists (select 1 from parts p where p.s = m.member and p.r = c.r and p.o = c.o) group by 1, 2, 3""",
-    "category_bridges": f"""with {star.PARTS_SQL}, m as (select distinct o as category, s as member from parts where r in ('is', 'has', 'color', 'size')),
+    "category_property_rules": f"with {_HELD} select * from cover where size >= 3 and ratio >= {RULE_SHARE}",
+    "missing_properties": f"""with {_HELD} select c.category, m.member as s, c.r, c.o, c.ratio from cover c join members m on m.category = c.category
+where size >= 3 and ratio >= {EXPECTED} and not exists (select 1 from props p where p.s = m.member and p.r = c.r and p.o = c.o)""",
+    "category_bridges": f"""with {star.PARTS_SQL}, m as (select distinct o as category, s as member from parts),
 z as (select category, count(*) as n from m group by 1),
 p as (select x.category as a, y.category as b, count(*) as shared from m x join m y on x.member = y.member and x.category < y.category group by 1, 2),
 q as (select p.*, u.n as na, v.n as nb from p join z u on u.category = a join z v on v.category = b),
@@ -221,28 +259,29 @@ select case when turn then b else a end as a, relation, case when turn then a el
     "components": f"""with recursive {_UP}, x as (select g || '/' || s as a, g || '/' || o as b from h where s <> o), u as (select a, b from x union select b, a from x),
 n as (select a as node from u), reach as (select node, node as other from n union select r.node, u.b from reach r join u on u.a = r.other)
 select node, min(other) as component from reach group by 1""",
-    "transitive_chain": f"with recursive {star.PLACES_SQL}, {_CHAINS} select * from chains where r in ('part_of', 'located_in')",
-    "transitive_inference": f"""with recursive {star.PLACES_SQL}, {_CHAINS} select *, {_LABEL} as confidence from chains c
-where r = 'part_of' and depth > 1 and score >= 0.3 - 1e-9 and not exists (select 1 from places p where p.s = c.s and p.r = c.r and p.o = c.o)""",
-    "property_inheritance": f"with recursive {_INHERITED} select *, {_LABEL} as confidence from kept",
-    "contradictions": f"with {star.ABILITIES_SQL} select x.s, 'can' as positive, x.o from abilities x join abilities y on x.r = 'can' and y.r = 'cannot' and x.s = y.s and x.o = y.o",
+    "transitive_chain": f"with recursive {NAMED}, {_CHAINS('named')} select * from chains",
+    "transitive_inference": f"with recursive {NAMED}, {_CHAINS('named')} {_INFERRED('named')}",
+    "property_inheritance": f"""with recursive {star.WORLD_SQL}, {_INHERITED('world', "p.r in ('has', 'can', 'color', 'size', 'shape')", 'is')}, own as (select g, s, r, o from world) select *, {_LABEL} as confidence from kept""",
+    "place_inheritance": f"""with recursive {star.PLACES_SQL}, {_INHERITED('places', "p.r = 'has'")} select *, {_LABEL} as confidence from kept""",
+    "contradictions": f"with {star.ABILITIES_SQL} select distinct x.g, x.s, 'can' as positive, x.o from abilities x join abilities y on x.g = y.g and x.r = 'can' and y.r = 'cannot' and x.s = y.s and x.o = y.o",
     "conflict_blocked_propagation": f"""with {star.PLACES_SQL}, {star.ABILITIES_SQL}, home as (select s, o as place from places where r = 'located_in'),
 common as (select distinct place, o from home join abilities a using (s) where a.r = 'can'), down as (select h.s, c.o from home h join common c using (place))
-select s, 'can' as r, 'low' as confidence, count(*) as parts, min(o) as "first" from down d where not exists (select 1 from abilities a where a.s = d.s and a.o = d.o) group by 1""",
-    "gather_facts": f"""with recursive {_INHERITED}, direct as (select distinct s, r, o from places where r <> 'is')
-select s, r, o, 'direct' as kind from direct union all select s, r, o, 'inherited' from kept k where not exists (select 1 from direct d where d.s = k.s and d.r = k.r)""",
-    "reasoning_trace": f"""with recursive {star.PLACES_SQL}, start as (select s from places where r in ('part_of', 'has')),
-up as (select distinct s, s as at_, s as path, 0 as steps from start union select u.s, p.o, u.path || '>' || p.o, steps + 1 from up u join places p on p.r = 'part_of' and p.s = u.at_ where steps < 4)
-select u.s, p.r, p.o, arg_min(steps, (steps, path)) as steps, arg_min(path, (steps, path)) as path from up u join places p on p.s = u.at_ and p.r = 'has' group by 1, 2, 3""",
-    "forward_chaining": f"with {star.PLACES_SQL}, {_DERIVED} select s, r, o, 1 as round from (select * from one union select * from two union select * from three) x where not exists (select 1 from places p where p.s = x.s and p.r = x.r and p.o = x.o)",
+select 'supply' as g, s, 'can' as r, o, 'low' as confidence from down d where not exists (select 1 from abilities a where a.s = d.s and a.o = d.o and a.r in ('can', 'cannot'))""",
+    "gather_facts": f"""with recursive {star.PLACES_SQL}, {_INHERITED('places', "p.r = 'has'")}, direct as (select distinct g, s, r, o from places)
+select g, s, r, o, 'direct' as kind from direct union all select distinct g, o, r, s, 'reverse' from places where r <> 'part_of' union all select g, s, r, o, 'inherited' from kept k where not exists (select 1 from direct d where d.s = k.s and d.r = k.r)""",
+    "reasoning_trace": f"""with recursive {NAMED}, held as (select distinct g, s, r, o from named where r in ('mends', 'echoes', 'carves')), e as (select distinct g, s, o from named where r = 'part_of' and s <> o),
+start as (select g, s from held union select g, s from e), up as (select g, s, s as at_, s as path, 0 as steps from start union all select u.g, u.s, e.o, u.path || '>' || e.o, steps + 1 from up u join e on e.g = u.g and e.s = u.at_ where steps < 4)
+select u.g, u.s, p.r, p.o, arg_min(steps, (steps, path)) as steps, arg_min(path, (steps, path)) as path from up u join held p on p.g = u.g and p.s = u.at_ group by 1, 2, 3, 4""",
+    "forward_chaining": f"with {star.PLACES_SQL}, {_DERIVED} select g, s, r, o, 1 as round from (select * from one union select * from two union select * from three) x where not exists (select 1 from places p where p.s = x.s and p.r = x.r and p.o = x.o)",
     "rule_dry_run": f"""with {star.PLACES_SQL}, {_DERIVED}, x as (select distinct 'region_of_supplier' as rule, * from one union all select 'home_of_customer', * from two union all select 'segment_of_order', * from three)
-select rule, s, r, o, exists (select 1 from places p where p.s = x.s and p.r = x.r and p.o = x.o) as known from x""",
-    "rule_exceptions": f"with {star.PLACES_SQL}, {_DERIVED} select s, r, o, 1 as round from two where s not in (select s from places where r = 'has' and o = 'machinery')",
-    "spread_activation": f"""with {star.PLACES_SQL}, e as (select o as s, s as o from places where r in ('part_of', 'located_in')), l0(node, level) as (values ('nation_0', 1.0::double), ('nation_1', 1.0), ('nation_2', 0.15)),
-m1 as (select e.o as node, l.node as source, l.level * 0.5 as level from l0 l join e on e.s = l.node where l.level >= 0.1),
-l1 as (select node, least(sum(level), 2.0) as level from (select * from l0 union all select node, level from m1) group by 1),
-m2 as (select e.o as node, l.node as source, l.level * 0.5 as level from l1 l join e on e.s = l.node where l.level >= 0.1),
-l2 as (select node, least(sum(level), 2.0) as level from (select * from l1 union all select node, level from m2) group by 1),
-n as (select node, count(distinct source) as sources from (select node, source from m1 union all select node, source from m2) group by 1)
-select node, round(level, 6) as level, coalesce(sources, 0) as sources from l2 left join n using (node)""",
+select rule, g, s, r, o, exists (select 1 from places p where p.s = x.s and p.r = x.r and p.o = x.o) as known from x""",
+    "rule_exceptions": f"""with {star.PLACES_SQL}, {_DERIVED} select g, s, r, o, 1 as round from (select * from one union select * from two union select * from three) x
+where not exists (select 1 from places p where p.s = x.s and p.r = x.r and p.o = x.o) and not (r = 'lives_in' and s in (select s from places where r = 'has' and o = 'machinery'))""",
+    "spread_activation": f"with {_SPREAD} select * from spread",
+    "place_chains": f"with recursive {star.PLACES_SQL}, {_CHAINS('places')} {_INFERRED('places')}",
+    "incremental_conflicts": f"""with {star.ABILITIES_SQL} select distinct x.g, x.s, 'can' as positive, x.o from abilities x join abilities y on x.g = y.g and x.r = 'can' and y.r = 'cannot' and x.s = y.s and x.o = y.o
+where x.temporal = 'currently' or y.temporal = 'currently'""",
+    "temporal_conflicts": f"""with {star.ABILITIES_SQL} select distinct x.g, x.s, x.o from abilities x join abilities y on x.g = y.g and x.r = 'can' and y.r = 'cannot' and x.s = y.s and x.o = y.o
+where x.temporal in ('always', 'currently') and y.temporal in ('always', 'currently')""",
+    "coactivated": f"with {_SPREAD} select * from spread where sources >= 2 and level >= 0.3",
 }

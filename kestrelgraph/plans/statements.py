@@ -45,7 +45,7 @@ _KEY = lambda x: f"regexp_replace(trim(regexp_replace({x}, '^(the|a|an) ', '')),
 _GROUP = lambda p, i: f"regexp_extract(t, '{_Q(p[0])}', {i})" if i else "'user'"
 _FIRST = "regexp_extract(lower(c), '^([a-z]+) ', 1)"
 SQL = {
-    "statement_patterns": f"""with d as (select doc_id, {SENTENCES_SQL} as ss from documents where text is not null and lang = 'en'),
+    "statement_patterns": f"""with d as (select doc_id, {SENTENCES_SQL} as ss from documents where text is not null),
 x as (select doc_id, unnest(ss) as s, unnest(range(len(ss)))::int as pos from d),
 c as (select doc_id, pos, regexp_replace(regexp_replace(lower(trim(s)), '[.!?]+$', ''), '^(however|also|because of this|in fact|therefore),? ', '') as t from x),
 f as (select doc_id, pos, t, {_FIT(lambda p: f"'{p[1]}'")} as relation, {_FIT(lambda p: _KEY(_GROUP(p, p[2])) if p[2] else "'user'")} as subject, {_FIT(lambda p: _GROUP(p, p[3]))} as o, {_FIT(lambda p: str(p[2] > 0).lower())} as named from c),
@@ -59,7 +59,7 @@ select item_id, pos as "at", part, case when part = 0 then 'nucleus' {" ".join(f
     "discourse_links": f"""with d as (select doc_id, {SENTENCES_SQL} as ss from documents where text is not null), x as (select doc_id, ss, unnest(ss) as s, unnest(range(len(ss)))::int as pos from d),
 m as (select doc_id, pos, case {" ".join(f"when regexp_matches(lower(s), '^{k}\\b') then '{language.DISCOURSE[k]}'" for k in sorted(language.DISCOURSE, key=lambda k: (-len(k), k)))} end as relation, case when pos = 0 then '' else ss[pos] end as before from x)
 select doc_id, pos as "at", relation, before from m where relation is not null""",
-    "sentence_links": f"""with d as (select doc_id, {SENTENCES_SQL} as ss from documents where text is not null and lang = 'en'),
+    "sentence_links": f"""with d as (select doc_id, {SENTENCES_SQL} as ss from documents where text is not null),
 n as (select doc_id, list_transform(ss, lambda s: list_distinct(regexp_extract_all(regexp_replace(s, '^\\S+', ''), '{language.NAME}', 1))) as ns from d),
 p as (select ns[i] as x, ns[i - 1] as y from (select ns, unnest(range(2, len(ns) + 1)) as i from n)), q as (select unnest(x) as x, y from p), r as (select x, unnest(y) as y from q)
 select least(x, y) as a, greatest(x, y) as b, count(*) as n from r where x <> y group by 1, 2""",

@@ -144,10 +144,14 @@ alps, is, mountains
 }
 
 
+def triples(*names: str) -> list[tuple[str, str, str, str]]:
+    """(pack, subject, relation, object) as the packs spell them."""
+    return [(n, *[x.strip() for x in line.split(",")]) for n in names or PACKS for line in PACKS[n].strip().splitlines()]
+
+
 def pack(spark: SparkSession, *names: str) -> DataFrame:
     """(pack, subject, relation, object) with normalized keys, each triple once; all packs if none is named."""
-    rows = [(n, *[x.strip() for x in line.split(",")]) for n in names or PACKS for line in PACKS[n].strip().splitlines()]
-    df = spark.createDataFrame(rows, "pack string, subject string, relation string, object string")
+    df = spark.createDataFrame(triples(*names), "pack string, subject string, relation string, object string")
     return df.select("pack", normalize(F.col("subject")).alias("subject"), "relation", normalize(F.col("object")).alias("object")).distinct()
 
 

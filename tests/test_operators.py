@@ -84,16 +84,19 @@ def test_bridges(spark):
 
 def test_chains_keep_the_best_product(spark):
     rows = [("a", "is", "b", "high"), ("b", "is", "c", "medium"), ("c", "is", "a", "high"), ("a", "is", "c", "low"), ("c", "is", "d", None)]
-    df = spark.createDataFrame(rows, "s string, r string, o string, confidence string")
-    got = {(r.s, r.o): (r.depth, r.score) for r in reasoning.chains(df).collect()}
+    df = spark.createDataFrame([(g, *r) for r in rows for g in ("i", None)] + [("j", "d", "is", "e", "high")], "g string, s string, r string, o string, confidence string")
+    out = reasoning.chains(df).collect()
+    assert all((r.g == "j") == (r.o == "e") for r in out)
+    got = {(r.s, r.o): (r.depth, r.score) for r in out if r.g is None}
+    assert got == {(r.s, r.o): (r.depth, r.score) for r in out if r.g == "i"}
     assert got["a", "c"] == (2, 0.7) and got["a", "d"] == (3, 0.49) and ("a", "a") not in got
-    assert {(r.s, r.o): r.confidence for r in reasoning.inferred(df).collect()} == {("a", "d"): "low", ("b", "a"): "medium", ("b", "d"): "low", ("c", "b"): "high"}
+    assert {(r.s, r.o): r.confidence for r in reasoning.inferred(df).collect() if r.g == "i"} == {("a", "d"): "low", ("b", "a"): "medium", ("b", "d"): "low", ("c", "b"): "high"}
 
 
 def test_forward_chaining_reaches_the_fixpoint(spark):
-    facts = spark.createDataFrame([(f"n{i}", "next", f"n{i + 1}") for i in range(6)], "s string, r string, o string")
+    facts = spark.createDataFrame([("i", f"n{i}", "next", f"n{i + 1}") for i in range(6)] + [("j", "n6", "next", "n7")], "g string, s string, r string, o string")
     rules = [Rule("base", (("?x", "next", "?y"),), ("?x", "before", "?y")), Rule("step", (("?x", "before", "?y"), ("?y", "next", "?z")), ("?x", "before", "?z"))]
-    got = {(r.s, r.o) for r in reasoning.forward_chain(rules, facts).collect()}
+    got = {(r.s, r.o) for r in reasoning.forward_chain(rules, facts).where("g = 'i'").collect()}
     assert got == {(f"n{i}", f"n{j}") for i in range(7) for j in range(i + 1, 7)}
     with pytest.raises(ValueError):
         reasoning.forward_chain([Rule("loose", (("?x", "next", "?y"),), ("?x", "is", "?z"))], facts)
@@ -101,6 +104,25 @@ def test_forward_chaining_reaches_the_fixpoint(spark):
         reasoning.forward_chain([Rule("apart", (("?x", "next", "?y"), ("?u", "next", "?v")), ("?x", "is", "?u"))], facts)
 
 
+def test_reasoning_stays_inside_an_instance(spark):
+    """Two instances share all names: what one states says nothing about the other."""
+    rows = [("i", "rex", "is", "dog"), ("j", "dog", "is", "mammal"), ("j", "dog", "can", "bark"), ("j", "dog", "has", "tail"), ("i", "rex", "cannot", "bark"), ("i", "mammal", "has", "fur"), ("j", "rex", "can", "bark")]
+    f = spark.createDataFrame([(*r, "high") for r in rows], "g string, s string, r string, o string, confidence string")
+    member, rest = f.where("r = 'is'"), f.where("r <> 'is'")
+    assert reasoning.inferred(member).count() == 0 and reasoning.contradictions(f).count() == 0
+    assert [tuple(r)[:4] for r in reasoning.inherited(member, rest).collect()] == []
+    assert reasoning.propagated(member, rest).count() == 0
+    assert {tuple(r)[:4] for r in reasoning.traces(member, rest, ["has"]).collect()} == {("j", "dog", "has", "tail"), ("i", "mammal", "has", "fur")}
+    assert reasoning.forward_chain([Rule("up", (("?x", "is", "?y"), ("?y", "is", "?z")), ("?x", "is", "?z"))], f).count() == 0
+    levels = spark.createDataFrame([("i", "rex", 1.0)], "g string, node string, level double")
+    out = reasoning.spread(f.select("g", "s", "o", F.lit(1.0).alias("weight")), levels)
+    assert {(r.g, r.node) for r in out.collect()} == {("i", "rex"), ("i", "dog"), ("i", "bark")}
+    more = spark.createDataFrame([("i", "rex", "can", "bark"), ("i", "rex", "can", "dig")], "g string, s string, r string, o string")
+    assert [tuple(r) for r in reasoning.contradictions(f, fresh=more).collect()] == [("i", "rex", "can", "bark")]
+    learned = reasoning.learned_exceptions(more, f)
+    assert [tuple(r) for r in learned.collect()] == [("can", "is", "dog", 1)]
+
+
 def test_retraction_ends_on_mutual_premises(spark):
     p = lambda *x: [dict(zip(("subject", "relation", "object"), y)) for y in x]
     rows = [("i", "a", "r", "1", []), ("i", "b", "r", "1", p(("a", "r", "1"), ("c", "r", "1"))), ("i", "c", "r", "1", p(("b", "r", "1"))), ("i", "d", "r", "1", [])]
@@ -185,10 +207,23 @@ def test_hypotheticals_upserts_and_rules(spark):
 def test_answers(spark):
     e = spark.createDataFrame([("i", "cat", "chases", "mouse"), ("i", "cat", "chases", "big_mouse")], "instance string, subject string, relation string, object string")
     forms = spark.createDataFrame([("chases", "chase"), ("chases", "chased")], "relation string, form string")
-    q = spark.createDataFrame([("1", "cat", "chase", "mouse"), ("2", "cat", "eats", "mouse"), ("3", "yak", "chased", "mouse"), ("4", "mouse", "chases", "cat")], "id string, subject string, relation string, object string")
+    asked = [("1", "cat", "chase", "mouse"), ("2", "cat", "eats", "mouse"), ("3", "yak", "chased", "mouse"), ("4", "mouse", "chases", "cat")]
+    q = spark.createDataFrame([("i", *r) for r in asked] + [("j", "5", "cat", "chases", "mouse")], "instance string, id string, subject string, relation string, object string")
     assert {tuple(r) for r in answers.forward(e, q, forms).collect()} == {("1", "mouse"), ("1", "big_mouse")}
     assert {tuple(r) for r in answers.reverse(e, q, forms).collect()} == {("1", "cat"), ("3", "cat")}
-    assert {r.id: r.verdict for r in answers.verdicts(e, q, forms).collect()} == {"1": "yes", "2": "no", "3": "unknown", "4": "no"}
+    assert {r.id: r.verdict for r in answers.verdicts(e, q, forms).collect()} == {"1": "yes", "2": "no", "3": "unknown", "4": "no", "5": "unknown"}
+
+
+def test_reverse_answers_match_brute_force(spark):
+    rng = random.Random(6)
+    name = lambda: "".join(rng.choice("ab_") for _ in range(rng.randrange(1, 8)))
+    facts = sorted({(rng.choice("ij"), name(), rng.choice("rq"), name()) for _ in range(150)})
+    asked = [(str(k), rng.choice("ij"), "", rng.choice("rq"), name()) for k in range(60)]
+    e = spark.createDataFrame(facts, "instance string, subject string, relation string, object string")
+    q = spark.createDataFrame(asked, "id string, instance string, subject string, relation string, object string")
+    forms = spark.createDataFrame([], "relation string, form string")
+    want = {(k, f[1]) for k, g, _, r, o in asked for f in facts if f[0] == g and f[2] == r and (o in f[3] or f[3] in o)}
+    assert {tuple(r) for r in answers.reverse(e, q, forms).collect()} == want
 
 
 def test_packs(spark):
@@ -198,7 +233,7 @@ def test_packs(spark):
     all_ = packs.pack(spark)
     assert all_.count() == 124 and ("animals", "dogs", "has", "tail") in {tuple(r) for r in all_.collect()}
     assert packs.profile(packs.pack(spark, "nature")).first().relation == "causes"
-    p = packs.pack(spark, "animals", "science").selectExpr("subject as s", "relation as r", "object as o", "'high' as confidence")
+    p = packs.pack(spark, "animals", "science").selectExpr("'packs' as g", "subject as s", "relation as r", "object as o", "'high' as confidence")
     up = reasoning.inferred(p.where("r = 'is'"))
     assert ("dogs", "animals", "high") in {(r.s, r.o, r.confidence) for r in up.collect()}
     got = reasoning.inherited(p.where("r = 'is'"), p.where("r <> 'is'"))

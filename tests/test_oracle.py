@@ -10,9 +10,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
-from kestrelgraph.plans import activity, answers, graph, pipeline, statements, store
+from kestrelgraph.plans import activity, answers, graph, pipeline, questions, statements, store
 
-CORE = [n for suite in (pipeline, store, graph, activity, answers, statements) for n in suite.QUERIES]
+CORE = [n for suite in (pipeline, store, graph, activity, answers, statements, questions) for n in suite.QUERIES]
 
 
 def plain(x):

@@ -1,7 +1,6 @@
 """Queries read all rows and keep all results that their definition asks for."""
 
 import duckdb
-import pytest
 
 import __spark_entry__ as registry
 
@@ -24,17 +23,6 @@ def test_similar_sets(spark):
     assert got == want and ("one", "a", "b", 1, 1, 1) in got and ("one", "a", "e", 1, 1, 4) not in got
 
 
-@pytest.mark.parametrize("name", ["statement_patterns", "sentence_links"])
-def test_documents_of_every_language_label_are_read(spark, data, name):
-    sql = registry.oracle_sql()[name]
-    assert " and lang = 'en'" in sql
-    con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{data}/documents.parquet'")
-    got = registry.queries()[name](spark, data)
-    rel = con.sql(sql.replace(" and lang = 'en'", ""))
-    assert sorted(tuple(r) for r in got.select(*rel.columns).collect()) == sorted(rel.fetchall())
-
-
 def test_retraction_follows_a_chain_of_any_length(spark):
     from kestrelgraph.operators import store
 
@@ -43,14 +31,3 @@ def test_retraction_follows_a_chain_of_any_length(spark):
     facts = spark.createDataFrame([("i", f"f{k}", "r", "o", premise(k)) for k in range(n)], "instance string, subject string, relation string, object string, premises array<struct<subject:string,relation:string,object:string>>").coalesce(1)
     seeds = spark.createDataFrame([("i", "f0", "r", "o")], "instance string, s string, r string, o string")
     assert {(r.s, r.step) for r in store.retract(facts, seeds).collect()} == {(f"f{k}", k) for k in range(n)}
-
-
-@pytest.mark.parametrize("name", ["prototypes", "clusters", "frame_propagation"])
-def test_categories_have_the_parts_of_every_size(spark, data, name):
-    sql = registry.oracle_sql()[name]
-    assert " where p_size > 40)" in sql
-    con = duckdb.connect()
-    con.sql(f"create view part as select * from '{data}/part.parquet'")
-    rel = con.sql(sql.replace(" where p_size > 40)", ")"))
-    got = registry.queries()[name](spark, data).select(*rel.columns).collect()
-    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rel.fetchall()))
