@@ -111,12 +111,6 @@ def _chained(facts: DataFrame) -> DataFrame:
 
 
 def property_inheritance(spark: SparkSession, d: str) -> DataFrame:
-    """What categories hand to their members over three levels."""
-    w = star.world(spark, d)
-    return reasoning.inherited(w.where("r = 'is' and s <> o"), w.where(F.col("r").isin(reasoning.INHERITED)))
-
-
-def place_inheritance(spark: SparkSession, d: str) -> DataFrame:
     """What a customer has, as handed to the customer's orders."""
     p = star.places(spark, d)
     return reasoning.inherited(p.where("r = 'part_of'"), p.where("r = 'has'"))
@@ -173,7 +167,6 @@ QUERIES = {
     "transitive_inference": lambda s, d: reasoning.inferred(_chained(named(s, d))),
     "place_chains": lambda s, d: reasoning.inferred(_chained(star.places(s, d))),
     "property_inheritance": property_inheritance,
-    "place_inheritance": place_inheritance,
     "contradictions": lambda s, d: reasoning.contradictions(star.abilities(s, d)),
     "incremental_conflicts": incremental_conflicts,
     "temporal_conflicts": lambda s, d: reasoning.temporal_conflicts(star.abilities(s, d)),
@@ -261,8 +254,7 @@ n as (select a as node from u), reach as (select node, node as other from n unio
 select node, min(other) as component from reach group by 1""",
     "transitive_chain": f"with recursive {NAMED}, {_CHAINS('named')} select * from chains",
     "transitive_inference": f"with recursive {NAMED}, {_CHAINS('named')} {_INFERRED('named')}",
-    "property_inheritance": f"""with recursive {star.WORLD_SQL}, {_INHERITED('world', "p.r in ('has', 'can', 'color', 'size', 'shape')", 'is')}, own as (select g, s, r, o from world) select *, {_LABEL} as confidence from kept""",
-    "place_inheritance": f"""with recursive {star.PLACES_SQL}, {_INHERITED('places', "p.r = 'has'")} select *, {_LABEL} as confidence from kept""",
+    "property_inheritance": f"""with recursive {star.PLACES_SQL}, {_INHERITED('places', "p.r = 'has'")} select *, {_LABEL} as confidence from kept""",
     "contradictions": f"with {star.ABILITIES_SQL} select distinct x.g, x.s, 'can' as positive, x.o from abilities x join abilities y on x.g = y.g and x.r = 'can' and y.r = 'cannot' and x.s = y.s and x.o = y.o",
     "conflict_blocked_propagation": f"""with {star.PLACES_SQL}, {star.ABILITIES_SQL}, home as (select s, o as place from places where r = 'located_in'),
 common as (select distinct place, o from home join abilities a using (s) where a.r = 'can'), down as (select h.s, c.o from home h join common c using (place))
