@@ -116,7 +116,7 @@ def recent_statements(turns: DataFrame, key: str, ring: int = RING, most: int =
 
 def context_pool(turns: DataFrame, key: str, at: str, now: Column, hours: float = 2) -> DataFrame:
     """(key, turns, last, evicted): each conversation's snapshot, and whether it has been idle too long to be kept."""
-    n = turns.where(F.col(at).isNotNull()).groupBy(key).agg(F.count("*").alias("turns"), F.max(at).alias("last"))
+    n = turns.where(F.col(at).isNotNull()).groupBy(key).agg(F.count("*").alias("turns"), F.max(F.col(at).cast("timestamp")).alias("last"))
     return n.select(key, "turns", "last", (F.unix_micros(now) - F.unix_micros("last") > F.lit(int(hours * 3.6e9))).alias("evicted"))
 
 

@@ -196,7 +196,7 @@ k as (select g, a, b, 0.0 as k from p union all select distinct p.g, a, b, 0.5 f
   union all select p.g, a, b, least(0.2, 0.05 * count(distinct x.r)) from p join w x on x.s = a and x.r not in ('is', 'is_a', 'type_of') join w y on y.s = b and y.r = x.r group by 1, 2, 3
   union all select p.g, a, b, 0.3 from p where exists (select 1 from w where r = 'eats' and ((s = a and o = b) or (s = b and o = a))))
 select g, a, b, round(case when a = b then 1.0 else least(1.0, sum(k)) end, 6)::double as score from k group by 1, 2, 3""",
-    "antecedents": f"""with {_N}, x as (select doc_id, turn, regexp_extract(lower(said), '\\b(he|she|it|they|them|him|her)\\b', 1) as pronoun,
+    "antecedents": f"""with {_N}, x as (select doc_id, turn, regexp_extract(lower(said), '(?:^|[^\\p{{L}}\\p{{N}}_])(he|she|it|they|them|him|her)(?:$|[^\\p{{L}}\\p{{N}}_])', 1) as pronoun,
   last_value(case when named like '%s' then turn end ignore nulls) over k as pt, last_value(case when named like '%s' then named end ignore nulls) over k as pn,
   last_value(case when named not like '%s' then turn end ignore nulls) over k as st, last_value(case when named not like '%s' then named end ignore nulls) over k as sn from n
   window k as (partition by doc_id order by turn rows between unbounded preceding and 1 preceding)),
