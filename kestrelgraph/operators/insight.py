@@ -95,26 +95,24 @@ def class_members(edges: DataFrame, classes: DataFrame) -> DataFrame:
     return edges.distinct().join(F.broadcast(classes.select("g", "r", F.col("via").alias("o"))), ["g", "r", "o"]).select("g", "r", F.col("o").alias("via"), "s")
 
 
-def analogy_facts(items: DataFrame, share: float = 0.5) -> DataFrame:
-    """(g, holder, value, support): values that holders at least `share` similar have and a holder lacks, with how many
-    such holders offer it.
+def analogy_facts(items: DataFrame, share: float = 0.5, least: int = 1) -> DataFrame:
+    """(g, holder, value, support): values that holders at least `share` similar, with `least` values in common, have and
+    a holder lacks, with how many such holders offer it.
 
     items is (g, holder, value), distinct. Holders of equal sets are one class, which lacks nothing that its own members
     have: only pairs of classes are compared, so a hot value costs one comparison.
     """
-    sets = items.groupBy("g", "holder").agg(F.array_sort(F.collect_list("value")).alias("vs"))
-    classes = sets.groupBy("g", "vs").agg(F.min("holder").alias("first"), F.count("*").alias("n"))
-    one = classes.select("g", F.col("first").alias("holder"), F.explode("vs").alias("value"))
-    pairs = mining.shared_pairs(one, 1, share).select("g", "a", "b")
+    classes, members = mining.set_classes(items)
+    one = classes.select("g", F.col("class").alias("holder"), F.explode("vs").alias("value"))
+    pairs = mining.shared_pairs(one, least, share).select("g", "a", "b")
     both = pairs.unionByName(pairs.select("g", F.col("b").alias("a"), F.col("a").alias("b")))
-    k = classes.select(F.col("g").alias("kg"), F.col("first").alias("kf"), "n", F.col("vs").alias("kv"))
-    offers = both.join(k, F.col("g").eqNullSafe(F.col("kg")) & (F.col("b") == F.col("kf"))).select("g", "a", "n", F.explode("kv").alias("value"))
-    sums = offers.groupBy("g", "a", "value").agg(F.sum("n").alias("support"))
-    missing = sums.join(one.withColumnRenamed("holder", "a"), ["g", "a", "value"], "left_anti")
-    mine = classes.select(F.col("g").alias("mg"), F.col("first").alias("mf"), F.col("vs").alias("mv"))
-    wide = missing.join(mine, F.col("g").eqNullSafe(F.col("mg")) & (F.col("a") == F.col("mf"))).select("mg", "mv", "value", "support")
-    s = sets.select("g", "holder", "vs")
-    return wide.join(s, F.col("mg").eqNullSafe(F.col("g")) & (F.col("mv") == F.col("vs"))).select("g", "holder", "value", "support")
+    k = classes.select(F.col("g").alias("kg"), F.col("class").alias("kf"), "members", F.col("vs").alias("kv"))
+    offers = both.join(k, F.col("g").eqNullSafe(F.col("kg")) & (F.col("b") == F.col("kf"))).select("g", "a", "members", F.explode("kv").alias("value"))
+    sums = offers.groupBy("g", "a", "value").agg(F.sum("members").alias("support"))
+    o = one.select(F.col("g").alias("og"), F.col("holder").alias("oh"), F.col("value").alias("ov"))
+    missing = sums.join(o, F.col("g").eqNullSafe(F.col("og")) & (F.col("a") == F.col("oh")) & (F.col("value") == F.col("ov")), "left_anti")
+    m = members.select(F.col("g").alias("mg"), "holder", "class")
+    return missing.join(m, F.col("g").eqNullSafe(F.col("mg")) & (F.col("a") == F.col("class"))).select("g", "holder", "value", "support")
 
 
 def sibling_analogies(categories: DataFrame, items: DataFrame, most: int = 20) -> DataFrame:

@@ -34,25 +34,31 @@ def shared_pairs(items: DataFrame, least: int, share: float = 0.0) -> DataFrame:
     return out.where(jaccard(out) >= share - 1e-9) if share else out
 
 
-def similar_sets(items: DataFrame, share: float) -> DataFrame:
-    """(g, a, b, shared, na, nb): all pairs a < b of holders whose value sets have at least the Jaccard similarity share > 0.
-
-    items is (g, holder, value), distinct. Holders of equal sets form a class; its first holder is compared for all of
-    them, so a hot value that many have alone costs one comparison. The result names every pair of holders and is as
-    large as that.
+def set_classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, members) of items (g, holder, value), distinct: holders of equal value sets are one class, named by its
+    first holder. classes is (g, class, members, vs), members is (g, holder, class)."""
+    sets = materialize(items.groupBy("g", "holder").agg(F.array_sort(F.collect_list("value")).alias("vs")))
+    classes = materialize(sets.groupBy("g", "vs").agg(F.min("holder").alias("class"), F.count("*").alias("members")))
+    c = classes.select(F.col("g").alias("cg"), F.col("vs").alias("cvs"), "class")
+    members = sets.join(c, F.col("g").eqNullSafe(F.col("cg")) & (F.col("vs") == F.col("cvs"))).select("g", "holder", "class")
+    return classes, members
+
+
+def similar_classes(items: DataFrame, least: int, share: float = 0.0) -> DataFrame:
+    """(g, a, b, shared, na, nb, members_a, members_b): the classes of holders that share `least` values and have at least
+    the Jaccard similarity share, as pairs a < b of their first holders.
+
+    A class with several members and enough values is a pair with itself (a = b). Every link between two holders is a
+    pair of their classes, so none is lost and copies are not spelled out; set_classes() has who is in a class.
     """
-    sets = items.groupBy("g", "holder").agg(F.array_sort(F.collect_list("value")).alias("vs"))
-    classes = materialize(sets.groupBy("g", "vs").agg(F.min("holder").alias("first"), F.collect_list("holder").alias("holders")))
-    pairs = shared_pairs(classes.select("g", F.col("first").alias("holder"), F.explode("vs").alias("value")), 1, share)
-    of = lambda g, k, m: classes.select(F.col("g").alias(g), F.col("first").alias(k), F.col("holders").alias(m))
-    apart = pairs.join(of("xg", "xk", "xs"), F.col("g").eqNullSafe(F.col("xg")) & (F.col("a") == F.col("xk"))).join(of("yg", "yk", "ys"), F.col("g").eqNullSafe(F.col("yg")) & (F.col("b") == F.col("yk")))
-    apart = apart.select("g", F.explode("xs").alias("x"), "ys", "shared", "na", "nb").select("g", "x", F.explode("ys").alias("y"), "shared", "na", "nb")
-    turn = F.col("x") > F.col("y")
-    apart = apart.select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", F.when(turn, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turn, F.col("na")).otherwise(F.col("nb")).alias("nb"))
-    n = F.size("vs").cast("long")
-    within = classes.where(F.size("holders") > 1).select("g", F.explode("holders").alias("a"), "holders", n.alias("shared"))
-    within = within.select("g", "a", F.explode("holders").alias("b"), "shared", F.col("shared").alias("na"), F.col("shared").alias("nb")).where("a < b")
-    return apart.unionByName(within)
+    classes, _ = set_classes(items)
+    pairs = shared_pairs(classes.select("g", F.col("class").alias("holder"), F.explode("vs").alias("value")), least, share)
+    of = lambda g, k, m: classes.select(F.col("g").alias(g), F.col("class").alias(k), F.col("members").alias(m))
+    apart = pairs.join(of("xg", "xk", "members_a"), F.col("g").eqNullSafe(F.col("xg")) & (F.col("a") == F.col("xk"))).join(of("yg", "yk", "members_b"), F.col("g").eqNullSafe(F.col("yg")) & (F.col("b") == F.col("yk")))
+    columns = ["g", "a", "b", "shared", "na", "nb", "members_a", "members_b"]
+    n = F.size("vs").cast("bigint")
+    own = classes.where((F.col("members") > 1) & (n >= least)).select("g", F.col("class").alias("a"), F.col("class").alias("b"), n.alias("shared"), n.alias("na"), n.alias("nb"), F.col("members").alias("members_a"), F.col("members").alias("members_b"))
+    return apart.select(*columns).unionByName(own)
 
 
 def jaccard(pairs: DataFrame) -> Column:
@@ -119,10 +125,11 @@ def bridges(members: DataFrame) -> DataFrame:
     Equal sets are equivalent, a proper subset is one, half of the smaller overlaps, a quarter (or two shared) is
     similar. Symmetric relations come once, a < b; a subset comes from the smaller to the larger.
     """
-    items = members.select(F.lit(0).alias("g"), F.col("category").alias("holder"), F.col("member").alias("value")).distinct()
+    items = members.select(F.col("category").alias("holder"), F.col("member").alias("value")).distinct()
     sizes = items.groupBy("holder").agg(F.count("*").alias("n"))
-    x, y = items.select("value", F.col("holder").alias("a")), items.select("value", F.col("holder").alias("b"))
-    pairs = x.join(y, "value").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    # members of the same categories count together: each different set of categories makes its pairs once
+    sets = items.groupBy("value").agg(F.array_sort(F.collect_list("holder")).alias("cs")).groupBy("cs").agg(F.count("*").alias("k")).where("size(cs) > 1")
+    pairs = sets.select(F.explode("cs").alias("a"), "cs", "k").select("a", F.explode("cs").alias("b"), "k").where("a < b").groupBy("a", "b").agg(F.sum("k").alias("shared"))
     pairs = pairs.join(sizes.select(F.col("holder").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("holder").alias("b"), F.col("n").alias("nb")), "b")
     s, na, nb = F.col("shared"), F.col("na"), F.col("nb")
     low, high = F.least(s / na, s / nb), F.greatest(s / na, s / nb)
@@ -144,8 +151,10 @@ def components(pairs: DataFrame) -> DataFrame:
     neighbours are only aggregated.
     """
     e = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    changed = True
-    while changed:
+    # whether a round changed the edges is told by their number and hashes, in one scan
+    print_of = lambda rows: tuple(rows.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+    before, now = None, print_of(e)
+    while now != before:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.join(low, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
@@ -154,7 +163,7 @@ def components(pairs: DataFrame) -> DataFrame:
         small = down.join(least, F.col("a") == F.col("k")).select(F.col("b").alias("x"), F.col("m").alias("y"))
         small = small.unionByName(least.select(F.col("k").alias("x"), F.col("m").alias("y"))).where("x <> y")
         new = materialize(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        changed = not (new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty())
         e = new
+        before, now = now, print_of(e)
     roots = e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))

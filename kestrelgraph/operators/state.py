@@ -6,6 +6,7 @@ The current time is always an argument, so a result can be repeated.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -82,7 +83,7 @@ def edge_weights(events: DataFrame, group: str, edge: str, order: str) -> DataFr
                     if weights:
                         yield done()
                     current, weights, uses = g, {}, {}
-                recent = list(weights.values())[-RECENT:]
+                recent = list(islice(reversed(weights.values()), RECENT))
                 bar = THRESHOLD_SHARE * (sum(recent) / len(recent) if recent else WEIGHT)
                 w = weights.pop(e, WEIGHT)
                 weights[e] = min(MOST_WEIGHT, w + STRENGTHEN * (0.5 if w > bar else 1.5))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrelgraph.functions import confidence as C
+from kestrelgraph.functions import text as T
+from kestrelgraph.operators import reasoning
 from kestrelgraph.runtime import materialize
 
 KEY = ["instance", "subject", "relation", "object"]
@@ -159,6 +162,51 @@ def insert_new(stored: DataFrame, arriving: DataFrame) -> DataFrame:
     return edges(arriving).join(edges(stored), KEY, "left_anti")
 
 
+def staged(stored: DataFrame, arriving: DataFrame) -> DataFrame:
+    """(KEY, confidence, outcome): what becomes of each arriving quad (KEY, confidence, source_type, conditions).
+
+    "X can be Y" is taken as a possibility (can_be). A quad with a name that is none is invalid, one that is stored
+    already is repeated and lifts the stored confidence, any other is new, at the confidence that its source gives it.
+    """
+    possible = (F.col("relation") == "can") & F.rlike("object", F.lit("^be[ _]."))
+    level = C.assigned(F.col("confidence"), F.col("source_type"), F.size("conditions") > 0)
+    rows = arriving.select(
+        "instance", "subject", F.when(possible, "can_be").otherwise(F.col("relation")).alias("relation"), F.when(possible, F.regexp_replace("object", "^be[ _]+", "")).otherwise(F.col("object")).alias("object"), C.rank(level).alias("k"),
+    )
+    rows = rows.where(" and ".join(f"{c} is not null" for c in KEY)).groupBy(*KEY).agg(F.max("k").alias("k"))
+    known = edges(stored).withColumn("known", F.lit(True))
+    valid = T.valid_entity(F.col("subject")) & T.valid_entity(F.col("object"))
+    outcome = F.when(~valid, "invalid").when(F.col("known"), "repeated").otherwise("new")
+    return rows.join(known, KEY, "left").select(*KEY, C.level(F.col("k")).alias("confidence"), outcome.alias("outcome"))
+
+
+def add_facts(stored: DataFrame, arriving: DataFrame) -> dict[str, DataFrame]:
+    """The whole insertion of a batch: "facts" after it (quads with confidence and agreement), the "conflicts" with what
+    is stored, and the "outcomes" of staged()."""
+    outcomes = materialize(staged(stored, arriving))
+    taken = outcomes.where("outcome <> 'invalid'")
+    plain = lambda rows: rows.select(F.col("instance").alias("g"), F.col("subject").alias("s"), F.col("relation").alias("r"), F.col("object").alias("o"))
+    return {"facts": upsert(stored, taken), "conflicts": reasoning.contradictions(plain(edges(stored)), fresh=plain(taken)), "outcomes": outcomes}
+
+
+def forget(facts: DataFrame, speaker: str | None = None, entity: str | None = None, instance: str | None = None) -> DataFrame:
+    """facts without those of a speaker, about an entity as subject, or of an instance; all given parts must hold.
+
+    With nothing given no fact is left.
+    """
+    parts = {"speaker": F.lower(F.trim("speaker_id")) == (speaker or "").strip().lower(), "entity": F.col("subject") == entity, "instance": F.col("instance") == instance}
+    given = [parts[k] for k, v in (("speaker", speaker), ("entity", entity), ("instance", instance)) if v is not None]
+    return without(facts, reduce(lambda a, b: a & b, given)) if given else facts.limit(0)
+
+
+def constrained(facts: DataFrame, refinements: DataFrame) -> DataFrame:
+    """facts with the conditions of refinements (KEY, condition) added to theirs, each once."""
+    more = refinements.where("condition is not null").groupBy(*KEY).agg(F.array_sort(F.collect_set("condition")).alias("__more"))
+    joined = facts.join(more, KEY, "left")
+    empty = F.array().cast("array<string>")
+    return joined.withColumn("conditions", F.array_union(F.coalesce("conditions", empty), F.coalesce("__more", empty))).select(*facts.columns)
+
+
 def without(facts: DataFrame, condition: Column) -> DataFrame:
     """facts without the rows of a condition; rows for which it is unknown stay."""
     return facts.where(~F.coalesce(condition, F.lit(False)))

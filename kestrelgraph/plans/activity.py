@@ -64,8 +64,8 @@ def bursts(s: SparkSession, d: str) -> DataFrame:
 
 
 def hebbian_weights(s: SparkSession, d: str) -> DataFrame:
-    e = _events(s, d).select((F.col("user_id") % 16).alias("lane"), F.concat_ws("/", "user_id", "event_type").alias("edge"), "event_id")
-    return state.edge_weights(e, "lane", "edge", "event_id")
+    """The edges from each user to the event types, as often as they were used; users are what instances are elsewhere."""
+    return state.edge_weights(_events(s, d), "user_id", "event_type", "event_id")
 
 
 def question_queue(s: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kestrelgraph.functions import confidence as C
 from kestrelgraph.functions import text as T
-from kestrelgraph.operators import answers, hierarchy, language, mining, reasoning, star, store
+from kestrelgraph.operators import answers, hierarchy, insight, language, mining, reasoning, star, store
 from kestrelgraph.plans.graph import _hierarchy_edges, _properties
 from kestrelgraph.plans.store import _forms
 from kestrelgraph.runtime import table
@@ -55,12 +55,8 @@ def curiosity(s: SparkSession, d: str) -> DataFrame:
 
 def hypotheses(s: SparkSession, d: str) -> DataFrame:
     """Properties that at least two entities similar to a topic have and the topic lacks."""
-    props = _properties(s, d)
-    pairs = mining.shared_pairs(props, 2).select("g", "a", "b")
-    both = pairs.unionByName(pairs.select("g", F.col("b").alias("a"), F.col("a").alias("b")))
-    held = both.join(props.select(F.col("g").alias("pg"), F.col("holder").alias("b2"), "value"), (F.col("g") == F.col("pg")) & (F.col("b") == F.col("b2")))
-    n = held.groupBy("g", F.col("a").alias("holder"), "value").agg(F.count_distinct("b").alias("support")).where("support >= 2")
-    return n.join(props, ["g", "holder", "value"], "left_anti").select("g", "holder", "value", "support", F.round(F.least(F.lit(0.9), 0.2 * F.col("support")), 6).alias("confidence"))
+    n = insight.analogy_facts(_properties(s, d), 0.0, 2).where("support >= 2")
+    return n.select("g", "holder", "value", "support", F.round(F.least(F.lit(0.9), 0.2 * F.col("support")), 6).alias("confidence"))
 
 
 def differences(s: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kestrelgraph.operators import context, language, mining, reasoning, star, store
 from kestrelgraph.plans import graph, statements
 from kestrelgraph.runtime import materialize, table
+from kestrelgraph.sources import readers
 
 
 def _turns(s: SparkSession, d: str) -> DataFrame:
@@ -148,7 +149,15 @@ def open_questions(s: SparkSession, d: str) -> DataFrame:
     return whole.join(e.select("g", "s").distinct(), ["g", "s"], "left_anti").select("g", "s", F.lit("has_open_question").alias("r"), F.lit("location").alias("o"))
 
 
+def spoken_levels(s: SparkSession, d: str) -> DataFrame:
+    """Events as segments that were heard with a confidence: their value as a share of their kind's highest."""
+    e = table(s, d, "events")
+    top = e.groupBy("event_type").agg(F.max("value").alias("top"))
+    return e.join(top, "event_type").select("event_type", readers.spoken_level(F.try_divide("value", "top")).alias("level")).groupBy("event_type", "level").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "spoken_levels": spoken_levels,
     "topic_stack": lambda s, d: context.topic_stack(_turns(s, d), "doc_id"),
     "topic_relevance": relevance,
     "antecedents": lambda s, d: context.antecedents(_turns(s, d), "doc_id", "said"),
@@ -189,6 +198,7 @@ _LOW = lambda c: f"regexp_replace(lower(trim({c})), '[.!?]+$', '')"  # noqa: E73
 _QUANTITY = language.QUANTITY
 _CMP, _AIM = r"\b(?:more|less|[a-z]+er) (?:[a-z]+ )?than (?:the |a |an )?([a-z ]+)$", r"\b(?:in order to|so that|to) ([a-z]+ .+)$"
 SQL = {
+    "spoken_levels": "with t as (select event_type, max(value) as top from events group by 1) select event_type, case when value / top >= 0.9 then 'high' when value / top >= 0.7 then 'medium' else 'low' end as level, count(*) as n from events join t using (event_type) group by 1, 2",
     "topic_stack": f"with {_N}, l2 as (select doc_id, named as name, max(turn) as turn from n where named is not null group by 1, 2) select doc_id, row_number() over (partition by doc_id order by turn desc, name)::int as place, name, turn from l2 qualify place <= 5",
     "topic_relevance": f"""with {_W}, p as (select g, min(s) as a, max(s) as b from w group by g, r, o having count(*) >= 2 union select g, s, o from w where r = 'is'),
 k as (select g, a, b, 0.0 as k from p union all select distinct p.g, a, b, 0.5 from p join w on w.g = p.g and w.s = a and contains(w.o, b) union all select distinct p.g, a, b, 0.5 from p join w on w.g = p.g and w.s = b and contains(w.o, a)

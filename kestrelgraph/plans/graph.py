@@ -39,14 +39,19 @@ def named(spark: SparkSession, d: str) -> DataFrame:
 
 
 def property_clusters(spark: SparkSession, d: str) -> DataFrame:
-    pairs = mining.shared_pairs(_properties(spark, d), 2)
-    return pairs.select("g", "a", "b", "shared", F.round(F.least(F.lit(0.8), 0.3 + 0.15 * F.col("shared")), 6).alias("confidence"))
+    """Classes of subjects with at least two properties in common; property_classes has who is in a class."""
+    pairs = mining.similar_classes(_properties(spark, d), 2)
+    return pairs.select("g", "a", "b", "shared", "members_a", "members_b", F.round(F.least(F.lit(0.8), 0.3 + 0.15 * F.col("shared")), 6).alias("confidence"))
 
 
 def analogies(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of subjects with a property-set similarity of at least 0.3, those with one property in common included."""
-    pairs = mining.similar_sets(_properties(spark, d), 0.3)
-    return pairs.select("g", "a", "b", F.round(mining.jaccard(pairs), 6).alias("similarity"))
+    """Classes of subjects with a property-set similarity of at least 0.3, those with one property in common included."""
+    pairs = mining.similar_classes(_properties(spark, d), 1, 0.3)
+    return pairs.select("g", "a", "b", "members_a", "members_b", F.round(mining.jaccard(pairs), 6).alias("similarity"))
+
+
+def property_classes(spark: SparkSession, d: str) -> DataFrame:
+    return mining.set_classes(_properties(spark, d))[1]
 
 
 def structural_similarity(spark: SparkSession, d: str) -> DataFrame:
@@ -151,6 +156,7 @@ QUERIES = {
     "value_classes": lambda s, d: mining.value_classes(_edges(s, d)),
     "property_clusters": property_clusters,
     "analogies": analogies,
+    "property_classes": property_classes,
     "signature_classes": lambda s, d: mining.signatures(_edges(s, d)),
     "structural_similarity": structural_similarity,
     "transitive_gaps": lambda s, d: mining.transitive_gaps(_hierarchy_edges(s, d)),
@@ -181,9 +187,12 @@ QUERIES = {
 }
 
 _E = "e as (select distinct instance as g, subject as s, relation as r, object as o from facts where instance is not null and subject is not null and relation is not null and object is not null)"
-_PAIRS = f"""{_E},
-size as (select g, s, count(*) as n from e group by 1, 2),
-pairs as (select x.g, x.s as a, y.s as b, count(*) as shared from e x join e y on x.g = y.g and x.r = y.r and x.o = y.o and x.s < y.s group by 1, 2, 3 having count(*) >= 2)"""
+_CLASSES = f"""{_E},
+sets as (select g, s, list_sort(list(r || '|' || o)) as vs from e group by 1, 2), classes as (select g, vs, min(s) as k, count(*) as members from sets group by 1, 2),
+v as (select g, k, unnest(vs) as v from classes),
+apart as (select x.g, x.k as a, y.k as b, count(*) as shared from v x join v y on x.g = y.g and x.v = y.v and x.k < y.k group by 1, 2, 3),
+pairs as (select p.g, a, b, shared, len(x.vs) as na, len(y.vs) as nb, x.members as members_a, y.members as members_b from apart p join classes x on x.g = p.g and x.k = a join classes y on y.g = p.g and y.k = b
+  union all select g, k, k, len(vs), len(vs), len(vs), members, members from classes where members > 1)"""
 _SIGNATURES = f"""{_E},
 sets as (select g, s, string_agg(distinct r, '|' order by r) as signature, count(distinct r) as k from e group by 1, 2),
 classes as (select g, signature, count(*) as members, min(s) as "first" from sets where k >= 2 group by 1, 2)"""
@@ -219,11 +228,9 @@ c as (select g, node, count(distinct source) as sources from (select g, node, so
 spread as (select g, node, round(level, 6) as level, coalesce(sources, 0) as sources from l2 left join c using (g, node))"""
 SQL = {
     "value_classes": f"with {_E} select g, r, o, count(*) as members, min(s) as \"first\", max(s) as \"last\" from e group by 1, 2, 3 having count(*) >= 2",
-    "property_clusters": f"with {_PAIRS} select g, a, b, shared, round(least(0.8, 0.3 + 0.15 * shared), 6)::double as confidence from pairs",
-    "analogies": f"""with {_E}, size as (select g, s, count(*) as n from e group by 1, 2),
-pairs as (select x.g, x.s as a, y.s as b, count(*) as shared from e x join e y on x.g = y.g and x.r = y.r and x.o = y.o and x.s < y.s group by 1, 2, 3)
-select p.g, a, b, round(shared / (x.n + y.n - shared), 6) as similarity from pairs p join size x on x.g = p.g and x.s = a join size y on y.g = p.g and y.s = b
-where round(shared / (x.n + y.n - shared), 6) >= 0.3""",
+    "property_clusters": f"with {_CLASSES} select g, a, b, shared, members_a, members_b, round(least(0.8, 0.3 + 0.15 * shared), 6)::double as confidence from pairs where shared >= 2",
+    "analogies": f"with {_CLASSES} select g, a, b, members_a, members_b, round(shared / (na + nb - shared), 6) as similarity from pairs where round(shared / (na + nb - shared), 6) >= 0.3",
+    "property_classes": f"with {_CLASSES} select s.g, s.s as holder, c.k as \"class\" from sets s join classes c on c.g = s.g and c.vs = s.vs",
     "signature_classes": f"with {_SIGNATURES} select * from classes",
     "structural_similarity": f"""with {_SIGNATURES}, c as (select g, signature, string_split(signature, '|') as rs from classes),
 p as (select x.g, x.signature as a, y.signature as b, len(list_intersect(x.rs, y.rs)) as shared, len(x.rs) as na, len(y.rs) as nb from c x join c y on x.g = y.g and x.signature < y.signature)

@@ -88,7 +88,31 @@ def lookup_with_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("instance", "subject", "object", "context", F.coalesce("confidence", F.lit("medium")).alias("confidence"), "temporal", "scope", F.array_join("conditions", "; ").alias("conditions")).distinct()
 
 
+def staged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of the facts that arrived from the middle of July on, next to those before: counts by outcome."""
+    f = _facts(spark, sf_dir)
+    late = F.coalesce(F.col("created_at").cast("timestamp") >= F.lit("2025-07-15").cast("timestamp"), F.lit(False))
+    rows = store.staged(f.where(~late), f.where(late))
+    return rows.groupBy("instance", "outcome", "confidence").agg(F.count("*").alias("facts"), F.min("subject").alias("first"))
+
+
+def contributor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who taught and who corrected facts about each subject, a row for each; a hub is not gathered."""
+    f = _facts(spark, sf_dir)
+    role = lambda c, r: f.select("instance", F.col("subject").alias("node"), F.lit(r).alias("role"), F.lower(F.trim(F.col(c))).alias("person")).where("person <> ''")
+    return role("speaker_id", "creator").unionByName(role("corrected_by", "corrector")).distinct()
+
+
+def reverse_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects that have each relation to an object, where several have."""
+    e = store.edges(_facts(spark, sf_dir))
+    return e.join(store.reverse(_facts(spark, sf_dir)).where("subjects > 1").select("instance", "relation", "object"), ["instance", "relation", "object"])
+
+
 QUERIES = {
+    "staged_facts": staged_facts,
+    "contributor_rows": contributor_rows,
+    "reverse_members": reverse_members,
     "adjacency": lambda s, d: store.adjacency(_facts(s, d)).select("instance", "subject", "relation", F.array_join("objects", "|").alias("objects")),
     "point_lookup": lambda s, d: store.lookup(_facts(s, d), "part_of", instance="tidewell").select("subject", "object"),
     "lookup_with_properties": lookup_with_properties,
@@ -127,6 +151,16 @@ def _normalize_sql(text: str) -> str:
     return f"trim(replace(replace({s}, 'ocean water', 'ocean_water'), 'water ocean', 'ocean_water'))"
 
 
+_NAMES_SQL = f"""with n as (select subject as name from facts where subject is not null union select object from facts where object is not null),
+w as (select name, trim(lower(name)) as low, list_filter(string_split_regex(replace(trim(lower(name)), '_', ' '), '\\s+'), lambda x: x <> '') as words, string_split_regex(replace(name, '_', ' '), '\\s+') as plain from n)
+select name,
+  not (length(name) < 2 or length(name) > 50 or regexp_matches(name, '[.,]') or len(words) > 4 or (len(words) > 1 and len(list_distinct(words)) < len(words))
+    or regexp_matches(low, '{_ANY(T.BAD_STARTS, "^(?:{})_")}') or regexp_matches(low, '{_ANY(T.BAD_ENDS, "_(?:{})$")}') or low in {_IN(T.PRONOUNS)}
+    or regexp_matches(low, '{_ANY(T.INNER_VERBS, "_(?:{})_")}') or coalesce(words[1] in {_IN(T.FIRST_WORDS)}, false) or coalesce(words[-1] in {_IN(T.LAST_WORDS)}, false)
+    or (len(words) = 1 and words[1] in {_IN(T.SINGLE_WORDS)}) or (len(words) >= 2 and list_has_any(words, {list(T.COMPOUND_VERBS)}))) as valid,
+  len(plain) <= 5 and len(list_distinct(plain)) = len(plain) and length(name) <= 50 and not regexp_matches(name, '[.,]')
+    and not (contains(name, 'group') and length(name) - length(replace(name, '_', '')) > 2) as discoverable
+from w"""
 SQL = {
     "adjacency": f"with {_E} select instance, subject, relation, string_agg(object, '|' order by object) as objects from e group by 1, 2, 3",
     "point_lookup": f"with {_E} select subject, object from e where relation = 'part_of' and instance = 'tidewell'",
@@ -155,16 +189,17 @@ gone as (
   select distinct instance, subject as s, relation as r, object as o, 0 as step from facts where rule_id like '{RETRACTED_RULE}'
   union select c.instance, c.s, c.r, c.o, g.step + 1 from c join gone g on g.instance = c.instance and g.s = c.p.subject and g.r = c.p.relation and g.o = c.p.object where g.step < 60)
 select instance, s, r, o, min(step) as step from gone group by 1, 2, 3, 4""",
-    "entity_names": f"""with n as (select subject as name from facts where subject is not null union select object from facts where object is not null),
-w as (select name, trim(lower(name)) as low, list_filter(string_split_regex(replace(trim(lower(name)), '_', ' '), '\\s+'), lambda x: x <> '') as words, string_split_regex(replace(name, '_', ' '), '\\s+') as plain from n)
-select name,
-  not (length(name) < 2 or length(name) > 50 or regexp_matches(name, '[.,]') or len(words) > 4 or (len(words) > 1 and len(list_distinct(words)) < len(words))
-    or regexp_matches(low, '{_ANY(T.BAD_STARTS, "^(?:{})_")}') or regexp_matches(low, '{_ANY(T.BAD_ENDS, "_(?:{})$")}') or low in {_IN(T.PRONOUNS)}
-    or regexp_matches(low, '{_ANY(T.INNER_VERBS, "_(?:{})_")}') or coalesce(words[1] in {_IN(T.FIRST_WORDS)}, false) or coalesce(words[-1] in {_IN(T.LAST_WORDS)}, false)
-    or (len(words) = 1 and words[1] in {_IN(T.SINGLE_WORDS)}) or (len(words) >= 2 and list_has_any(words, {list(T.COMPOUND_VERBS)}))) as valid,
-  len(plain) <= 5 and len(list_distinct(plain)) = len(plain) and length(name) <= 50 and not regexp_matches(name, '[.,]')
-    and not (contains(name, 'group') and length(name) - length(replace(name, '_', '')) > 2) as discoverable
-from w""",
+    "entity_names": _NAMES_SQL,
+    "staged_facts": f"""with f as (select *, coalesce(created_at >= timestamp '2025-07-15 00:00:00', false) as late, relation = 'can' and regexp_matches(object, '^be[ _].') as maybe from facts where instance is not null and subject is not null and relation is not null and object is not null),
+old as (select distinct instance, subject, relation, object from f where not late),
+a as (select instance, subject, case when maybe then 'can_be' else relation end as relation, case when maybe then regexp_replace(object, '^be[ _]+', '') else object end as object,
+  max(case coalesce(confidence, case when len(conditions) > 0 then 'low' when source_type is null or source_type in ('user', 'clarification') then 'high' when source_type in ('inference', 'inheritance') then 'medium' else 'low' end) when 'high' then 3 when 'low' then 1 else 2 end) as k from f where late group by 1, 2, 3, 4),
+names as ({_NAMES_SQL}),
+o as (select a.*, case when not x.valid or not y.valid then 'invalid' when exists (select 1 from old where old.instance = a.instance and old.subject = a.subject and old.relation = a.relation and old.object = a.object) then 'repeated' else 'new' end as outcome
+  from a join names x on x.name = a.subject join names y on y.name = a.object)
+select instance, outcome, case k when 3 then 'high' when 2 then 'medium' else 'low' end as confidence, count(*) as facts, min(subject) as "first" from o group by 1, 2, 3""",
+    "contributor_rows": """select distinct instance, node, role, person from (select instance, subject as node, 'creator' as role, lower(trim(speaker_id)) as person from facts union all select instance, subject, 'corrector', lower(trim(corrected_by)) from facts) where person <> ''""",
+    "reverse_members": f"with {_E} select instance, relation, object, subject from e qualify count(*) over (partition by instance, relation, object) > 1",
     "normalize_keys": f"""with l as (select item_id, unnest(string_split_regex(regexp_replace(text, '([.?])\\s+', '\\1\x01', 'g'), '\x01')) as phrase, unnest(range(len(string_split_regex(regexp_replace(text, '([.?])\\s+', '\\1\x01', 'g'), '\x01')))) as line from eval_items),
 n as (select item_id, line, list_filter(string_split_regex({_normalize_sql("phrase")}, '\\s+'), lambda x: x <> '') as words from l),
 c as (select item_id, line, words, list_min(list_filter(list_transform({T.ENDING}, lambda x: list_position(words, x)), lambda p: p > 0)) as cut from n),

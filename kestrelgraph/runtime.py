@@ -45,7 +45,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -57,7 +57,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def scratch_path(spark: SparkSession) -> str:
     """A new folder in the shared scratch space, which is removed when the process ends."""
     path = os.path.join(scratch_dir(spark), f"kestrel-{os.getpid()}-{uuid.uuid4().hex}")
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 

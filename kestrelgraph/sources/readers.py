@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from kestrelgraph.operators import statements
+from kestrelgraph.sources import packs
 
 TRIPLE = "subject string, relation string, object string, s string, r string, o string"
 TRANSCRIPT = (
@@ -86,3 +93,90 @@ def write_facts(facts: DataFrame, path: str) -> None:
 def read_facts(spark: SparkSession, path: str, instance: str | None = None) -> DataFrame:
     facts = spark.read.parquet(path)
     return facts if instance is None else facts.where(F.col("instance") == instance)
+
+
+def load(spark: SparkSession, source: str | Sequence) -> DataFrame:
+    """(subject, relation, object) of whatever source is: the name of a pack, a file, a folder, or a list of triples, of
+    objects with full or one-letter keys, or of sentences, told by the first of the list."""
+    triple = ["subject", "relation", "object"]
+    if isinstance(source, str):
+        if source in packs.PACKS:
+            return packs.pack(spark, source).select(*triple)
+        if source.endswith(".json"):
+            return json_triples(spark, source).select(*triple)
+        if source.endswith((".txt", ".csv")):
+            return text_triples(spark, source).select(*triple)
+        return folder_triples(spark, source)
+    shape = "subject string, relation string, object string"
+    if not source:
+        return spark.createDataFrame([], shape)
+    if isinstance(source[0], dict):
+        rows = [tuple((x.get(k) or x.get(k[0]) or "").strip() for k in triple) for x in source]
+    elif isinstance(source[0], str):
+        said = spark.createDataFrame([(0, x) for x in source], "id int, text string")
+        return statements.read(said, "id", "text").select(*triple)
+    else:
+        rows = [tuple(x) for x in source]
+    return spark.createDataFrame([r for r in rows if all(r)], shape)
+
+
+def folder_triples(spark: SparkSession, folder: str) -> DataFrame:
+    """The triples of all *.json and *.txt files of a folder."""
+    read = lambda reader, ending: reader(spark, f"{folder}/*.{ending}").select("subject", "relation", "object")
+    return read(json_triples, "json").unionByName(read(text_triples, "txt"))
+
+
+def folder_report(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, loaded): how many triples each file of a folder gave, JSON files first."""
+    read = lambda reader, ending, k: reader(spark, f"{folder}/*.{ending}").groupBy("path").agg(F.count("*").alias("loaded")).withColumn("k", F.lit(k))
+    return read(json_triples, "json", 0).unionByName(read(text_triples, "txt", 1)).orderBy("k", "path").drop("k")
+
+
+def location(name: str, default: str) -> str:
+    """Where the store is, from the environment; quotes around the value are taken off."""
+    return os.environ.get(name, "").strip().strip("\"'") or default
+
+
+def write_document(facts: DataFrame, path: str) -> None:
+    """The store as JSON rows, rewritten as a whole."""
+    facts.write.mode("overwrite").json(path)
+
+
+def read_document(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """A store of JSON rows."""
+    return spark.read.schema(schema).json(path)
+
+
+def read_legacy(spark: SparkSession, path: str) -> DataFrame:
+    """(subject, relation, object) of the older single document {"knowledge": {subject: {relation: [objects]}}}."""
+    rows = spark.read.schema("knowledge map<string, map<string, array<string>>>").option("multiLine", True).json(path)
+    by_subject = rows.select(F.explode("knowledge").alias("subject", "relations"))
+    return by_subject.select("subject", F.explode("relations").alias("relation", "objects")).select("subject", "relation", F.explode("objects").alias("object"))
+
+
+def write_indexed(facts: DataFrame, path: str) -> None:
+    """Two copies of the facts by instance, one sorted by subject and one by object: a lookup by either reads few row groups."""
+    for name, first, second in (("by_subject", "subject", "relation"), ("by_object", "object", "relation")):
+        placed = facts.repartitionByRange("instance", first).sortWithinPartitions("instance", first, second)
+        placed.write.mode("overwrite").partitionBy("instance").parquet(f"{path}/{name}")
+
+
+def evolved(rows: DataFrame, schema: StructType) -> DataFrame:
+    """rows in a newer schema: missing columns are null, columns that it does not name are kept behind."""
+    have = {c.lower() for c in rows.columns}
+    own = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name.lower() in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    rest = [c for c in rows.columns if c.lower() not in {f.name.lower() for f in schema}]
+    return rows.select(*own, *rest)
+
+
+def spoken_level(confidence):
+    """The level of a statement that was heard with a confidence."""
+    return F.when(confidence >= 0.9, "high").when(confidence >= 0.7, "medium").otherwise("low")
+
+
+def spoken_facts(segments: DataFrame) -> DataFrame:
+    """(transcript_id, at, subject, relation, object, speaker_id, confidence) of transcript segments (transcript_id, idx,
+    text, confidence, speaker_id); a segment's confidence gives its facts' level."""
+    keyed = segments.withColumn("id", F.struct("transcript_id", "idx", "speaker_id", "confidence"))
+    facts = statements.read(keyed, "id", "text")
+    return facts.select("id.transcript_id", F.col("id.idx").alias("at"), "subject", "relation", "object", "id.speaker_id", spoken_level(F.col("id.confidence")).alias("confidence"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from kestrelgraph.runtime import remove
+
 
 def once_within(turns: DataFrame, key: str, at: str, delay: str) -> DataFrame:
     """A stream with each identified row once, for copies that arrive within the delay; others pass.
@@ -32,16 +34,24 @@ def sessions(events: DataFrame, at: str, entity: str, gap: str, delay: str = "1
 
 
 def cycle(stream: DataFrame, jobs: dict[int, Callable[[DataFrame, int], None]], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Run jobs on micro-batches: the job of period k at every k-th batch. A job gets the batch and its number."""
+    """Run jobs on micro-batches: the job of period k at every k-th batch, on the rows of all batches since its last run.
+
+    A job gets the rows and the batch's number. What a longer period still has to see is kept as files beside the
+    checkpoint, by batch, until its job has run; a batch that is repeated after a failure writes the same files.
+    """
+    held = f"{checkpoint}/held"
+    seen_by_all = lambda n: min(n - n % k for k in jobs) if n >= 0 else -1
 
     def run(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()
-        try:
-            for period in sorted(jobs):
-                if number % period == 0:
-                    jobs[period](kept, number)
-        finally:
-            kept.unpersist()
+        spark = batch.sparkSession
+        place = lambda n: f"{held}/batch={n}"
+        batch.write.mode("overwrite").parquet(place(number))
+        for period in sorted(jobs):
+            if number % period == 0:
+                seen = [place(n) for n in range(max(0, number - period + 1), number + 1)]
+                jobs[period](spark.read.schema(batch.schema).parquet(*seen), number)
+        for n in range(seen_by_all(number - 1) + 1, seen_by_all(number) + 1):
+            remove(spark, place(n))
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="3 seconds")).start()

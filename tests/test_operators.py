@@ -176,6 +176,22 @@ def test_transcripts_and_streams(spark, tmp_path):
     assert sorted(str(r.message_id) for r in seen) == ["", "None", "m1", "m2"]
 
 
+def test_a_longer_period_sees_all_rows_since_its_last_run(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for i in range(11):
+        (src / f"f{i:02}.json").write_text(json.dumps({"i": i}))
+    stream = spark.readStream.schema("i int").option("maxFilesPerTrigger", 1).json(str(src))
+    seen = {1: [], 3: [], 5: []}
+    jobs = {k: (lambda rows, n, k=k: seen[k].append((n, sorted(r.i for r in rows.collect())))) for k in seen}
+    query = ingest.cycle(stream, jobs, str(tmp_path / "ck"))
+    query.awaitTermination(120)
+    assert query.exception() is None
+    assert [n for n, _ in seen[1]] == list(range(11)) and [n for n, _ in seen[5]] == [0, 5, 10]
+    assert sorted(sum((x for _, x in seen[3]), [])) == sorted(sum((x for n, x in seen[1] if n < 10), []))
+    assert sorted(sum((x for _, x in seen[5]), [])) == sorted(sum((x for _, x in seen[1]), [])) == list(range(11))
+
+
 def test_event_windows_as_a_stream(spark, data, tmp_path):
     schema = spark.read.parquet(f"{data}/events.parquet").schema
     src = spark.readStream.schema(schema).parquet(f"{data}/events.parquet*")

@@ -10,9 +10,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
-from kestrelgraph.plans import activity, answers, dialogue, graph, insight, pipeline, questions, statements, store
+from kestrelgraph.plans import activity, answers, dialogue, graph, insight, pipeline, questions, reading, statements, store
 
-CORE = [n for suite in (pipeline, store, graph, activity, answers, statements, questions, insight, dialogue) for n in suite.QUERIES]
+CORE = [n for suite in (pipeline, store, graph, activity, answers, statements, questions, insight, dialogue, reading) for n in suite.QUERIES]
 
 
 def plain(x):

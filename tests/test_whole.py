@@ -5,22 +5,38 @@ import duckdb
 import __spark_entry__ as registry
 
 
-def test_analogies_keep_pairs_with_one_property_in_common(spark, data):
-    got = sorted(tuple(r) for r in registry.queries()["analogies"](spark, data).select("g", "a", "b", "similarity").collect())
+def test_analogies_keep_all_links_of_all_subjects(spark, data):
+    """Pairs of classes, spelled out with their members, are all pairs of subjects, those with one property in common too."""
+    member = {}
+    for r in registry.queries()["property_classes"](spark, data).collect():
+        member.setdefault((r.g, r["class"]), []).append(r.holder)
+    got = set()
+    for r in registry.queries()["analogies"](spark, data).collect():
+        xs, ys = member[r.g, r.a], member[r.g, r.b]
+        assert (len(xs), len(ys)) == (r.members_a, r.members_b)
+        got |= {(r.g, min(x, y), max(x, y), r.similarity) for x in xs for y in ys if x != y}
     rows = duckdb.sql(f"""with e as (select distinct instance as g, subject as s, relation || '|' || object as v from '{data}/facts.parquet'
       where instance is not null and subject is not null and relation is not null and object is not null), z as (select g, s, list(v) as vs from e group by 1, 2)
     select x.g, x.s, y.s, round(len(list_intersect(x.vs, y.vs)) / len(list_distinct(list_concat(x.vs, y.vs))), 6) as j from z x join z y on x.g = y.g and x.s < y.s where j >= 0.3""").fetchall()
-    assert got == sorted(rows)
+    assert got == set(rows)
 
 
-def test_similar_sets(spark):
+def test_similar_classes(spark):
     from kestrelgraph.operators import mining
 
     held = {"a": "v", "b": "v", "c": "vw", "d": "vwx", "e": "vwxy", "f": "z"}
     items = spark.createDataFrame([(g, h, v) for g in ("one", None) for h, vs in held.items() for v in vs], "g string, holder string, value string")
-    got = {tuple(r) for r in mining.similar_sets(items, 0.3).collect()}
-    want = {(g, a, b, len(set(x) & set(y)), len(x), len(y)) for g in ("one", None) for a, x in held.items() for b, y in held.items() if a < b and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.3}
-    assert got == want and ("one", "a", "b", 1, 1, 1) in got and ("one", "a", "e", 1, 1, 4) not in got
+    got = {tuple(r) for r in mining.similar_classes(items, 1, 0.3).collect()}
+    first = {h: min(k for k in held if held[k] == held[h]) for h in held}
+    size = lambda h: sum(held[k] == held[h] for k in held)
+    want = set()
+    for g in ("one", None):
+        for a, x in held.items():
+            for b, y in held.items():
+                both, n = len(set(x) & set(y)), len(set(x) | set(y))
+                if both / n >= 0.3 and a < b:
+                    want.add((g, *sorted((first[a], first[b])), both, len(held[min(first[a], first[b])]), len(held[max(first[a], first[b])]), size(min(first[a], first[b])), size(max(first[a], first[b]))))
+    assert got == want and ("one", "a", "a", 1, 1, 1, 2, 2) in got
 
 
 def test_retraction_follows_a_chain_of_any_length(spark):
