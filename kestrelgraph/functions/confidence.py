@@ -48,3 +48,11 @@ def assigned(given: Column, source: Column, hedged: Column) -> Column:
     """The level of a new fact: as given, low if hedged, else by where it came from (high without a source)."""
     by_source = F.when(source.isNull() | source.isin("user", "clarification"), "high").when(source.isin("inference", "inheritance"), "medium").otherwise("low")
     return F.coalesce(given, F.when(hedged, "low"), by_source)
+
+
+def provenance(source: str, premises: Column | None = None, speaker: Column | None = None) -> Column:
+    """struct(source_type, confidence, premises, speaker_id) of a fact from a kind of source: what users say is sure, what
+    is inferred is likely, anything else is a guess."""
+    level_ = {"user": "high", "clarification": "high", "inference": "medium", "inheritance": "medium"}.get(source, "low")
+    none = F.array().cast("array<struct<subject:string,relation:string,object:string>>")
+    return F.struct(F.lit(source).alias("source_type"), F.lit(level_).alias("confidence"), (none if premises is None else premises).alias("premises"), (F.lit(None).cast("string") if speaker is None else speaker).alias("speaker_id"))

@@ -145,3 +145,14 @@ def propagation(similar: DataFrame, categories: DataFrame, least: float = 0.4) -
     offers = both.where(F.col("similarity") >= least).join(categories.select(F.col("member").alias("y"), "category"), "y")
     best = offers.groupBy(F.col("x").alias("concept"), "category").agg(F.max("similarity").alias("similarity"))
     return best.join(categories.select(F.col("member").alias("concept"), "category"), ["concept", "category"], "left_anti")
+
+
+def cycle(facts: DataFrame, categories: DataFrame) -> dict[str, DataFrame]:
+    """Everything that is recomputed from facts (s, r, o, confidence) and categories (category, member): the slots without
+    empty values, bridges, clusters with prototypes, similarities, what is written back, and categories offered."""
+    own = slots(facts)
+    similar = similarity(own, categories)
+    return {
+        "slots": own, "bridges": bridges(own), "clusters": clusters(categories), "prototypes": prototypes(categories, own),
+        "similarity": similar, "written": written_back(similar, facts), "offered": propagation(similar, categories),
+    }

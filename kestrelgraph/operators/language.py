@@ -44,6 +44,29 @@ def discourse(documents: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "at", marker(F.col("p.x")).alias("relation"), F.col("p.b").alias("before")).where("relation is not null")
 
 
+_PREP = "in|on|at|to|from|with|of|for|by|through|into|about|over|under"
+#: Question shapes, tried in order: (pattern, kind, subject group, relation, object group, direction); a relation in
+#: quotes stands for itself, "23" for the second and third group.
+SHAPES = [
+    (r"^what (?:is|are) (.+?) made (?:from|of|out of)$", "what", 1, "'made_of'", None, "forward"),
+    (r"^what (?:is|are) (.+)$", "what_is", 1, "'is'", None, "forward"),
+    (rf"^what (?:does|do) (.+) (\w+) ({_PREP})$", "what", 1, "23", None, "forward"),
+    (r"^what (?:does|do) (.+) (\w+)$", "what", 1, "2", None, "forward"),
+    (r"^what did (.+?) (\w+)$", "what", 1, "2", None, "forward"),
+    (r"^who (?:is|are|was|were) (.+)$", "who", 1, "'is'", None, "forward"),
+    (r"^who (\w+) (.+)$", "who", None, "1", 2, "reverse"),
+    (rf"^where (?:does|do) (.+?) (\w+) ({_PREP})$", "where", 1, "23", None, "forward"),
+    (r"^where (?:does|do|did) (.+?) (\w+)$", "where", 1, "2", None, "forward"),
+    (r"^when (?:does|do|did) (.+?) (\w+)$", "when", 1, "2", None, "forward"),
+    (r"^how (?:does|do|can) (.+?) (\w+)$", "how", 1, "2", None, "forward"),
+    (r"^can (.+?) (\w+) (.+)$", "can", 1, "'can'", 3, "yesno"),
+    (r"^can (.+?) (\w+)$", "can", 1, "'can'", 2, "yesno"),
+    (r"^(?:is|are) (.+?) an? (.+)$", "is", 1, "'is'", 2, "yesno"),
+    (r"^(?:is|are) (.+?) (\w+)$", "is", 1, "'is'", 2, "yesno"),
+    (r"^what (\w+(?:es|ed|s)) (.+)$", "what", None, "1", 2, "reverse"),
+]
+
+
 def question(text: Column) -> Column:
     """struct(kind, subject, relation, object, direction) of a question, or null if it has none of the known shapes.
 
@@ -51,28 +74,9 @@ def question(text: Column) -> Column:
     yes or no, everything else for the object.
     """
     t = F.regexp_replace(F.trim(F.lower(text)), r"[?.]+$", "")
-    prep = "in|on|at|to|from|with|of|for|by|through|into|about|over|under"
-    shapes = [
-        (r"^what (?:is|are) (.+?) made (?:from|of|out of)$", "what", 1, "'made_of'", None, "forward"),
-        (r"^what (?:is|are) (.+)$", "what_is", 1, "'is'", None, "forward"),
-        (rf"^what (?:does|do) (.+) (\w+) ({prep})$", "what", 1, "23", None, "forward"),
-        (r"^what (?:does|do) (.+) (\w+)$", "what", 1, "2", None, "forward"),
-        (r"^what did (.+?) (\w+)$", "what", 1, "2", None, "forward"),
-        (r"^who (?:is|are|was|were) (.+)$", "who", 1, "'is'", None, "forward"),
-        (r"^who (\w+) (.+)$", "who", None, "1", 2, "reverse"),
-        (rf"^where (?:does|do) (.+?) (\w+) ({prep})$", "where", 1, "23", None, "forward"),
-        (r"^where (?:does|do|did) (.+?) (\w+)$", "where", 1, "2", None, "forward"),
-        (r"^when (?:does|do|did) (.+?) (\w+)$", "when", 1, "2", None, "forward"),
-        (r"^how (?:does|do|can) (.+?) (\w+)$", "how", 1, "2", None, "forward"),
-        (r"^can (.+?) (\w+) (.+)$", "can", 1, "'can'", 3, "yesno"),
-        (r"^can (.+?) (\w+)$", "can", 1, "'can'", 2, "yesno"),
-        (r"^(?:is|are) (.+?) an? (.+)$", "is", 1, "'is'", 2, "yesno"),
-        (r"^(?:is|are) (.+?) (\w+)$", "is", 1, "'is'", 2, "yesno"),
-        (r"^what (\w+(?:es|ed|s)) (.+)$", "what", None, "1", 2, "reverse"),
-    ]
     none = F.lit(None).cast("string")
     out = []
-    for pattern, kind, subject, relation, obj, direction in shapes:
+    for pattern, kind, subject, relation, obj, direction in SHAPES:
         part = lambda i, p=pattern: F.regexp_extract(t, p, i) if i else none
         rel = F.lit(relation.strip("'")) if relation[0] == "'" else F.concat_ws("_", part(2), part(3)) if relation == "23" else part(int(relation))
         out.append(F.when(F.rlike(t, F.lit(pattern)), F.struct(F.lit(kind).alias("kind"), part(subject).alias("subject"), rel.alias("relation"), part(obj).alias("object"), F.lit(direction).alias("direction"))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kestrelgraph.functions import text as T
 from kestrelgraph.operators import frames, language, star, state, store, usage
+from kestrelgraph.plans.statements import SENTENCES_SQL
 from kestrelgraph.runtime import table
 
 NOW = "2024-01-31 00:00:00"
@@ -191,7 +192,29 @@ blended as (select s.a, s.b, round(0.7 * s.x + 0.3 * coalesce(k, 0) / (x.n + y.n
   from (select distinct a, b from shared) p join sizes x on x.concept = p.a join sizes y on y.concept = p.b and y.attribute = x.attribute left join shared s on s.a = p.a and s.b = p.b and s.attribute = x.attribute group by 1, 2) s
   join c x on x.member = s.a join c y on y.member = s.b left join k on k.a = s.a and k.b = s.b)"""
 _CLASS = lambda families, default: "case " + " ".join(f"when regexp_matches(lower(text), '{p}') then '{n}'" for n, p in families) + f" else '{default}' end"
+_T = "t as (select id, regexp_replace(trim(lower(text)), '[?.]+$', '') as t from q)"
+_SHAPE = lambda f: "case " + " ".join(f"when regexp_matches(t, '{x[0]}') then {f(x)}" for x in language.SHAPES) + " end"
+_PART = lambda x, g: f"regexp_extract(t, '{x[0]}', {g})" if g else "null"
+_RELATION = lambda x: x[3] if x[3][0] == "'" else f"{_PART(x, 2)} || '_' || {_PART(x, 3)}" if x[3] == "23" else _PART(x, int(x[3]))
 SQL = {
+    "hebbian_weights": """with recursive e as (select user_id, event_type as edge, row_number() over (partition by user_id order by event_id) as k from events), n as (select user_id, max(k) as n from e group by 1),
+f as (select user_id, 0::bigint as k, []::struct(edge varchar, w double, n bigint)[] as st from n union all
+  select f.user_id, f.k + 1, list_append(list_filter(st, lambda x: x.edge <> e.edge), {'edge': e.edge, 'w': least(5.0, c.w + 0.2 * case when c.w > 0.8 * coalesce(list_avg(list_transform(st, lambda x: x.w)), 1.0) then 0.5 else 1.5 end), 'n': c.n + 1})
+  from f join e on e.user_id = f.user_id and e.k = f.k + 1, lateral (select coalesce(list_filter(st, lambda x: x.edge = e.edge)[1], {'edge': e.edge, 'w': 1.0::double, 'n': 0::bigint}) as c))
+select f.user_id as "group", x.edge, round(x.w, 6) as weight, x.n as uses from (select f.user_id, unnest(st) as x from f join n on n.user_id = f.user_id and n.n = f.k) f""",
+    "graph_payload": """with e as (select distinct instance, subject, relation, object from facts where instance is not null and subject is not null and relation is not null and object is not null),
+n as (select instance, node, sum(o)::bigint as o, sum(i)::bigint as i from (select instance, subject as node, 1 as o, 0 as i from e union all select instance, object, 0, 1 from e) group by 1, 2)
+select instance, node, '{"label":"' || array_to_string(list_transform(string_split(replace(node, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || '","kind":"' || case when o = 0 then 'leaf' when i = 0 then 'root' else 'inner' end || '","degree":' || (o + i) || '}' as payload from n""",
+    "parse_question": f"""with q as (select * from (values {", ".join(f"({i}, '{q}')" for i, q in enumerate(ASKED))}) v(id, text) union all select item_id::int, regexp_replace(string_split(text, chr(10))[-1], '^Question: ', '') from eval_items), {_T}
+select id, {_SHAPE(lambda x: f"'{x[1]}'")} as kind, {_SHAPE(lambda x: _PART(x, x[2]))} as subject, {_SHAPE(_RELATION)} as relation, {_SHAPE(lambda x: _PART(x, x[4]))} as object, {_SHAPE(lambda x: f"'{x[5]}'")} as direction from t where {_SHAPE(lambda x: "true")}""",
+    "text_to_facts": f"""with d as (select doc_id, {SENTENCES_SQL} as ss from documents where text is not null), x as (select doc_id, unnest(range(len(ss)))::int as pos, unnest(ss) as s from d),
+w as (select doc_id, pos, string_split_regex(regexp_replace(lower(s), '[^a-z0-9 _-]+', '', 'g'), '\\s+') as w from x),
+v as (select form, min(relation) as relation from (select relation, unnest([relation, base_verb, past, present_s]) as form from relation_defs) where form is not null and not contains(form, ' ') group by 1),
+t as (select doc_id, pos, w, unnest(w) as form, unnest(range(len(w))) as i from w),
+h as (select doc_id, pos, w, i, relation from t join v using (form) where i > 0 and i < len(w) - 1 qualify row_number() over (partition by doc_id, pos order by i) = 1),
+f as (select doc_id, pos, relation, w[:i] as before, w[i + 2:] as after from h)
+select * from (select doc_id, pos as "at", array_to_string(list_filter(before, lambda y: y not in ('the', 'a', 'an', 'does', 'do', 'did', 'not', 'never')), '_') as subject, relation,
+  array_to_string(list_filter(after, lambda y: y not in ('the', 'a', 'an')), '_') as object, list_has_any(before, ['not', 'never']) as negated from f) where subject <> '' and object <> ''""",
     "usage_sessions": f"""select session_id, {_SUM}, count(*) as turns, strftime(min("timestamp"), '%Y-%m-%d') as first_timestamp, strftime(max("timestamp"), '%Y-%m-%d') as last_timestamp,
   arg_max(model, id) filter (model is not null) as model, arg_min({_PROJECT}, id) filter (cwd is not null) as project from turns group by 1""",
     "usage_by_model": f"select coalesce(model, 'unknown') as model, {_SUM}, count(*) as turns, count(distinct session_id) as sessions from turns group by 1",

@@ -261,6 +261,7 @@ _TURNS = r"""l as (select doc_id, unnest(string_split_regex(text, '\r?\n')) as l
 t as (select doc_id, turn, regexp_extract(line, '^(User|System|Teacher|Speaker \d+): (.+)$', 2) as said from l where regexp_matches(line, '^(User|System|Teacher|Speaker \d+): (.+)$')),
 n as (select *, nullif(regexp_extract(regexp_replace(said, '^\S+', ''), '\b([A-Z][a-z]{3,})\b', 1), '') as named from t)"""
 SQL = {
+    "parsed_rules": "select * from (values (0, 'bird', 'has', 'wings', 'can', 'fly'), (1, 'dogs', 'is', 'mammals', 'has', 'fur')) x(id, subject, relation, object, then_relation, then_object)",
     "assigned_confidence": """select coalesce(confidence, case when len(conditions) > 0 then 'low' when source_type is null or source_type in ('user', 'clarification') then 'high' when source_type in ('inference', 'inheritance') then 'medium' else 'low' end) as confidence,
   count(*) as facts, min(fact_id) as "first" from facts group by 1""",
     "chain_ends": f"""with {_UP} select distinct g, s as node, 'only a part' as kind from h where not exists (select 1 from h x where x.g = h.g and x.o = h.s)

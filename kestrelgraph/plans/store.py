@@ -96,6 +96,12 @@ def staged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("instance", "outcome", "confidence").agg(F.count("*").alias("facts"), F.min("subject").alias("first"))
 
 
+def derivation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived facts with what derived them and from how many premises, each derivation once."""
+    f = _facts(spark, sf_dir).where("source_type in ('inference', 'inheritance', 'rule', 'discovery')")
+    return f.select(*store.KEY, "source_type", "rule_id", F.coalesce(F.size("premises"), F.lit(0)).alias("depth")).distinct()
+
+
 def contributor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who taught and who corrected facts about each subject, a row for each; a hub is not gathered."""
     f = _facts(spark, sf_dir)
@@ -112,6 +118,7 @@ def reverse_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "staged_facts": staged_facts,
     "contributor_rows": contributor_rows,
+    "derivation_log": derivation_log,
     "reverse_members": reverse_members,
     "adjacency": lambda s, d: store.adjacency(_facts(s, d)).select("instance", "subject", "relation", F.array_join("objects", "|").alias("objects")),
     "point_lookup": lambda s, d: store.lookup(_facts(s, d), "part_of", instance="tidewell").select("subject", "object"),
@@ -198,6 +205,7 @@ names as ({_NAMES_SQL}),
 o as (select a.*, case when not x.valid or not y.valid then 'invalid' when exists (select 1 from old where old.instance = a.instance and old.subject = a.subject and old.relation = a.relation and old.object = a.object) then 'repeated' else 'new' end as outcome
   from a join names x on x.name = a.subject join names y on y.name = a.object)
 select instance, outcome, case k when 3 then 'high' when 2 then 'medium' else 'low' end as confidence, count(*) as facts, min(subject) as "first" from o group by 1, 2, 3""",
+    "derivation_log": "select distinct instance, subject, relation, object, source_type, rule_id, coalesce(len(premises), 0)::int as depth from facts where source_type in ('inference', 'inheritance', 'rule', 'discovery')",
     "contributor_rows": """select distinct instance, node, role, person from (select instance, subject as node, 'creator' as role, lower(trim(speaker_id)) as person from facts union all select instance, subject, 'corrector', lower(trim(corrected_by)) from facts) where person <> ''""",
     "reverse_members": f"with {_E} select instance, relation, object, subject from e qualify count(*) over (partition by instance, relation, object) > 1",
     "normalize_keys": f"""with l as (select item_id, unnest(string_split_regex(regexp_replace(text, '([.?])\\s+', '\\1\x01', 'g'), '\x01')) as phrase, unnest(range(len(string_split_regex(regexp_replace(text, '([.?])\\s+', '\\1\x01', 'g'), '\x01')))) as line from eval_items),

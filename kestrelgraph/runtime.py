@@ -7,7 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,8 @@ def scratch_dir(spark: SparkSession) -> str:
     have = spark.sparkContext.getCheckpointDir()
     if have:
         return have
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="kestrel-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -54,9 +57,25 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_SPACES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[None]:
+    """The scratch tables that operators make inside are removed at the end: results must have been written by then."""
+    _SPACES.append([])
+    try:
+        yield
+    finally:
+        for path in _SPACES.pop():
+            remove(spark, path)
+
+
 def scratch_path(spark: SparkSession) -> str:
-    """A new folder in the shared scratch space, which is removed when the process ends."""
+    """A new folder in the shared scratch space. It is removed with the open scratch_space(), else when the process ends."""
     path = os.path.join(scratch_dir(spark), f"kestrel-{os.getpid()}-{uuid.uuid4().hex}")
+    if _SPACES:
+        _SPACES[-1].append(path)
     atexit.register(remove, spark, path)
     return path
 

@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from kestrelgraph.operators import frames, store
+from kestrelgraph.functions import confidence as C
+from kestrelgraph.operators import console, frames, store
 from kestrelgraph.sources import readers
 
 FACT = "instance string, subject string, relation string, object string, confidence string, source_type string, conditions array<string>, speaker_id string"
@@ -79,3 +81,38 @@ def test_spoken_facts(spark):
     segments = spark.createDataFrame([("t", 0, "Dogs have tails.", 0.95, "ann"), ("t", 1, "Cats can climb.", 0.75, "bob"), ("t", 2, "Hm.", 0.1, None)], "transcript_id string, idx int, text string, confidence double, speaker_id string")
     got = {(r.at, r.subject, r.relation, r.object, r.speaker_id, r.confidence) for r in readers.spoken_facts(segments).collect()}
     assert got == {(0, "dogs", "has", "tails", "ann", "high"), (1, "cats", "can", "climb", "bob", "medium")}
+
+
+def test_scratch_tables_go_with_their_space(spark):
+    import os
+
+    from kestrelgraph import runtime
+
+    with runtime.scratch_space(spark):
+        df = runtime.materialize(spark.range(5).toDF("i"))
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_console_views(spark):
+    rows_ = [("dog", "is", "mammal"), ("mammal", "is", "animal"), ("cat", "is", "mammal"), ("dog", "can", "swim"), ("dog", "cannot", "swim"), ("dog", "color", "brown")]
+    f = spark.createDataFrame([("i", *r, "high", "user", None, "ann") for r in rows_], FACT)
+    view = lambda text: {tuple(r) for r in console.run(f, text).collect()}
+    assert view("/stats") == {("i", 6, 6, 0, 1)}
+    assert view("/show dog") == {("i", "dog", "dog\n  can: swim\n  cannot: swim\n  color: brown\n  is: mammal")}
+    assert {r[1:5] for r in view("/inferences")} == {("dog", "is", "animal", 2), ("cat", "is", "animal", 2)}
+    assert view("/conflicts") == {("i", "dog", "can", "swim")} and view("/frame Dog") == {("dog", "abilities: swim; cannot: swim; color: brown")}
+    assert view("/clusters") == {("mammal", 2, 0.4)} and len(view("/entities")) == 6 and len(view("/forget dog")) == 2 and view("/forget-all") == set()
+    assert ("stats", True) in view("/help") and {r[3] for r in view("/chain dog")} == {"mammal", "animal", "swim", "brown"}
+    with pytest.raises(ValueError):
+        console.run(f, "stats")
+
+
+def test_frame_cycle_and_provenance(spark):
+    f = spark.createDataFrame([(x, "has", y, "high") for x in "ab" for y in ("fur", "tail", "legs")] + [("c", "has", "fins", "low")], "s string, r string, o string, confidence string")
+    out = frames.cycle(f, spark.createDataFrame([("k", "a"), ("k", "b"), ("m", "a")], "category string, member string"))
+    assert {tuple(r) for r in out["similarity"].collect()} == {("a", "b", 0.85)} and out["written"].count() == 2
+    assert {tuple(r)[:2] for r in out["offered"].collect()} == {("b", "m")} and out["prototypes"].where("category = 'k'").count() == 3
+    p = spark.range(1).select(C.provenance("inference").alias("p"), C.provenance("speech").alias("q")).first()
+    assert (p.p.source_type, p.p.confidence, p.p.premises, p.q.confidence) == ("inference", "medium", [], "low")
