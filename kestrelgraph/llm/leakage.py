@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrelgraph.llm.canonical import LOOKALIKES
-from kestrelgraph.operators import mining
 from kestrelgraph.runtime import fresh, materialize, ship
 
 K1, B = 1.2, 0.75
@@ -34,8 +33,9 @@ K1, B = 1.2, 0.75
 THETA, COVERED, ECHOED = 0.2, 0.3, 0.8
 #: Words that may be altered between two runs of common wording and still be aligned with each other.
 GAP = 8
-#: Trigram similarity from which two parts count as one when it is asked how many parts use a wording.
-NEAR = 0.25
+#: The share of a part's trigrams, the rarest ones, whose rarity is full weight: wording that near-equal items share is as
+#: rare as most of theirs, so it keeps its weight; what many items begin or end with does not.
+OWN_SHARE = 0.5
 BLOCK = 8
 #: Parts in one index, and indexes that one scan of the documents visits (together they bound a worker's memory). The
 #: statistics are those of all parts, so neither number changes a result.
@@ -100,7 +100,7 @@ class Index:
     passage: np.ndarray
     weight: np.ndarray  # of a posting, as a share of the entry's self-score
     word_ids: list[np.ndarray]  # by entry
-    own: list[np.ndarray]  # by entry and trigram, one over the number of parts that use the trigram
+    own: list[np.ndarray]  # by entry and trigram, the weight of the trigram: 1 for the part's rarer ones
     places: dict[int, dict[int, list[int]]] = field(default_factory=dict)
 
     @classmethod
@@ -128,7 +128,7 @@ class Index:
         return cls(
             np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32), vocabulary, np.array(terms, np.int64), np.array([max(v for _, v in x) for x in post]),
             offsets(blocks), flat(blocks, 0, np.int64), flat(blocks, 1, float), offsets(post), flat(post, 0, np.int64), flat(post, 1, float),
-            ids, [1.0 / np.array(r[3], float) for r in rows],
+            ids, [own_weights(r[3]) for r in rows],
         )
 
     def search(self, texts: list[list[str]]) -> list[tuple[int, int, float, float]]:
@@ -192,7 +192,7 @@ class Index:
         """The weighed share of entry p's words in the longest common sequence of trigrams, in order.
 
         doc has the text's word ids, at and keys its known trigrams. A word weighs as much as the rarest trigram around
-        it, so wording that many parts share counts little unless there is nothing else. Up to GAP altered words between
+        it (own_weights), so wording that many parts share counts little unless there is nothing else. Up to GAP altered words between
         two runs are aligned word by word.
         """
         places, mine = self.places.get(p), self.word_ids[p]
@@ -218,6 +218,12 @@ class Index:
         return float(held.sum() / whole.sum())
 
 
+def own_weights(used: list[int]) -> np.ndarray:
+    """By trigram of a part, from the number of parts that use it: 1 up to the median of the part, less above it."""
+    u = np.array(used, float)
+    return np.minimum(1.0, np.sort(u)[int(OWN_SHARE * len(u))] / u)
+
+
 def _longest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs that rises in both numbers; pairs come by the first, and falling in the second."""
     tails: list[int] = []
@@ -280,21 +286,14 @@ def item_parts(items: DataFrame, item: str, item_text: str) -> DataFrame:
 def build(parts: DataFrame, shard_items: int = ITEMS) -> tuple[DataFrame, DataFrame]:
     """(members, shards): members (i, part, entry) has the items of each distinct part; shards (shard, blob) the indexes.
 
-    How many parts use a trigram, their number and mean length are counted over all parts; parts that are nearly the
-    same count once, so their common wording is still their own. The indexes are made in the tasks.
+    How many parts use a trigram, their number and mean length are counted over all parts. The indexes are made in the tasks.
     """
-    parts = materialize(parts)
-    entries = materialize(parts.groupBy("part", "words").agg(F.min("i").alias("entry")))
-    members = parts.join(entries, ["part", "words"]).select("i", "part", "entry")
+    parts = materialize(parts.withColumn("entry", F.xxhash64("part", "words")))
+    entries = parts.select("part", "entry", "words").dropDuplicates(["part", "entry"])
+    members = parts.select("i", "part", "entry").distinct()
     gram = F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda k: F.array_join(F.slice("words", k, 3), " "))
     grams = materialize(entries.select("part", "entry", F.posexplode(gram).alias("pos", "gram")))
-    key = F.concat_ws(":", "part", "entry")
-    near = materialize(mining.shared_pairs(grams.select(F.col("part").alias("g"), key.alias("holder"), F.col("gram").alias("value")).distinct(), 1, NEAR))
-    group = grams.withColumn("group", key)
-    if not near.isEmpty():
-        alike = mining.components(near.select("a", "b")).withColumnRenamed("node", "group")
-        group = group.join(alike, "group", "left").withColumn("group", F.coalesce("component", "group"))
-    used = group.groupBy("gram").agg(F.count_distinct("group").alias("used"))
+    used = grams.select("part", "entry", "gram").distinct().groupBy("gram").agg(F.count("*").alias("used"))
     counted = grams.join(used, "gram").groupBy("part", "entry").agg(F.array_sort(F.collect_list(F.struct("pos", "used"))).alias("u"))
     total = grams.groupBy("part", "entry").count().agg(F.count("*").alias("n"), F.avg("count").alias("mean")).first()
     n, mean = total.n, total.mean or 1.0

@@ -95,8 +95,9 @@ def test_near_equal_items_are_all_found_whatever_the_shards(spark):
         w[5 + 3 * k] = f"changed{k}"
         near.append(" ".join(w))
     half = " ".join(bodies[1].split()[:38]) + " " + passage(rng, 36)
-    items = [(i, b) for i, b in enumerate(bodies)] + [(100 + k, b) for k, b in enumerate(near)] + [(200, half)]
-    docs_ = {1: (bodies[0], {0, *range(100, 112)}), 2: (near[3] + passage(rng, 40), {0, *range(100, 112)}), 3: (bodies[1], {1, 200}), 4: (half, {1, 200}), 5: (f"{passage(rng, 50)} {frame} {passage(rng, 50)}", set()), 6: (bodies[7], {7})}
+    # an item that repeats, once with another text
+    items = [(i, b) for i, b in enumerate(bodies)] + [(100 + k, b) for k, b in enumerate(near)] + [(200, half), (7, bodies[7]), (7, bodies[8])]
+    docs_ = {1: (bodies[0], {0, *range(100, 112)}), 2: (near[3] + passage(rng, 40), {0, *range(100, 112)}), 3: (bodies[1], {1, 200}), 4: (half, {1, 200}), 5: (f"{passage(rng, 50)} {frame} {passage(rng, 50)}", set()), 6: (bodies[7], {7}), 7: (bodies[8], {7, 8})}
     d = spark.createDataFrame([(i, t) for i, (t, _) in docs_.items()], "doc_id bigint, text string")
     it = spark.createDataFrame(items, "item_id bigint, text string")
     want = {(i, k) for i, (_, ks) in docs_.items() for k in ks}
