@@ -158,3 +158,22 @@ def compact(n: Column) -> Column:
     """1.2K, 3.4M, 5.6B."""
     f = lambda d, u: F.format_string(f"%.1f{u}", n / d)
     return F.when(n >= 1e9, f(1e9, "B")).when(n >= 1e6, f(1e6, "M")).when(n >= 1e3, f(1e3, "K")).otherwise(F.format_string("%d", n.cast("bigint")))
+
+
+def string_hash(text: Column) -> Column:
+    """The unsigned 32-bit hash of a text, 33 times the hash before plus the next character, from 5381."""
+    wrap = lambda x: F.pmod(x, F.lit(1 << 32))
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.aggregate(letters, F.lit(5381).cast("bigint"), lambda h, c: wrap(h * 33 + F.ascii(c)))
+
+
+def hue(text: Column) -> Column:
+    """The colour of a cluster as an angle: always the same one for the same name."""
+    return F.pmod(string_hash(text), F.lit(360)).cast("int")
+
+
+def html_escaped(text: Column) -> Column:
+    """A text as it may stand in HTML."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text

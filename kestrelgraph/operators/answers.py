@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrelgraph.functions import text as T
@@ -65,11 +65,14 @@ def sentences(edges: DataFrame, verbs: DataFrame, most: int = 5) -> DataFrame:
 
     verbs (relation, verb) has the present form; a relation without one is spelled as it is.
     """
-    groups = edges.groupBy("instance", "subject", "relation").agg(F.array_sort(F.collect_set(T.pretty(F.col("object")))).alias("all"))
+    key = ["instance", "subject", "relation"]
+    each = edges.select(*key, T.pretty(F.col("object")).alias("named")).distinct()
+    top = each.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("named"))).where(F.col("k") <= most)
+    groups = top.groupBy(*key).agg(F.array_sort(F.collect_list("named")).alias("all"))
     v = verbs.select(F.col("relation").alias("vr"), "verb")
     rows = groups.join(v, F.col("relation") == F.col("vr"), "left")
     verb = F.coalesce("verb", T.pretty(F.col("relation")))
-    return rows.select("instance", "subject", "relation", F.concat(F.lit("The "), T.pretty(F.col("subject")), F.lit(" "), verb, F.lit(" "), T.listed(F.slice("all", 1, most)), F.lit(".")).alias("sentence"))
+    return rows.select("instance", "subject", "relation", F.concat(F.lit("The "), T.pretty(F.col("subject")), F.lit(" "), verb, F.lit(" "), T.listed(F.col("all")), F.lit(".")).alias("sentence"))
 
 
 def choice(seed: Column, templates: list[str]) -> Column:

@@ -102,12 +102,14 @@ def analogy_facts(items: DataFrame, share: float = 0.5, least: int = 1) -> DataF
     items is (g, holder, value), distinct. Holders of equal sets are one class, which lacks nothing that its own members
     have: only pairs of classes are compared, so a hot value costs one comparison.
     """
-    classes, members = mining.set_classes(items)
-    one = classes.select("g", F.col("class").alias("holder"), F.explode("vs").alias("value"))
+    classes, values, members = mining.set_classes(items)
+    one = values.withColumnRenamed("class", "holder")
     pairs = mining.shared_pairs(one, least, share).select("g", "a", "b")
     both = pairs.unionByName(pairs.select("g", F.col("b").alias("a"), F.col("a").alias("b")))
-    k = classes.select(F.col("g").alias("kg"), F.col("class").alias("kf"), "members", F.col("vs").alias("kv"))
-    offers = both.join(k, F.col("g").eqNullSafe(F.col("kg")) & (F.col("b") == F.col("kf"))).select("g", "a", "members", F.explode("kv").alias("value"))
+    k = classes.select(F.col("g").alias("kg"), F.col("class").alias("kf"), "members")
+    v = values.select(F.col("g").alias("vg"), F.col("class").alias("vf"), "value")
+    weighed = both.join(k, F.col("g").eqNullSafe(F.col("kg")) & (F.col("b") == F.col("kf")))
+    offers = weighed.join(v, F.col("g").eqNullSafe(F.col("vg")) & (F.col("b") == F.col("vf"))).select("g", "a", "members", "value")
     sums = offers.groupBy("g", "a", "value").agg(F.sum("members").alias("support"))
     o = one.select(F.col("g").alias("og"), F.col("holder").alias("oh"), F.col("value").alias("ov"))
     missing = sums.join(o, F.col("g").eqNullSafe(F.col("og")) & (F.col("a") == F.col("oh")) & (F.col("value") == F.col("ov")), "left_anti")

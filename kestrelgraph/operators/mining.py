@@ -34,14 +34,20 @@ def shared_pairs(items: DataFrame, least: int, share: float = 0.0) -> DataFrame:
     return out.where(jaccard(out) >= share - 1e-9) if share else out
 
 
-def set_classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, members) of items (g, holder, value), distinct: holders of equal value sets are one class, named by its
-    first holder. classes is (g, class, members, vs), members is (g, holder, class)."""
-    sets = materialize(items.groupBy("g", "holder").agg(F.array_sort(F.collect_list("value")).alias("vs")))
-    classes = materialize(sets.groupBy("g", "vs").agg(F.min("holder").alias("class"), F.count("*").alias("members")))
-    c = classes.select(F.col("g").alias("cg"), F.col("vs").alias("cvs"), "class")
-    members = sets.join(c, F.col("g").eqNullSafe(F.col("cg")) & (F.col("vs") == F.col("cvs"))).select("g", "holder", "class")
-    return classes, members
+def set_classes(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, values, members) of items (g, holder, value), distinct: holders of equal value sets are one class, named
+    by its first holder. classes is (g, class, members, n), values is (g, class, value), members is (g, holder, class).
+
+    Sets are told apart by their size and two 64-bit hashes over their values, so no holder's values are gathered.
+    """
+    print_ = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("value")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "value")).alias("k")]
+    sets = materialize(items.groupBy("g", "holder").agg(*print_))
+    classes = materialize(sets.groupBy("g", "n", "h", "k").agg(F.min("holder").alias("class"), F.count("*").alias("members")))
+    c = classes.select(F.col("g").alias("cg"), F.col("n").alias("cn"), F.col("h").alias("ch"), F.col("k").alias("ck"), "class")
+    members = sets.join(c, F.col("g").eqNullSafe(F.col("cg")) & (F.col("n") == F.col("cn")) & (F.col("h") == F.col("ch")) & (F.col("k") == F.col("ck"))).select("g", "holder", "class")
+    first = classes.select(F.col("g").alias("cg"), "class")
+    values = items.join(first, F.col("g").eqNullSafe(F.col("cg")) & (F.col("holder") == F.col("class"))).select("g", "class", "value")
+    return classes.select("g", "class", "members", "n"), values, members
 
 
 def similar_classes(items: DataFrame, least: int, share: float = 0.0) -> DataFrame:
@@ -51,13 +57,13 @@ def similar_classes(items: DataFrame, least: int, share: float = 0.0) -> DataFra
     A class with several members and enough values is a pair with itself (a = b). Every link between two holders is a
     pair of their classes, so none is lost and copies are not spelled out; set_classes() has who is in a class.
     """
-    classes, _ = set_classes(items)
-    pairs = shared_pairs(classes.select("g", F.col("class").alias("holder"), F.explode("vs").alias("value")), least, share)
+    classes, values, _ = set_classes(items)
+    pairs = shared_pairs(values.withColumnRenamed("class", "holder"), least, share)
     of = lambda g, k, m: classes.select(F.col("g").alias(g), F.col("class").alias(k), F.col("members").alias(m))
     apart = pairs.join(of("xg", "xk", "members_a"), F.col("g").eqNullSafe(F.col("xg")) & (F.col("a") == F.col("xk"))).join(of("yg", "yk", "members_b"), F.col("g").eqNullSafe(F.col("yg")) & (F.col("b") == F.col("yk")))
     columns = ["g", "a", "b", "shared", "na", "nb", "members_a", "members_b"]
-    n = F.size("vs").cast("bigint")
-    own = classes.where((F.col("members") > 1) & (n >= least)).select("g", F.col("class").alias("a"), F.col("class").alias("b"), n.alias("shared"), n.alias("na"), n.alias("nb"), F.col("members").alias("members_a"), F.col("members").alias("members_b"))
+    twice = lambda c, *names: [F.col(c).alias(n) for n in names]
+    own = classes.where((F.col("members") > 1) & (F.col("n") >= least)).select("g", *twice("class", "a", "b"), *twice("n", "shared", "na", "nb"), *twice("members", "members_a", "members_b"))
     return apart.select(*columns).unionByName(own)
 
 

@@ -116,10 +116,12 @@ def pipeline(texts: DataFrame, key: str, text: str) -> DataFrame:
     rows = texts.select(F.col(key).alias(key), F.posexplode(language.sentences(F.col(text))).alias("at", "s"))
     parts = rows.select(key, "at", F.posexplode(simplified(F.col("s"))).alias("part", "x"))
     x = F.col("x")
-    read = parts.select(key, "at", "part", encyclopedic(x).alias("e"), statements.facts_of(x).alias("p"), any_statement(x).alias("a"))
+    # behind a generator, so that each reader runs once for a part
+    each = F.explode_outer(F.array(F.struct(encyclopedic(x).alias("e"), statements.facts_of(x).alias("p"), any_statement(x).alias("a")))).alias("z")
+    read = parts.select(key, "at", "part", each).select(key, "at", "part", "z.*")
     found = F.when(F.size("e") > 0, F.lit("encyclopedic")).when(F.size("p") > 0, "plain").when(F.col("a").isNotNull(), "first verb")
     facts = F.when(F.size("e") > 0, F.col("e")).when(F.size("p") > 0, F.col("p")).otherwise(F.array("a"))
-    return read.select(key, "at", "part", found.alias("reader"), F.explode(facts).alias("f")).where("reader is not null").select(key, "at", "part", "reader", "f.*")
+    return read.select(key, "at", "part", found.alias("reader"), F.explode_outer(facts).alias("f")).where("reader is not null and f is not null").select(key, "at", "part", "reader", "f.*")
 
 
 def rule_lifecycle(texts: DataFrame, text: str) -> DataFrame:

@@ -44,8 +44,8 @@ def averages(totals: DataFrame, measures: Sequence[str], spans: Sequence[int] =
 class State:
     """The versions of one rolling state, as Parquet tables below a folder of the shared file system.
 
-    ledger holds the daily amounts that each version brought, heads each entity's first and last day as of a version,
-    bounds the dates that a version recomputed, totals their rows. A version is its own folder, so readers of an older
+    ledger holds the daily amounts that each version brought, heads each entity's first and last day as of a version and
+    the dates that the version recomputed, if any, totals their rows. A version is its own folder, so readers of an older
     one are not disturbed, and a version that was interrupted is written again.
     """
 
@@ -61,8 +61,7 @@ class State:
         return {
             "ledger": f"{key}, day date{amounts(self.measures)}",
             "totals": f"{key}, day date{amounts(self.columns)}",
-            "heads": f"{key}, first_day date, last_day date",
-            "bounds": f"{key}, from_day date, to_day date",
+            "heads": f"{key}, first_day date, last_day date, from_day date, to_day date",
         }
 
     def _write(self, rows: DataFrame, name: str) -> None:
@@ -83,6 +82,13 @@ class State:
         newest = rows.groupBy("entity", "day").agg(F.max_by(F.struct(*self.columns), "version").alias("t"))
         return newest.select("entity", "day", "t.*")
 
+    def _touched(self, low: int, high: int) -> DataFrame:
+        return self.read("heads", low, high).where("from_day is not null").select("entity", "from_day", "to_day", "version")
+
+    def recomputed(self) -> DataFrame:
+        """(entity, from_day, to_day, version): the dates that each version recomputed."""
+        return self._touched(1, self.version)
+
     def advance(self, arrivals: DataFrame) -> State:
         """The next version, after a batch of arrivals (entity, day, measures); negative amounts take rows back.
 
@@ -97,13 +103,11 @@ class State:
         touched = self.read("ledger", v).groupBy("entity").agg(F.min("day").alias("low"), F.max("day").alias("high"))
         old = self.read("heads", v - 1, v - 1).select("entity", "first_day", "last_day") if v > 1 else self.read("heads", high=0).drop("version")
         both = old.join(touched, "entity", "full")
-        heads = both.select("entity", F.least("first_day", "low").alias("first_day"), F.greatest("last_day", "high").alias("last_day"))
-        self._write(heads, "heads")
-        last = F.greatest("high", "last_day")
+        first, last = F.least("first_day", "low"), F.greatest("high", "last_day")
         begin = F.when(F.col("last_day") < F.col("low"), F.date_add("last_day", 1)).otherwise(F.col("low"))
-        end = F.least(last, F.greatest(F.date_add("high", reach), F.coalesce("first_day", "high")))
-        self._write(touched.join(old, "entity", "left").select("entity", begin.alias("from_day"), end.alias("to_day")), "bounds")
-        bounds = self.read("bounds", v).drop("version")
+        end = F.when(F.col("low").isNotNull(), F.least(last, F.greatest(F.date_add("high", reach), F.coalesce("first_day", "high"))))
+        self._write(both.select("entity", first.alias("first_day"), last.alias("last_day"), begin.alias("from_day"), end.alias("to_day")), "heads")
+        bounds = self._touched(v, v).drop("version")
         edge = bounds.agg(F.min("from_day").alias("low"), F.max("to_day").alias("high")).first()
         if edge.low is None:
             self._write(self.spark.createDataFrame([], self._shapes["totals"]), "totals")

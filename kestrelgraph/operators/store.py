@@ -90,16 +90,29 @@ def stats(facts: DataFrame) -> DataFrame:
     return counts.join(nodes, "instance", "left").join(who, "instance", "left").select("instance", "nodes", "facts", "inferred", F.coalesce("speakers", F.lit(0)).alias("speakers"))
 
 
-def leaderboard(facts: DataFrame, users: DataFrame, top: int = 20) -> DataFrame:
-    """The most active speakers: facts taught, corrections made, messages sent; a full outer join of the three counts."""
+def leaderboards(facts: DataFrame, users: DataFrame, top: int = 20) -> DataFrame:
+    """(board, place, speaker, value): the first speakers by each of the three counts; who has none is on no board."""
+    counts = ["taught", "corrected", "messages"]
+    boards = F.array(*[F.struct(F.lit(c).alias("board"), F.col(c).alias("value")) for c in counts])
+    rows = activity(facts, users).select("speaker", F.explode(boards).alias("b")).select("b.board", "speaker", "b.value").where("value > 0")
+    place = F.row_number().over(Window.partitionBy("board").orderBy(F.desc("value"), "speaker"))
+    return rows.withColumn("place", place).where(F.col("place") <= top).select("board", "place", "speaker", "value")
+
+
+def activity(facts: DataFrame, users: DataFrame) -> DataFrame:
+    """(speaker, taught, corrected, messages): facts taught, corrections made, messages sent; a full outer join of the three counts."""
     name = lambda c: F.lower(F.trim(F.col(c)))
     named = lambda c: F.col(c).isNotNull() & (F.trim(F.col(c)) != "")
     taught = facts.where(named("speaker_id")).groupBy(name("speaker_id").alias("speaker")).agg(F.count("*").alias("taught"))
     fixed = facts.where(named("corrected_by")).groupBy(name("corrected_by").alias("speaker")).agg(F.count("*").alias("corrected"))
     sent = users.where(named("user_name")).groupBy(name("user_name").alias("speaker")).agg(F.coalesce(F.sum("message_count"), F.lit(0)).alias("messages"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    out = taught.join(fixed, "speaker", "full").join(sent, "speaker", "full").select("speaker", zero("taught"), zero("corrected"), zero("messages"))
-    return out.orderBy(F.desc("taught"), F.desc("corrected"), F.desc("messages"), "speaker").limit(top)
+    return taught.join(fixed, "speaker", "full").join(sent, "speaker", "full").select("speaker", zero("taught"), zero("corrected"), zero("messages"))
+
+
+def leaderboard(facts: DataFrame, users: DataFrame, top: int = 20) -> DataFrame:
+    """The most active speakers, by what they taught."""
+    return activity(facts, users).orderBy(F.desc("taught"), F.desc("corrected"), F.desc("messages"), "speaker").limit(top)
 
 
 def contributors(facts: DataFrame) -> DataFrame:

@@ -91,8 +91,7 @@ def copied_properties(s: SparkSession, d: str) -> DataFrame:
     sized = table(s, d, "part").select(star.key("part", "p_partkey").alias("s"), star.low("p_name").alias("name"), star.low("p_brand").alias("brand"))
     by_name = sized.groupBy("name", "brand").agg(F.count("*").alias("parts"))
     lacking = sized.select("s", "name").join(by_name.select("name", "brand"), "name").select("s", F.lit("has").alias("r"), F.col("brand").alias("o"))
-    got = lacking.join(parts.select("s", "r", "o"), ["s", "r", "o"], "left_anti")
-    return got.groupBy("s").agg(F.count("*").alias("copied"), F.min("o").alias("first"))
+    return lacking.distinct().join(parts.select("s", "r", "o"), ["s", "r", "o"], "left_anti")
 
 
 def grandparents(s: SparkSession, d: str) -> DataFrame:
@@ -103,11 +102,10 @@ def grandparents(s: SparkSession, d: str) -> DataFrame:
 
 
 def instances_of(s: SparkSession, d: str) -> DataFrame:
-    """How many parts each category has, by either of the relations that make a member."""
+    """The parts of each category, by either of the relations that make a member."""
     parts = star.parts(s, d).where("r = 'is'")
     back = parts.select(F.col("o").alias("s"), F.lit("has_instance").alias("r"), F.col("s").alias("o"))
-    both = parts.select(F.col("o").alias("category"), F.col("s").alias("member")).unionByName(back.select(F.col("s").alias("category"), F.col("o").alias("member"))).distinct()
-    return both.groupBy("category").agg(F.count("*").alias("members"), F.min("member").alias("first"))
+    return parts.select(F.col("o").alias("category"), F.col("s").alias("member")).unionByName(back.select(F.col("s").alias("category"), F.col("o").alias("member"))).distinct()
 
 
 def bridge_instances(s: SparkSession, d: str) -> DataFrame:
@@ -115,8 +113,7 @@ def bridge_instances(s: SparkSession, d: str) -> DataFrame:
     members = star.parts(s, d).where("r in ('is', 'size', 'color')").select(F.col("o").alias("category"), F.col("s").alias("member")).distinct()
     b = mining.bridges(members).where("relation in ('equivalent_to', 'subset_of')")
     through = b.select(F.col("b").alias("category"), F.col("a").alias("via")).unionByName(b.where("relation = 'equivalent_to'").select(F.col("a").alias("category"), F.col("b").alias("via")))
-    got = members.unionByName(through.join(members.select(F.col("category").alias("via"), "member"), "via").select("category", "member")).distinct()
-    return got.groupBy("category").agg(F.count("*").alias("members"))
+    return members.unionByName(through.join(members.select(F.col("category").alias("via"), "member"), "via").select("category", "member")).distinct()
 
 
 def tenants(s: SparkSession, d: str) -> DataFrame:
@@ -299,13 +296,13 @@ from e join (select instance, subject, k from top where k <= 20) using (instance
     "conjunctive_filter": f"with {_E} select distinct instance, subject from e where relation = 'borrows_from' and exists (select 1 from e x where x.instance = e.instance and x.subject = e.subject and x.relation = 'tickles')",
     "copied_properties": f"""with {star.PARTS_SQL}, z as (select 'part_' || p_partkey as s, lower(replace(trim(p_name), ' ', '_')) as name, lower(replace(trim(p_brand), ' ', '_')) as brand from part),
 l as (select distinct z.s, y.brand as o from z join z y on y.name = z.name)
-select s, count(*) as copied, min(o) as "first" from l where not exists (select 1 from parts p where p.s = l.s and p.r = 'has' and p.o = l.o) group by 1""",
+select s, 'has' as r, o from l where not exists (select 1 from parts p where p.s = l.s and p.r = 'has' and p.o = l.o)""",
     "grandparents": f"with {_UP} select distinct x.g, x.s, 'part_of' as r, y.o, 'medium' as confidence from h x join h y on y.g = x.g and y.s = x.o where y.o <> x.s",
-    "instances_of": f"with {star.PARTS_SQL} select o as category, count(distinct s) as members, min(s) as \"first\" from parts where r = 'is' group by 1",
+    "instances_of": f"with {star.PARTS_SQL} select distinct o as category, s as member from parts where r = 'is'",
     "bridge_instances": f"""with {star.PARTS_SQL}, m as (select distinct o as category, s as member from parts where r in ('is', 'size', 'color')), z as (select category, count(*) as n from m group by 1),
 b as (select x.category as a, y.category as b, count(*) as k from m x join m y on x.member = y.member and x.category <> y.category group by 1, 2),
 v as (select b.b as category, b.a as via from b join z on z.category = b.a where b.k = z.n)
-select category, count(*) as members from (select * from m union select v.category, m.member from v join m on m.category = v.via) group by 1""",
+select category, member from m union select v.category, m.member from v join m on m.category = v.via""",
     "tenant_catalog": """with u as (select instance, count(*) as users, coalesce(sum(message_count), 0)::bigint as messages from user_stats group by 1),
 f as (select instance, count(*) as facts, count(distinct context) as contexts from facts group by 1)
 select f.instance, regexp_replace(regexp_replace(lower(f.instance), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug, facts, contexts, coalesce(users, 0) as users, coalesce(messages, 0) as messages from f left join u using (instance)""",

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kestrelgraph.functions import confidence as C
 from kestrelgraph.operators import context, language, mining, reasoning, star, store
 from kestrelgraph.plans import graph, statements
 from kestrelgraph.runtime import materialize, table
-from kestrelgraph.sources import readers
 
 
 def _turns(s: SparkSession, d: str) -> DataFrame:
@@ -153,7 +153,7 @@ def spoken_levels(s: SparkSession, d: str) -> DataFrame:
     """Events as segments that were heard with a confidence: their value as a share of their kind's highest."""
     e = table(s, d, "events")
     top = e.groupBy("event_type").agg(F.max("value").alias("top"))
-    return e.join(top, "event_type").select("event_type", readers.spoken_level(F.try_divide("value", "top")).alias("level")).groupBy("event_type", "level").agg(F.count("*").alias("n"))
+    return e.join(top, "event_type").select("event_type", C.heard(F.try_divide("value", "top")).alias("level")).groupBy("event_type", "level").agg(F.count("*").alias("n"))
 
 
 QUERIES = {

@@ -51,7 +51,7 @@ def analogies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def property_classes(spark: SparkSession, d: str) -> DataFrame:
-    return mining.set_classes(_properties(spark, d))[1]
+    return mining.set_classes(_properties(spark, d))[2]
 
 
 def structural_similarity(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kestrelgraph.functions import text as T
 from kestrelgraph.operators import insight, mining, star, store
 from kestrelgraph.plans import graph
 from kestrelgraph.runtime import table
@@ -90,6 +91,15 @@ def cofired(s: SparkSession, d: str) -> DataFrame:
     return insight.cofired(parts, active)
 
 
+def node_layout(s: SparkSession, d: str) -> DataFrame:
+    """The picture's first positions: nodes of an instance by their edges on a spiral of equal turns, with colours by name."""
+    e = _edges(s, d)
+    n = e.select("g", F.explode(F.array("s", "o")).alias("node")).groupBy("g", "node").agg(F.count("*").alias("edges"))
+    top = n.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("edges"), "node")) - 1).where("i < 200")
+    angle, radius = F.col("i") * 2.4, 30 * F.sqrt("i")
+    return top.select("g", "node", "i", F.round(radius * F.cos(angle), 3).alias("x"), F.round(radius * F.sin(angle), 3).alias("y"), T.hue(F.col("node")).alias("hue"), T.html_escaped(T.pretty(F.col("node"))).alias("label"))
+
+
 def discovery_stats(s: SparkSession, d: str) -> DataFrame:
     """One row: how many value classes, transitive gaps, lonely entities and missing inverses there are."""
     e = graph._edges(s, d)
@@ -104,7 +114,7 @@ def discovery_stats(s: SparkSession, d: str) -> DataFrame:
 def pattern_families(s: SparkSession, d: str) -> DataFrame:
     """All kinds of patterns in one table (family, g, a, b, support, confidence)."""
     e, h = graph._edges(s, d), graph._hierarchy_edges(s, d)
-    row = lambda rows, family, a, b, support, conf: rows.select(F.lit(family).alias("family"), "g", F.col(a).alias("a"), F.col(b).alias("b"), support.cast("bigint").alias("support"), conf.cast("double").alias("confidence"))
+    row = lambda rows, family, a, b, support, conf: rows.select(F.lit(family).alias("family"), "g", F.col(a).alias("a"), F.col(b).alias("b"), support.cast("bigint").alias("support"), F.round(conf.cast("double"), 6).alias("confidence"))
     one, gap = F.lit(1), F.lit(0.75)
     co = graph.co_occurrence(s, d)
     lonely = mining.lonely(store.degrees(store.edges(table(s, d, "facts")))).withColumnRenamed("instance", "g").withColumn("none", F.lit(None).cast("string"))
@@ -140,6 +150,7 @@ QUERIES = {
     "coactivation_links": coactivation_links,
     "cofired_assemblies": cofired,
     "discovery_stats": discovery_stats,
+    "node_layout": node_layout,
     "pattern_families": pattern_families,
     "visual_bundle": visual_bundle,
 }
@@ -158,7 +169,7 @@ lone as (select g, node, count(*) as edges from (select g, s as node from e unio
 classes as (select g, min(s) as a, max(s) as b, count(*) as n from e group by g, r, o having count(*) >= 2),
 co as (select instance as g, least(subject, object) as a, greatest(subject, object) as b, count(*) as n from facts where subject <> object group by 1, 2, 3 having count(*) >= 3),
 families as (select 'transitive_gap' as family, g, a, c as b, 1::bigint as support, 0.75::double as confidence from gaps union all select 'co_occurrence', g, a, b, n, round(least(0.9, 0.4 + 0.1 * n), 6)::double from co
-  union all select 'lonely', g, node, null, edges, round(1 - 0.3 * edges, 6)::double from lone union all select 'class', g, a, b, n, least(0.8, 0.3 + 0.15 * n)::double from classes)"""
+  union all select 'lonely', g, node, null, edges, round(1 - 0.3 * edges, 6)::double from lone union all select 'class', g, a, b, n, round(least(0.8, 0.3 + 0.15 * n), 6)::double from classes)"""
 SQL = {
     "location_facets": f"with {graph.NAMED}, {_BARE} select distinct g, {_FACET('o')} as facet, s from n where r in ('lives_in', 'located_in', 'found_in', 'part_of') and {_FACET('o')} is not null",
     "context_members": f"with {_W} select distinct m.g, m.o as category, c.o as context, m.s from w m join w c on c.g = m.g and c.s = m.s and m.r = 'is' and c.r in ('habitat_type', 'lives_in', 'has_property', 'can')",
@@ -196,6 +207,11 @@ from p join x on x.g = p.g and x.s = p.s join x y on y.g = p.g and y.s = p.o and
     "cofired_assemblies": f"""with recursive {_W}, x as (select s as a, o as b from w where g = 'packs' and r = 'is'), u as (select a, b from x union select b, a from x), reach as (select a as node, a as other from u union select r.node, u.b from reach r join u on u.a = r.other),
 c as (select node, min(other) as component from reach group by 1), act as (select distinct a as node from x where b = 'mammals'), f as (select component, count(*) as n from act join c using (node) group by 1)
 select c.node, round(least(case when a.node is null then 0 else 1 end + 0.3 * (n - case when a.node is null then 0 else 1 end), 2.0), 6)::double as level from c join f using (component) left join act a on a.node = c.node""",
+    "node_layout": f"""with {graph.NAMED}, {_BARE}, c as (select g, node, count(*) as edges from (select g, s as node from n union all select g, o from n) group by 1, 2),
+i as (select g, node, row_number() over (partition by g order by edges desc, node)::int - 1 as i from c qualify i < 200)
+select g, node, i, round(30 * sqrt(i) * cos(i * 2.4), 3) as x, round(30 * sqrt(i) * sin(i * 2.4), 3) as y,
+  (list_reduce(list_prepend(5381::bigint, list_transform(string_split(node, ''), lambda c: unicode(c)::bigint)), lambda a, b: (a * 33 + b) % 4294967296) % 360)::int as hue,
+  replace(replace(replace(replace(replace(replace(node, '_', ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), , '&#39;') as label from i""",
     "discovery_stats": f"""with {_FAMILIES}, i as (select distinct e.g, e.o as s, d.reverse as r, e.s as o from e join relation_defs d on d.relation = e.r and d.reverse is not null)
 select (select count(*) from classes) as classes, (select count(*) from gaps) as gaps, (select count(*) from lone) as lonely, (select count(*) from i where not exists (select 1 from e b where b.g = i.g and b.s = i.s and b.r = i.r and b.o = i.o)) as inverses""",
     "pattern_families": f"with {_FAMILIES} select * from families",

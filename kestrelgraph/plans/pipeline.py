@@ -50,7 +50,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dates that each version recomputed: new days, and those that late rows reach."""
     text = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
-    return _state(spark, sf_dir).read("bounds").select("version", F.col("entity").alias("cwd"), text("from_day"), text("to_day"))
+    return _state(spark, sf_dir).recomputed().select("version", F.col("entity").alias("cwd"), text("from_day"), text("to_day"))
 
 
 def p5_averages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelgraph.operators import answers, insight, language, questions, reading, star, state, store
-from kestrelgraph.operators import statements as plain
+from kestrelgraph.operators import grammar, insight, language, questions, reading, star, state
 from kestrelgraph.plans import graph, statements
 from kestrelgraph.runtime import table
 
@@ -90,7 +89,14 @@ def collectors(s: SparkSession, d: str) -> DataFrame:
     return rows.select("kind", "g", "topic", F.round(state.priority(F.col("kind"), F.coalesce("n", F.lit(0)), F.lit(0)), 6).alias("priority"))
 
 
+def grammar_facts(s: SparkSession, d: str) -> DataFrame:
+    """Facts of the recursive grammar, by relation."""
+    defs = table(s, d, "relation_defs").select(F.explode(F.array("relation", "base_verb", "past", "present_s", "present_p")).alias("form")).where("form is not null and not contains(form, ' ')")
+    return grammar.read(table(s, d, "documents").where("text is not null"), "doc_id", "text", defs)
+
+
 QUERIES = {
+    "grammar_facts": grammar_facts,
     "encyclopedic": encyclopedic,
     "simplified": simplified,
     "first_verbs": first_verbs,

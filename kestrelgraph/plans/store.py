@@ -123,7 +123,7 @@ QUERIES = {
     "adjacency": lambda s, d: store.adjacency(_facts(s, d)).select("instance", "subject", "relation", F.array_join("objects", "|").alias("objects")),
     "point_lookup": lambda s, d: store.lookup(_facts(s, d), "part_of", instance="tidewell").select("subject", "object"),
     "lookup_with_properties": lookup_with_properties,
-    "temporal_views": lambda s, d: store.views(_facts(s, d), ["currently", "past", "sometimes"]),
+    "temporal_views": lambda s, d: store.views(_facts(s, d), ["currently", "past", "sometimes", "future"]),
     "variant_lookup": variant_lookup,
     "reverse_lookup": lambda s, d: store.reverse(_facts(s, d)),
     "source_type_split": lambda s, d: store.by_source(_facts(s, d)),
@@ -137,6 +137,7 @@ QUERIES = {
     "temporal_summary": temporal_summary,
     "search_nodes": search_nodes,
     "store_stats": lambda s, d: store.stats(_facts(s, d)),
+    "leaderboards": lambda s, d: store.leaderboards(_facts(s, d), table(s, d, "user_stats")),
     "leaderboard": lambda s, d: store.leaderboard(_facts(s, d), table(s, d, "user_stats")),
     "contributors": lambda s, d: store.contributors(_facts(s, d)).select("instance", "node", F.array_join("creators", "|").alias("creators"), F.array_join("correctors", "|").alias("correctors")),
     "degree_centrality": lambda s, d: store.degrees(store.edges(_facts(s, d))),
@@ -172,7 +173,7 @@ SQL = {
     "adjacency": f"with {_E} select instance, subject, relation, string_agg(object, '|' order by object) as objects from e group by 1, 2, 3",
     "point_lookup": f"with {_E} select subject, object from e where relation = 'part_of' and instance = 'tidewell'",
     "lookup_with_properties": "select distinct instance, subject, object, context, coalesce(confidence, 'medium') as confidence, temporal, scope, array_to_string(conditions, '; ') as conditions from facts where relation = 'mends'",
-    "temporal_views": """select distinct v as "view", instance, subject, relation, object from facts, (values ('currently'), ('past'), ('sometimes')) q(v)
+    "temporal_views": """select distinct v as "view", instance, subject, relation, object from facts, (values ('currently'), ('past'), ('sometimes'), ('future')) q(v)
 where temporal = 'always' or temporal = v or (v = 'sometimes' and temporal = 'currently')""",
     "variant_lookup": f"""with {_E},
 asked(id, subject, relation) as (values {", ".join(map(str, ASKED))}),
@@ -228,6 +229,10 @@ r as (select instance, subject, relation, object, max(coalesce(source_type in ('
 f as (select instance, count(*) as facts, coalesce(sum(d), 0)::bigint as inferred from r group by 1),
 w as (select instance, count(distinct lower(trim(speaker_id))) as speakers from facts where speaker_id is not null and trim(speaker_id) <> '' group by 1)
 select f.instance, nodes, facts, inferred, coalesce(speakers, 0) as speakers from f left join n using (instance) left join w using (instance)""",
+    "leaderboards": """with t as (select lower(trim(speaker_id)) as speaker, 'taught' as board, count(*) as value from facts where speaker_id is not null and trim(speaker_id) <> '' group by 1
+union all select lower(trim(corrected_by)), 'corrected', count(*) from facts where corrected_by is not null and trim(corrected_by) <> '' group by 1
+union all select lower(trim(user_name)), 'messages', coalesce(sum(message_count), 0)::bigint from user_stats where user_name is not null and trim(user_name) <> '' group by 1)
+select board, row_number() over (partition by board order by value desc, speaker)::int as place, speaker, value from t where value > 0 qualify place <= 20""",
     "leaderboard": """with t as (select lower(trim(speaker_id)) as speaker, count(*) as taught from facts where speaker_id is not null and trim(speaker_id) <> '' group by 1),
 c as (select lower(trim(corrected_by)) as speaker, count(*) as corrected from facts where corrected_by is not null and trim(corrected_by) <> '' group by 1),
 m as (select lower(trim(user_name)) as speaker, coalesce(sum(message_count), 0)::bigint as messages from user_stats where user_name is not null and trim(user_name) <> '' group by 1)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from kestrelgraph.functions import confidence as C
 from kestrelgraph.operators import statements
 from kestrelgraph.sources import packs
 
@@ -169,14 +170,9 @@ def evolved(rows: DataFrame, schema: StructType) -> DataFrame:
     return rows.select(*own, *rest)
 
 
-def spoken_level(confidence):
-    """The level of a statement that was heard with a confidence."""
-    return F.when(confidence >= 0.9, "high").when(confidence >= 0.7, "medium").otherwise("low")
-
-
 def spoken_facts(segments: DataFrame) -> DataFrame:
     """(transcript_id, at, subject, relation, object, speaker_id, confidence) of transcript segments (transcript_id, idx,
     text, confidence, speaker_id); a segment's confidence gives its facts' level."""
     keyed = segments.withColumn("id", F.struct("transcript_id", "idx", "speaker_id", "confidence"))
     facts = statements.read(keyed, "id", "text")
-    return facts.select("id.transcript_id", F.col("id.idx").alias("at"), "subject", "relation", "object", "id.speaker_id", spoken_level(F.col("id.confidence")).alias("confidence"))
+    return facts.select("id.transcript_id", F.col("id.idx").alias("at"), "subject", "relation", "object", "id.speaker_id", C.heard(F.col("id.confidence")).alias("confidence"))

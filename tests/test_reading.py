@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kestrelgraph.functions import text as T
-from kestrelgraph.operators import context, insight, language, questions, reading
+from kestrelgraph.operators import context, grammar, insight, language, questions, reading
 
 
 def column(spark, values, f, kind="string"):
@@ -123,3 +123,21 @@ def test_resolution_order(spark):
 
 def test_project_names(spark):
     assert column(spark, ["/home/a/b/c", "C:\\x\\y", ""], T.project_name) == ["b/c", "x/y", "unknown"]
+
+
+def test_the_grammar(spark):
+    want = {
+        "The dog chased the cat.": {("dog", "chased", "cat")},
+        "The big owl lives in the old barn.": {("big_owl", "lives_in", "old_barn")},
+        "Birds cannot swim.": {("birds", "cannot", "swim")}, "A gull can open shells.": {("gull", "can", "open_shells")},
+        "The lid of the box is red.": {("lid", "part_of", "box"), ("lid", "is", "red")},
+        "In summer, bears eat berries, nuts and fish.": {("bears", "eat", x) for x in ("berries", "nuts", "fish")},
+        "Wolves hunt deer because deer are slow.": {("wolves", "hunt", "deer"), ("deer", "is", "slow")},
+        "Dogs have tails but cats have claws and whiskers.": {("dogs", "has", "tails"), ("cats", "has", "claws"), ("cats", "has", "whiskers")},
+        "Whales are not fish.": {("whales", "is_not", "fish")}, "Hello.": set(), "": set(), ", ; of": set(),
+    }
+    verbs = frozenset({"chased", "hunt"})
+    assert {k: set(grammar.facts_of(k, verbs)) for k in want} == want
+    rows = spark.createDataFrame([(1, "Whales are not fish. Birds cannot swim."), (2, None), (3, "x " * 5000)], "k bigint, t string")
+    forms = spark.createDataFrame([("Hunt",), (None,)], "form string")
+    assert {tuple(r) for r in grammar.read(rows, "k", "t", forms).collect()} == {(1, 0, "whales", "is_not", "fish"), (1, 1, "birds", "cannot", "swim")}
