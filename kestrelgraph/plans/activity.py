@@ -98,6 +98,15 @@ def _frames(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return frames.slots(rows), wide
 
 
+def frame_write_back(s: SparkSession, d: str) -> DataFrame:
+    """Similar nations, as facts: by the segments of their customers with whether these are in debt, and by their region."""
+    home = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    debt = F.when(F.col("c_acctbal") < 0, "has_property").otherwise("has")
+    facts = home.select(star.low("n_name").alias("s"), debt.alias("r"), star.low("c_mktsegment").alias("o"), F.lit("high").alias("confidence")).distinct()
+    regions = home.select(F.concat(F.lit("region_"), "n_regionkey").alias("category"), star.low("n_name").alias("member")).distinct()
+    return frames.written_back(frames.similarity(frames.slots(facts), regions), facts)
+
+
 def graph_payload(s: SparkSession, d: str) -> DataFrame:
     """The nodes of the graph view as JSON: label, kind, degree."""
     n = store.degrees(store.edges(table(s, d, "facts")))
@@ -154,7 +163,7 @@ QUERIES = {
     "frame_slots": lambda s, d: _frames(s, d)[0],
     "frame_similarity": lambda s, d: frames.similarity(_frames(s, d)[0]),
     "frame_category_similarity": lambda s, d: frames.similarity(*_frames(s, d)),
-    "frame_write_back": lambda s, d: frames.written_back(frames.similarity(*_frames(s, d)), star.parts(s, d)),
+    "frame_write_back": frame_write_back,
     "frame_text": lambda s, d: frames.described(_frames(s, d)[0]),
     "attribute_bridges": lambda s, d: frames.bridges(_frames(s, d)[0]),
     "prototypes": lambda s, d: frames.prototypes(*reversed(_frames(s, d))),
@@ -249,7 +258,11 @@ select *, row_number() over (partition by instance, relation order by n desc, su
     "frame_slots": f"with {_FRAMES} select * from slots",
     "frame_similarity": f"with {_FRAMES}, {_SIMILAR} select * from similar_",
     "frame_category_similarity": f"with {_FRAMES}, {_SIMILAR}, {_BLENDED} select * from blended",
-    "frame_write_back": f"with {_FRAMES}, {_SIMILAR}, {_BLENDED} select a as s, 'similar_to' as r, b as o, 'medium' as confidence from blended where similarity >= 0.7 union all select b, 'similar_to', a, 'medium' from blended where similarity >= 0.7",
+    "frame_write_back": """with h as (select distinct lower(replace(trim(n_name), ' ', '_')) as s, case when c_acctbal < 0 then 'traits' else 'body_parts' end as a, lower(replace(trim(c_mktsegment), ' ', '_')) as v, n_regionkey as k from customer join nation on c_nationkey = n_nationkey),
+n as (select s, a, count(*) as n from h group by 1, 2), c as (select x.s as x, y.s as y, x.a, count(*) as k from h x join h y on x.a = y.a and x.v = y.v and x.s < y.s group by 1, 2, 3),
+p as (select distinct x, y from c), t as (select p.x, p.y, sum(coalesce(c.k, 0))::double / sum(u.n + v.n - coalesce(c.k, 0)) as z from p join n u on u.s = p.x join n v on v.s = p.y and v.a = u.a left join c on c.x = p.x and c.y = p.y and c.a = u.a group by 1, 2),
+r as (select distinct s, k from h), w as (select t.x, t.y from t join r a on a.s = t.x join r b on b.s = t.y where round(0.7 * z + 0.3 * case when a.k = b.k then 1 else 0 end, 6) >= 0.7)
+select x as s, 'similar_to' as r, y as o, 'medium' as confidence from w union all select y, 'similar_to', x, 'medium' from w""",
     "frame_text": f"""with {_FRAMES}, x as (select concept, attribute, string_agg(value || case when confirmed then '' else '?' end, ', ' order by not confirmed, value || case when confirmed then '' else '?' end) as vs from slots group by 1, 2)
 select concept, string_agg(attribute || ': ' || vs, '; ' order by attribute || ': ' || vs) as text from x group by 1""",
     "attribute_bridges": f"with {_FRAMES}, {_SHARED} select a, b, attribute, cc as confirmed, pp as potential, cp as cross_tier, round(cc + 0.5 * pp + 0.3 * cp, 6)::double as strength from shared",

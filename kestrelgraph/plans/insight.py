@@ -211,7 +211,7 @@ select c.node, round(least(case when a.node is null then 0 else 1 end + 0.3 * (n
 i as (select g, node, row_number() over (partition by g order by edges desc, node)::int - 1 as i from c qualify i < 200)
 select g, node, i, round(30 * sqrt(i) * cos(i * 2.4), 3) as x, round(30 * sqrt(i) * sin(i * 2.4), 3) as y,
   (list_reduce(list_prepend(5381::bigint, list_transform(string_split(node, ''), lambda c: unicode(c)::bigint)), lambda a, b: (a * 33 + b) % 4294967296) % 360)::int as hue,
-  replace(replace(replace(replace(replace(replace(node, '_', ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), , '&#39;') as label from i""",
+  replace(replace(replace(replace(replace(replace(node, '_', ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') as label from i""",
     "discovery_stats": f"""with {_FAMILIES}, i as (select distinct e.g, e.o as s, d.reverse as r, e.s as o from e join relation_defs d on d.relation = e.r and d.reverse is not null)
 select (select count(*) from classes) as classes, (select count(*) from gaps) as gaps, (select count(*) from lone) as lonely, (select count(*) from i where not exists (select 1 from e b where b.g = i.g and b.s = i.s and b.r = i.r and b.o = i.o)) as inverses""",
     "pattern_families": f"with {_FAMILIES} select * from families",

@@ -29,10 +29,9 @@ def variant_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _facts(spark, sf_dir)
-    known, cites = store.edges(facts).alias("k"), store.premise_edges(facts).alias("c")
-    on = [F.col(f"c.{a}") == F.col(f"k.{b}") for a, b in (("instance", "instance"), ("ps", "subject"), ("pr", "relation"), ("po", "object"))]
-    return cites.join(known, on).groupBy(*[F.col(f"k.{c}") for c in store.KEY]).agg(F.count("*").alias("dependents"))
+    """How many facts cite each fact as a premise, whether it is still stored or not."""
+    cites = store.premise_edges(_facts(spark, sf_dir))
+    return cites.groupBy("instance", F.col("ps").alias("subject"), F.col("pr").alias("relation"), F.col("po").alias("object")).agg(F.count("*").alias("dependents"))
 
 
 def cascade_retraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,8 +189,8 @@ select id, instance, subject, relation, object from hits where place = 1""",
     "source_type_split": "select instance, source_type, count(*) as facts, count(*) filter (source_type in ('inference', 'inheritance')) as inferred from facts group by 1, 2",
     "confidence_get": f"""with b as (select instance, subject, relation, object, max({_RANK}) as k from facts group by 1, 2, 3, 4)
 select instance, subject, relation, object, case k when 3 then 'high' when 2 then 'medium' else 'low' end as confidence, case k when 3 then 1.0 when 2 then 0.7 else 0.4 end::double as weight from b""",
-    "dependents": f"""with {_E}, c as (select distinct instance, subject, relation, object, unnest(premises) as p from facts)
-select e.instance, e.subject, e.relation, e.object, count(*) as dependents from c join e on c.instance = e.instance and c.p.subject = e.subject and c.p.relation = e.relation and c.p.object = e.object group by 1, 2, 3, 4""",
+    "dependents": """with c as (select distinct instance, subject, relation, object, unnest(premises) as p from facts)
+select instance, p.subject as subject, p.relation as relation, p.object as object, count(*) as dependents from c group by 1, 2, 3, 4""",
     "cascade_retraction": f"""with recursive c as (select distinct instance, subject as s, relation as r, object as o, unnest(premises) as p from facts),
 gone as (
   select distinct instance, subject as s, relation as r, object as o, 0 as step from facts where rule_id like '{RETRACTED_RULE}'
