@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrelgraph.operators import reasoning
+from kestrelgraph.runtime import materialize
 
 MOST = 5
 
@@ -111,6 +112,7 @@ def is_verdicts(edges: DataFrame, asked: DataFrame, depth: int = 5) -> DataFrame
     category; an own property; a possibility; a denial; a subject about which something is known has no other (closed
     world); anybody else is unknown. via is the alphabetically first category or property that decided.
     """
+    edges = materialize(edges.where("r in ('is', 'has_property', 'can_be', 'is_not')").select("g", "s", "r", "o", "confidence"))
     q = asked.select("id", F.col("g").alias("qg"), F.col("s").alias("qs"), F.col("o").alias("qo")).distinct()
     own = lambda r: edges.where(F.col("r") == r).select("g", "s", "o").distinct()
 

@@ -41,6 +41,8 @@ ENCYCLOPEDIC = [
     (r"^(.+?) (?:is|are) (.+?),? (?:while|whereas) (.+?) (?:is|are) (.+)$", [("is", 1, 2), ("is", 3, 4)]),
     (r"^(.+?) (?:has|have) (.+?),? (?:while|whereas) (.+?) (?:has|have) (.+)$", [("has", 1, 2), ("has", 3, 4)]),
 ]
+#: What every sentence has that fits an encyclopedic pattern: one cheap test before all of them.
+CUES = r"\b(?:found|communicates?|roles?|ranges?|ranging|shares?|for example|differs?|classified|divided|like|such as|known|admired|famous|noted|adapted|birth|lays?|breathes?|most|many|some|all|uses?|vary|varies|depends?|whose|consists?|made up|while|whereas)\b"
 SPACES = r"[\s\p{Z}\x{0b}\x{85}]+"
 SPLIT = r", and |, | and "
 #: What stands in front of a sentence's main clause and is set aside.
@@ -83,7 +85,7 @@ def encyclopedic(sentence: Column) -> Column:
         part = lambda g, p=pattern: F.lit(g) if isinstance(g, str) else F.regexp_extract(t, p, g)
         each = [_each(part(s), relation, part(o)) for relation, s, o in facts]
         out.append(F.when(F.rlike(t, F.lit(pattern)), F.concat(*each)))
-    return F.coalesce(*out, empty)
+    return F.when(F.rlike(t, F.lit(CUES)), F.coalesce(*out, empty)).otherwise(empty)
 
 
 def simplified(sentence: Column) -> Column:
@@ -116,8 +118,10 @@ def pipeline(texts: DataFrame, key: str, text: str) -> DataFrame:
     rows = texts.select(F.col(key).alias(key), F.posexplode(language.sentences(F.col(text))).alias("at", "s"))
     parts = rows.select(key, "at", F.posexplode(simplified(F.col("s"))).alias("part", "x"))
     x = F.col("x")
+    t = statements.cleaned(x)
+    plain = F.when(F.rlike(t, F.lit(statements.LETTERS)) & F.rlike(t, F.lit(statements.CUES)), statements.facts_of(x)).otherwise(F.array().cast("array<struct<subject:string,relation:string,object:string>>"))
     # behind a generator, so that each reader runs once for a part
-    each = F.explode_outer(F.array(F.struct(encyclopedic(x).alias("e"), statements.facts_of(x).alias("p"), any_statement(x).alias("a")))).alias("z")
+    each = F.explode_outer(F.array(F.struct(encyclopedic(x).alias("e"), plain.alias("p"), any_statement(x).alias("a")))).alias("z")
     read = parts.select(key, "at", "part", each).select(key, "at", "part", "z.*")
     found = F.when(F.size("e") > 0, F.lit("encyclopedic")).when(F.size("p") > 0, "plain").when(F.col("a").isNotNull(), "first verb")
     facts = F.when(F.size("e") > 0, F.col("e")).when(F.size("p") > 0, F.col("p")).otherwise(F.array("a"))
