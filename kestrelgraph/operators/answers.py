@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrelgraph.functions import text as T
+from kestrelgraph.runtime import materialize
 
 YES, NO, UNKNOWN = "yes", "no", "unknown"
+#: Letters of a name's beginning, and bits of a bitmap (512 KB).
+LETTERS, BITS = 8, 1 << 22
 
 
 def _spelled(asked: DataFrame, forms: DataFrame) -> DataFrame:
@@ -24,28 +27,63 @@ def forward(edges: DataFrame, asked: DataFrame, forms: DataFrame) -> DataFrame:
     return q.join(e, (F.col("qi") == F.col("instance")) & (F.col("qs") == F.col("subject")) & (F.col("meant") == F.col("er"))).select("id", F.col("object").alias("answer")).distinct()
 
 
-def _grams(name: Column) -> Column:
-    """All stretches of three letters of a name; a shorter name is its own."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: F.substring(name, i, F.lit(3))))
+def _cut(name: str, n: str) -> Column:
+    """All stretches of n letters of a name that has at least as many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - F.col(n) + 1), lambda i: F.substring(F.col(name), i, F.col(n))))
 
 
-def reverse(edges: DataFrame, asked: DataFrame, forms: DataFrame) -> DataFrame:
-    """(id, answer): who has the relation to a thing that is, contains or is part of the name asked for.
+def _place(*parts: str) -> Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(BITS))
+
+
+def _marked(keys: DataFrame) -> DataFrame:
+    """One row with a bitmap of fixed size of the places k that are among the keys."""
+    words = keys.groupBy((F.col("k") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("bits"))
+    all_ = keys.sparkSession.range(0, BITS // 64, 1, 1).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    return all_.agg(F.array_sort(F.collect_list(F.struct("id", "bits"))).alias("words")).select(F.col("words.bits").alias("words"))
+
 
-    One name contains another only if it contains its first three letters: these are joined with all three-letter
-    stretches of the other side, within the instance and relation, and what they bring together is then compared. Names
-    of one or two letters are compared with all names of the relation.
+def _among(rows: DataFrame, marks: DataFrame, *parts: str) -> DataFrame:
+    """The rows whose place is marked: all that have a partner, and few others."""
+    k = _place(*parts)
+    return rows.join(F.broadcast(marks), F.getbit(F.get("words", (k / 64).cast("int")), (k % 64).cast("int")) == 1).drop("words")
+
+
+def reverse(edges: DataFrame, asked: DataFrame, forms: DataFrame) -> DataFrame:
+    """(id, answer): who has the relation to a thing that is, contains or is part of the name asked for. Repeated edges
+    count once; an empty name is part of every other.
+
+    Names are compared once for each instance and relation, not for each edge and question. One name contains another
+    only if one of its stretches is the other's beginning, of eight letters or of all that it has: stretches of the
+    lengths that occur are joined with beginnings, and what they bring together is then compared. Before they are
+    shuffled, a bitmap of fixed size drops what has no partner. Only questions that several things answer can give an
+    answer twice.
     """
-    q = _spelled(asked.select("id", F.col("instance").alias("qi"), "relation", F.col("object").alias("qo")), forms)
+    q = materialize(_spelled(asked.select("id", F.col("instance").alias("qi"), "relation", F.col("object").alias("qo")), forms).select("id", "qi", "meant", "qo").distinct())
     e = edges.select("instance", "subject", F.col("relation").alias("er"), "object")
     same = (F.col("qi") == F.col("instance")) & (F.col("meant") == F.col("er"))
-    head = lambda c: F.substring(F.col(c), 1, 3)
-    holds = q.withColumn("k", head("qo")).join(e.withColumn("x", F.explode(_grams(F.col("object")))), same & (F.col("k") == F.col("x"))).where(F.contains("object", F.col("qo")))
-    held = q.withColumn("x", F.explode(_grams(F.col("qo")))).join(e.withColumn("k", head("object")), same & (F.col("k") == F.col("x"))).where(F.contains("qo", F.col("object")))
-    short = q.where(F.length("qo") < 3).join(e, same).where(F.contains("object", F.col("qo")))
-    brief = q.join(e.where(F.length("object") < 3), same).where(F.contains("qo", F.col("object")))
-    out = lambda rows: rows.select("id", F.col("subject").alias("answer"))
-    return out(holds).unionByName(out(held)).unionByName(out(short)).unionByName(out(brief)).distinct()
+    begun = lambda rows, c: rows.withColumn("n", F.least(F.length(c), F.lit(LETTERS))).withColumn("x", F.substring(F.col(c), F.lit(1), F.col("n")))
+    alike = same & (F.col("n") == F.col("yn")) & (F.col("x") == F.col("yx"))
+    as_y = lambda rows: rows.withColumnsRenamed({"n": "yn", "x": "yx"})
+    wanted, things = q.select("qi", "meant", "qo").distinct(), e.select("instance", "er", "object").distinct()
+
+    heads = begun(wanted, "qo")
+    marks = _marked(heads.select(F.explode(F.array(_place("qi", "meant", "n"), _place("qi", "meant", "n", "x"))).alias("k")))
+    sized = _among(things.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(LETTERS)))).where(F.col("n") <= F.length("object")), marks, "instance", "er", "n")
+    pieces = _among(sized.withColumn("x", F.explode(_cut("object", "n"))), marks, "instance", "er", "n", "x")
+    holds = pieces.join(as_y(heads), alike).where(F.contains("object", F.col("qo")))
+
+    lengths = things.select("instance", "er", F.least(F.length("object"), F.lit(LETTERS)).alias("n")).distinct()
+    parts = materialize(wanted.join(lengths, same).where(F.col("n") <= F.length("qo")).select("qi", "meant", "qo", "n", F.explode(_cut("qo", "n")).alias("x")))
+    first = _among(begun(things, "object"), _marked(parts.select(_place("qi", "meant", "n", "x").alias("k"))), "instance", "er", "n", "x")
+    held = first.join(as_y(parts), alike).where(F.contains("qo", F.col("object")))
+
+    hits = holds.select("qi", "meant", "qo", "object").unionByName(held.select("qi", "meant", "qo", "object")).distinct()
+    rows = q.join(hits, ["qi", "meant", "qo"]).select("id", "qi", "meant", F.col("object").alias("thing"))
+    rows = materialize(rows.withColumn("alone", F.count("*").over(Window.partitionBy("id")) == 1))
+    who = e.repartition("instance", "er", "object").distinct()
+    out = lambda some: rows.where(some).join(who, same & (F.col("thing") == F.col("object"))).select("id", F.col("subject").alias("answer"))
+    return out(F.col("alone")).unionByName(out(~F.col("alone")).distinct())
 
 
 def verdicts(edges: DataFrame, asked: DataFrame, forms: DataFrame) -> DataFrame:

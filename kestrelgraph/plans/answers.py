@@ -20,6 +20,11 @@ def _e(s: SparkSession, d: str) -> DataFrame:
     return store.edges(table(s, d, "facts"))
 
 
+def _stated(s: SparkSession, d: str) -> DataFrame:
+    """The edges as they are stated, with their repetitions."""
+    return table(s, d, "facts").select(*store.KEY).where(" and ".join(f"{c} is not null" for c in store.KEY))
+
+
 def _asked(s: SparkSession, d: str) -> DataFrame:
     """A question about every fact whose id is divisible by 100, by the base verb of its relation: a query set, answered
     from all facts of its instance."""
@@ -219,7 +224,7 @@ QUERIES = {
     "topic_changes": topic_changes,
     "gated_rules": gated_rules,
     "answers_forward": lambda s, d: answers.forward(_e(s, d), _asked(s, d), _forms(s, d)),
-    "answers_reverse": lambda s, d: answers.reverse(_e(s, d), _asked(s, d), _forms(s, d)),
+    "answers_reverse": lambda s, d: answers.reverse(_stated(s, d), _asked(s, d), _forms(s, d)),
     "answers_yesno": yesno,
     "composed_answers": lambda s, d: answers.sentences(_e(s, d), table(s, d, "relation_defs").selectExpr("relation", "present_s as verb")),
     "corrected_facts": corrected_facts,

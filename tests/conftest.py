@@ -33,3 +33,22 @@ def parquet(spark, tmp_path):
         return spark.read.schema(schema).parquet(path)
 
     return write
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Rows that the stages of a call wrote to shuffles."""
+
+    def of(f):
+        store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+
+        def total():
+            sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+            stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+            return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+        before = total()
+        f()
+        return sum(n for k, n in total().items() if k not in before)
+
+    return of

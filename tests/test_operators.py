@@ -242,6 +242,28 @@ def test_reverse_answers_match_brute_force(spark):
     assert {tuple(r) for r in answers.reverse(e, q, forms).collect()} == want
 
 
+def test_reverse_answers_of_names_of_any_length_and_repeated_edges(spark):
+    """Names around and beyond the length of a beginning, empty ones too; edges that are stated twice."""
+    base = "abcdefghijklmnop"
+    names = ["", "é", "ab", *(base[i:j] for i in range(0, 9, 4) for j in range(i + 3, 17, 3)), "abcdefgh" * 2, "xabcdefghx", "ÄÖÜäöüßéèñ", "öüß"]
+    facts = [("i", f"s{k % 7}", "r", n) for k, n in enumerate(names)] * 2
+    e = spark.createDataFrame(facts, "instance string, subject string, relation string, object string")
+    q = spark.createDataFrame([(n or "none", "i", "r", n) for n in names], "id string, instance string, relation string, object string")
+    got = [tuple(r) for r in answers.reverse(e, q, spark.createDataFrame([], "relation string, form string")).collect()]
+    assert sorted(got) == sorted({(n or "none", s) for n in names for _, s, _, o in facts if n in o or o in n})
+
+
+def test_reverse_answers_shuffle_only_stretches_with_a_partner(spark, shuffled):
+    rng = random.Random(3)
+    facts = [("i", f"s{k}", "r", "".join(rng.choice("abcdefghijkl") for _ in range(20))) for k in range(2000)]
+    e = spark.createDataFrame(facts, "instance string, subject string, relation string, object string")
+    q = spark.createDataFrame([("1", "i", "r", facts[5][3][3:15])], "id string, instance string, relation string, object string")
+    forms = spark.createDataFrame([], "relation string, form string")
+    got = []
+    assert shuffled(lambda: got.extend(answers.reverse(e, q, forms).collect())) < 16_000
+    assert [tuple(r) for r in got] == [("1", "s5")]
+
+
 def test_packs(spark):
     from kestrelgraph.sources import packs
 
