@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kestrelgraph.operators import mining
 from kestrelgraph.operators.reasoning import Rule
+from kestrelgraph.runtime import materialize
 
 # What a place's name says about who lives there, in order; words of states; names that need no cause.
 FACETS = {
@@ -117,6 +118,33 @@ def analogy_facts(items: DataFrame, share: float = 0.5, least: int = 1) -> DataF
     return missing.join(m, F.col("g").eqNullSafe(F.col("mg")) & (F.col("a") == F.col("class"))).select("g", "holder", "value", "support")
 
 
+def supported_facts(items: DataFrame, least: int = 2, support: int = 2) -> DataFrame:
+    """(g, holder, value, support): what at least `support` holders with `least` values in common with a holder have and it
+    lacks. Both are at least 2; items (g, holder, value) may repeat.
+
+    A value that one holder has alone neither joins holders nor is offered twice, and a holder with fewer than `least`
+    others is similar to none: such rows go first. The rest is compared under numbers for the names; a number is the
+    least row number of its name in a stored table, so two names never share one.
+    """
+    if least < 2 or support < 2:
+        raise ValueError("least and support are at least 2")
+    numbered = lambda rows, n, *by: rows.withColumn("__row", F.monotonically_increasing_id()).select("*", F.min("__row").over(Window.partitionBy(*by)).alias(n), F.count("*").over(Window.partitionBy(*by)).alias("__n"))
+    rows = numbered(items.repartition("g", "value").distinct(), "v", "g", "value").where("__n >= 2")
+    shared = materialize(rows.select("g", "holder", "value", "v"))
+    kept = materialize(numbered(shared.select("g", "holder", "v"), "h", "g", "holder").where(F.col("__n") >= least).select("g", "holder", "v", "h"))
+
+    classes, values, members = mining.set_classes(kept.select(F.lit(0).alias("g"), F.col("h").alias("holder"), F.col("v").alias("value")))
+    one = materialize(values.select(F.col("class").alias("h"), "value"))
+    pairs = materialize(mining.shared_pairs(one.select(F.lit(0).alias("g"), F.col("h").alias("holder"), "value"), least).select("a", "b"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    weighed = both.join(classes.select(F.col("class").alias("b"), "members"), "b")
+    offers = weighed.join(one.select(F.col("h").alias("b"), "value"), "b").groupBy("a", "value").agg(F.sum("members").alias("support"))
+    lacked = offers.where(F.col("support") >= support).join(one.select(F.col("h").alias("a"), "value"), ["a", "value"], "left_anti")
+    who = kept.select("h", "g", "holder").distinct().join(members.select(F.col("holder").alias("h"), F.col("class").alias("a")), "h")
+    named = shared.groupBy(F.col("v").alias("value")).agg(F.first("value").alias("name"))
+    return lacked.join(named, "value").join(who, "a").select("g", "holder", F.col("name").alias("value"), "support")
+
+
 def sibling_analogies(categories: DataFrame, items: DataFrame, most: int = 20) -> DataFrame:
     """(g, entity, suggested, like, category, shared): "like is to category as entity is to what?": entity shares two or
     more values with like, lacks its category, and gets another category that the category's other members have.

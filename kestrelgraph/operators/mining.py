@@ -26,10 +26,13 @@ def shared_pairs(items: DataFrame, least: int, share: float = 0.0) -> DataFrame:
     x = lead.select("g", F.col("holder").alias("a"), F.col("value").alias("v"), F.col("n").alias("xn"))
     y = lead.select(F.col("g").alias("yg"), F.col("holder").alias("b"), F.col("value").alias("yv"), F.col("n").alias("yn"))
     sized = F.least("xn", "yn") >= F.greatest("xn", "yn") * share - 1e-9
-    pairs = x.join(y, F.col("g").eqNullSafe(F.col("yg")) & (F.col("v") == F.col("yv")) & (F.col("a") < F.col("b")) & sized).select("g", "a", "b").distinct()
-    p = ranked.select(F.col("g").alias("pg"), F.col("holder").alias("pa"), F.col("value").alias("pv"), F.col("n").alias("na"))
-    q = ranked.select(F.col("g").alias("qg"), F.col("holder").alias("qb"), F.col("value").alias("qv"), F.col("n").alias("nb"))
-    both = pairs.join(p, F.col("g").eqNullSafe(F.col("pg")) & (F.col("a") == F.col("pa"))).join(q, F.col("g").eqNullSafe(F.col("qg")) & (F.col("b") == F.col("qb")) & (F.col("pv") == F.col("qv")))
+    pairs = x.join(y, F.col("g").eqNullSafe(F.col("yg")) & (F.col("v") == F.col("yv")) & (F.col("a") < F.col("b")) & sized).select("g", "a", "b", F.col("xn").alias("na"), F.col("yn").alias("nb")).distinct()
+    # the values of the smaller holder are looked up in the larger one
+    few = F.col("na") <= F.col("nb")
+    turned = pairs.select("*", F.when(few, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(few, F.col("b")).otherwise(F.col("a")).alias("high"))
+    p = ranked.select(F.col("g").alias("pg"), F.col("holder").alias("ph"), F.col("value").alias("pv"))
+    q = ranked.select(F.col("g").alias("qg"), F.col("holder").alias("qh"), F.col("value").alias("qv"))
+    both = turned.join(p, F.col("g").eqNullSafe(F.col("pg")) & (F.col("low") == F.col("ph"))).join(q, F.col("g").eqNullSafe(F.col("qg")) & (F.col("high") == F.col("qh")) & (F.col("pv") == F.col("qv")))
     out = both.groupBy("g", "a", "b").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb")).where(F.col("shared") >= least)
     return out.where(jaccard(out) >= share - 1e-9) if share else out
 

@@ -60,7 +60,7 @@ def curiosity(s: SparkSession, d: str) -> DataFrame:
 
 def hypotheses(s: SparkSession, d: str) -> DataFrame:
     """Properties that at least two entities similar to a topic have and the topic lacks."""
-    n = insight.analogy_facts(_properties(s, d), 0.0, 2).where("support >= 2")
+    n = insight.supported_facts(_stated(s, d).select(F.col("instance").alias("g"), F.col("subject").alias("holder"), F.concat_ws("|", "relation", "object").alias("value")))
     return n.select("g", "holder", "value", "support", F.round(F.least(F.lit(0.9), 0.2 * F.col("support")), 6).alias("confidence"))
 
 

@@ -47,3 +47,38 @@ def test_retraction_follows_a_chain_of_any_length(spark):
     facts = spark.createDataFrame([("i", f"f{k}", "r", "o", premise(k)) for k in range(n)], "instance string, subject string, relation string, object string, premises array<struct<subject:string,relation:string,object:string>>").coalesce(1)
     seeds = spark.createDataFrame([("i", "f0", "r", "o")], "instance string, s string, r string, o string")
     assert {(r.s, r.step) for r in store.retract(facts, seeds).collect()} == {(f"f{k}", k) for k in range(n)}
+
+
+def test_hypotheses_match_brute_force(spark):
+    import random
+
+    from kestrelgraph.operators import insight
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ij"), f"h{rng.randrange(25)}", rng.choice(["hub", *"abcdefghk"])) for _ in range(260)]
+    held = {}
+    for g, h, v in rows:
+        held.setdefault((g, h), set()).add(v)
+    want = {}
+    for g, a in held:
+        near = [held[k] for k in held if k[0] == g and k[1] != a and len(held[k] & held[g, a]) >= 2]
+        for v in set().union(*near) - held[g, a]:
+            if (n := sum(v in x for x in near)) >= 2:
+                want[g, a, v] = n
+    got = insight.supported_facts(spark.createDataFrame(rows, "g string, holder string, value string")).collect()
+    assert {(r.g, r.holder, r.value): r.support for r in got} == want and len(got) == len(want) > 0
+
+
+def test_hypotheses_leave_out_what_joins_nobody(spark, shuffled):
+    """Of 3,000 subjects with two values of their own, ten share two more; rows that join nobody are shuffled once."""
+    from kestrelgraph.plans import answers as plans
+
+    rows = [("i", f"s{k:04}", "r", f"o{k}_{j}") for k in range(3000) for j in range(2)]
+    rows += [("i", f"s{k:04}", "r", v) for k in range(10) for v in ("x", "y")] + [("i", f"s{k:04}", "r", "z") for k in range(2, 5)]
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:
+        spark.createDataFrame(rows, "instance string, subject string, relation string, object string").write.parquet(f"{d}/facts.parquet")
+        got = []
+        assert shuffled(lambda: got.extend(plans.hypotheses(spark, d).collect())) < 2 * len(rows)
+    assert {(r.holder, r.value, r.support) for r in got} == {(f"s{k:04}", "r|z", 3) for k in (0, 1, *range(5, 10))}
