@@ -138,11 +138,11 @@ def supported_facts(items: DataFrame, least: int = 2, support: int = 2) -> DataF
     pairs = materialize(mining.shared_pairs(one.select(F.lit(0).alias("g"), F.col("h").alias("holder"), "value"), least).select("a", "b"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     weighed = both.join(classes.select(F.col("class").alias("b"), "members"), "b")
-    offers = weighed.join(one.select(F.col("h").alias("b"), "value"), "b").groupBy("a", "value").agg(F.sum("members").alias("support"))
-    lacked = offers.where(F.col("support") >= support).join(one.select(F.col("h").alias("a"), "value"), ["a", "value"], "left_anti")
+    offers = weighed.join(one.select(F.col("h").alias("b"), "value").hint("merge"), "b").groupBy("a", "value").agg(F.sum("members").alias("support"))
+    lacked = offers.where(F.col("support") >= support).join(one.select(F.col("h").alias("a"), "value").hint("merge"), ["a", "value"], "left_anti")
     who = kept.select("h", "g", "holder").distinct().join(members.select(F.col("holder").alias("h"), F.col("class").alias("a")), "h")
     named = shared.groupBy(F.col("v").alias("value")).agg(F.first("value").alias("name"))
-    return lacked.join(named, "value").join(who, "a").select("g", "holder", F.col("name").alias("value"), "support")
+    return lacked.join(named.hint("merge"), "value").join(who.hint("merge"), "a").select("g", "holder", F.col("name").alias("value"), "support")
 
 
 def sibling_analogies(categories: DataFrame, items: DataFrame, most: int = 20) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from kestrelgraph.runtime import materialize
 
+#: Words of 64 bits in which a holder's values are marked.
+WORDS = 8
+
 
 def shared_pairs(items: DataFrame, least: int, share: float = 0.0) -> DataFrame:
     """(g, a, b, shared, na, nb): the pairs a < b of holders in a group g that share at least `least` values, and with
@@ -15,24 +18,35 @@ def shared_pairs(items: DataFrame, least: int, share: float = 0.0) -> DataFrame:
     items is (g, holder, value), distinct. Two holders with `least` values in common have one in common even after
     each holder's most frequent least - 1 values are set aside, so only the others generate candidates: a value that
     everybody has pairs nobody by itself. A similarity demands at least that share of the larger holder's values in
-    common, which sets more of them aside. Candidates are counted over all their values, so no pair is lost.
+    common, which sets more of them aside. What two holders can still share after the first value in common, and the bits
+    by which their hashed sets differ, leave out most of the rest inside the join. Candidates are counted over all their
+    values, so no pair is lost.
     """
     freq = items.groupBy(F.col("g").alias("fg"), F.col("value").alias("fv")).agg(F.count("*").alias("f"))
     sized = items.join(freq, F.col("g").eqNullSafe(F.col("fg")) & (F.col("value") == F.col("fv")))
     w = Window.partitionBy("g", "holder")
-    ranked = sized.select("g", "holder", "value", F.row_number().over(w.orderBy("f", "value")).alias("k"), F.count("*").over(w).alias("n"))
+    bit = F.pmod(F.xxhash64("value"), F.lit(64 * WORDS))
+    words = [F.bit_or(F.when((bit / 64).cast("int") == i, F.expr(f"shiftleft(1L, cast(pmod(xxhash64(value), {64 * WORDS}) % 64 as int))")).otherwise(F.lit(0))).over(w).alias(f"w{i}") for i in range(WORDS)]
+    ranked = materialize(sized.select("g", "holder", "value", F.row_number().over(w.orderBy("f", "value")).alias("k"), F.count("*").over(w).alias("n"), *words))
     need = F.greatest(F.lit(least), F.ceil(share * F.col("n") - 1e-9))
     lead = ranked.where(F.col("k") <= F.col("n") - need + 1)
-    x = lead.select("g", F.col("holder").alias("a"), F.col("value").alias("v"), F.col("n").alias("xn"))
-    y = lead.select(F.col("g").alias("yg"), F.col("holder").alias("b"), F.col("value").alias("yv"), F.col("n").alias("yn"))
+    side = lambda p, g, h, v: lead.select(F.col("g").alias(g), F.col("holder").alias(h), F.col("value").alias(v), F.col("n").alias(f"{p}n"), F.col("k").alias(f"{p}k"), *[F.col(f"w{i}").alias(f"{p}w{i}") for i in range(WORDS)])
+    x, y = side("x", "g", "a", "v"), side("y", "yg", "b", "yv")
     sized = F.least("xn", "yn") >= F.greatest("xn", "yn") * share - 1e-9
-    pairs = x.join(y, F.col("g").eqNullSafe(F.col("yg")) & (F.col("v") == F.col("yv")) & (F.col("a") < F.col("b")) & sized).select("g", "a", "b", F.col("xn").alias("na"), F.col("yn").alias("nb")).distinct()
+    both_need = F.greatest(F.lit(least), F.ceil((F.col("xn") + F.col("yn")) * (share / (1 + share)) - 1e-9))
+    # at the first value in common the rest of the smaller side is all that can follow; bits that differ are values that differ
+    follows = F.least(F.col("xn") - F.col("xk"), F.col("yn") - F.col("yk")) + 1 >= both_need
+    differ = sum(F.bit_count(F.col(f"xw{i}").bitwiseXOR(F.col(f"yw{i}"))) for i in range(WORDS))
+    near = F.col("xn") + F.col("yn") - differ >= 2 * both_need
+    on = F.col("g").eqNullSafe(F.col("yg")) & (F.col("v") == F.col("yv")) & (F.col("a") < F.col("b")) & sized & follows & near
+    # merge: a stored table's compressed size would let Spark broadcast it
+    pairs = x.join(y.hint("merge"), on).select("g", "a", "b", F.col("xn").alias("na"), F.col("yn").alias("nb")).distinct()
     # the values of the smaller holder are looked up in the larger one
     few = F.col("na") <= F.col("nb")
     turned = pairs.select("*", F.when(few, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(few, F.col("b")).otherwise(F.col("a")).alias("high"))
     p = ranked.select(F.col("g").alias("pg"), F.col("holder").alias("ph"), F.col("value").alias("pv"))
     q = ranked.select(F.col("g").alias("qg"), F.col("holder").alias("qh"), F.col("value").alias("qv"))
-    both = turned.join(p, F.col("g").eqNullSafe(F.col("pg")) & (F.col("low") == F.col("ph"))).join(q, F.col("g").eqNullSafe(F.col("qg")) & (F.col("high") == F.col("qh")) & (F.col("pv") == F.col("qv")))
+    both = turned.join(p.hint("merge"), F.col("g").eqNullSafe(F.col("pg")) & (F.col("low") == F.col("ph"))).join(q.hint("merge"), F.col("g").eqNullSafe(F.col("qg")) & (F.col("high") == F.col("qh")) & (F.col("pv") == F.col("qv")))
     out = both.groupBy("g", "a", "b").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb")).where(F.col("shared") >= least)
     return out.where(jaccard(out) >= share - 1e-9) if share else out
 
@@ -75,9 +89,10 @@ def jaccard(pairs: DataFrame) -> Column:
 
 
 def signatures(edges: DataFrame, least: int = 2) -> DataFrame:
-    """(g, signature, members, first): classes of subjects with the same set of at least `least` relations."""
-    sets = edges.groupBy("g", "s").agg(F.array_join(F.array_sort(F.collect_set("r")), "|").alias("signature"), F.count_distinct("r").alias("k"))
-    return sets.where(F.col("k") >= least).groupBy("g", "signature").agg(F.count("*").alias("members"), F.min("s").alias("first"))
+    """(g, signature, members, first): classes of subjects with the same set of at least `least` relations.
+    Repeated edges count once."""
+    sets = edges.groupBy("g", "s").agg(F.collect_set("r").alias("rs")).where(F.size("rs") >= least)
+    return sets.select("g", "s", F.array_join(F.array_sort("rs"), "|").alias("signature")).groupBy("g", "signature").agg(F.count("*").alias("members"), F.min("s").alias("first"))
 
 
 def value_classes(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kestrelgraph.operators import hierarchy, mining, reasoning, star, store
 from kestrelgraph.operators.reasoning import Rule
-from kestrelgraph.runtime import table
+from kestrelgraph.runtime import materialize, table
 
 RULES = [
     Rule("region_of_supplier", (("?x", "located_in", "?y"), ("?y", "part_of", "?z")), ("?x", "located_in", "?z")),
@@ -55,12 +55,15 @@ def property_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def structural_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of signature classes; each class stands for all its members. The number of pairs is the result's own: where
-    subjects have most relations of a small vocabulary, most classes are similar."""
-    classes = mining.signatures(_edges(spark, d))
-    items = classes.select("g", F.col("signature").alias("holder"), F.explode(F.split("signature", r"\|")).alias("value"))
+    """Pairs of signature classes; each class stands for all its members. Signatures are compared under numbers."""
+    f = table(spark, d, "facts").where("instance is not null and subject is not null and relation is not null and object is not null")
+    found = mining.signatures(f.select(F.col("instance").alias("g"), F.col("subject").alias("s"), F.col("relation").alias("r")))
+    classes = materialize(found.select("g", "signature", F.monotonically_increasing_id().alias("id")))
+    items = classes.select("g", F.col("id").alias("holder"), F.explode(F.array_distinct(F.split("signature", r"\|"))).alias("value"))
     pairs = mining.shared_pairs(items, 2, 0.5)
-    return pairs.select("g", "a", "b", "shared", F.round(mining.jaccard(pairs), 6).alias("similarity"))
+    of = lambda i, c: classes.select(F.col("id").alias(i), F.col("signature").alias(c)).hint("merge")
+    named = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    return named.select("g", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", F.round(mining.jaccard(pairs), 6).alias("similarity"))
 
 
 def co_occurrence(spark: SparkSession, d: str) -> DataFrame:

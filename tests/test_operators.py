@@ -68,6 +68,26 @@ def test_shared_pairs_lose_none(spark, least):
     assert near == {k for k, (n, a, b) in want.items() if n / (a + b - n) >= 0.6 - 1e-9}
 
 
+def test_shared_pairs_drop_unlike_holders_inside_the_join(spark, shuffled):
+    """600 holders share a few values in pairs by chance, and two are alike."""
+    rng = random.Random(5)
+    held = {f"h{k:03}": set(rng.sample(range(60), 8)) for k in range(600)} | {"x": set(range(60, 70)), "y": set(range(62, 70))}
+    df = spark.createDataFrame([("g", h, str(v)) for h, vs in held.items() for v in vs], "g string, holder string, value string")
+    got = []
+    rows = shuffled(lambda: got.extend(mining.shared_pairs(df, 2, 0.8).collect()))
+    jac = lambda a, b: len(held[a] & held[b]) / len(held[a] | held[b])
+    assert {(r.a, r.b) for r in got} == {(a, b) for a in held for b in held if a < b and jac(a, b) >= 0.8 - 1e-9} >= {("x", "y")}
+    assert rows < 40_000
+
+
+def test_shared_pairs_of_large_sets(spark):
+    """More values than bits; similarities around the threshold."""
+    sets = {"a": range(1500), "b": range(500, 2000), "c": range(501, 2001), "d": range(750), "e": range(749), "f": range(3000, 3002), "h": range(3001, 3004)}
+    df = spark.createDataFrame([(None, h, str(v)) for h, vs in sets.items() for v in vs], "g string, holder string, value string")
+    got = {(r.a, r.b): r.shared for r in mining.shared_pairs(df, 1, 0.5).collect()}
+    assert got == {(a, b): n for a in sets for b in sets if a < b and (n := len({*sets[a]} & {*sets[b]})) and n / len({*sets[a]} | {*sets[b]}) >= 0.5}
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(80)]
     star = [("s0", f"s{i}") for i in range(1, 40)] + [("z", "z")]
