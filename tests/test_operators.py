@@ -143,6 +143,23 @@ def test_reasoning_stays_inside_an_instance(spark):
     assert [tuple(r) for r in learned.collect()] == [("can", "is", "dog", 1)]
 
 
+def test_propagation_shuffles_no_product(spark, shuffled):
+    """Members of one, of several and of no category, repeated rows, absent instances; 600 members times 200 properties are
+    not shuffled."""
+    rng = random.Random(9)
+    member = [(g, f"m{k}", "is", c) for g in ("i", None) for k in range(12) for c in rng.sample("abc", rng.randrange(1, 3))] + [("i", None, "is", "a")]
+    props = [(g, s, rng.choice(["can", "cannot", "has", "has_not", "color"]), rng.choice("xyz")) for g in ("i", None) for s in [*"abc", *(f"m{k}" for k in range(9))] for _ in range(4)]
+    kind = "g string, s string, r string, o string"
+    got = reasoning.propagated(spark.createDataFrame(member * 2, kind), spark.createDataFrame(props * 2, kind)).collect()
+    against = {"can": "cannot", "has": "has_not"}
+    want = {(g, s, r, o) for g, s, _, c in member for h, k, r, o in props if h == g and k == c and r in against and (g, s, r, o) not in props and (g, s, against[r], o) not in props}
+    assert sorted([tuple(r)[:4] for r in got], key=repr) == sorted(want, key=repr) and {r.confidence for r in got} == {"low"}
+    m = spark.createDataFrame([("i", f"m{k}", "is", "a") for k in range(600)], kind)
+    p = spark.createDataFrame([("i", "a", "can", f"o{k}") for k in range(200)] + [("i", "m1", "cannot", "o1")], kind)
+    n = []
+    assert shuffled(lambda: n.append(len(reasoning.propagated(m, p).collect()))) < 20_000 and n == [600 * 200 - 1]
+
+
 def test_retraction_ends_on_mutual_premises(spark):
     p = lambda *x: [dict(zip(("subject", "relation", "object"), y)) for y in x]
     rows = [("i", "a", "r", "1", []), ("i", "b", "r", "1", p(("a", "r", "1"), ("c", "r", "1"))), ("i", "c", "r", "1", p(("b", "r", "1"))), ("i", "d", "r", "1", [])]
