@@ -74,7 +74,12 @@ def test_shared_pairs_drop_unlike_holders_inside_the_join(spark, shuffled):
     held = {f"h{k:03}": set(rng.sample(range(60), 8)) for k in range(600)} | {"x": set(range(60, 70)), "y": set(range(62, 70))}
     df = spark.createDataFrame([("g", h, str(v)) for h, vs in held.items() for v in vs], "g string, holder string, value string")
     got = []
-    rows = shuffled(lambda: got.extend(mining.shared_pairs(df, 2, 0.8).collect()))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = shuffled(lambda: got.extend(mining.shared_pairs(df, 2, 0.8).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     jac = lambda a, b: len(held[a] & held[b]) / len(held[a] | held[b])
     assert {(r.a, r.b) for r in got} == {(a, b) for a in held for b in held if a < b and jac(a, b) >= 0.8 - 1e-9} >= {("x", "y")}
     assert rows < 40_000
