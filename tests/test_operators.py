@@ -165,6 +165,21 @@ def test_propagation_shuffles_no_product(spark, shuffled):
     assert shuffled(lambda: n.append(len(reasoning.propagated(m, p).collect()))) < 20_000 and n == [600 * 200 - 1]
 
 
+def test_propagation_to_members_of_several_categories(spark, shuffled, monkeypatch):
+    """600 members of two categories that share half of their properties: each is listed once, and the product is not
+    shuffled. Neither the size of lots nor what is broadcast changes the result."""
+    kind = "g string, s string, r string, o string"
+    m = spark.createDataFrame([("i", f"m{k}", "is", c) for k in range(600) for c in "ab"] + [("i", f"n{k}", "is", "a") for k in range(9)], kind)
+    p = spark.createDataFrame([("i", c, "can", f"o{k + at}") for c, at in (("a", 0), ("b", 100)) for k in range(200)] + [("i", "m1", "cannot", "o1"), ("i", "m2", "can", "o150"), ("i", "n3", "can", "o7")] * 2, kind)
+    n = []
+    assert shuffled(lambda: n.append(reasoning.propagated(m, p).collect())) < 20_000
+    assert len(n[0]) == len(set(n[0])) == 600 * 300 - 2 + 9 * 200 - 1
+    for lot, few in ((50, 10**6), (50, 0), (4000, 0)):
+        monkeypatch.setattr(reasoning, "LOT", lot)
+        again = reasoning.propagated(m, p, few=few).collect()
+        assert len(again) == len(n[0]) and set(again) == set(n[0])
+
+
 def test_retraction_ends_on_mutual_premises(spark):
     p = lambda *x: [dict(zip(("subject", "relation", "object"), y)) for y in x]
     rows = [("i", "a", "r", "1", []), ("i", "b", "r", "1", p(("a", "r", "1"), ("c", "r", "1"))), ("i", "c", "r", "1", p(("b", "r", "1"))), ("i", "d", "r", "1", [])]
